@@ -35,6 +35,14 @@ def lagged(value: Column | str, n: int) -> Column:
     return F.lag(value, n).over(by_ticker())
 
 
+def run_length(df: DataFrame, cond: Column, out: str) -> DataFrame:
+    """Length of the run of TRUE that ends at each row of a ticker, else 0."""
+    breaks = F.sum(F.when(cond, 0).otherwise(1)).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))
+    inside = Window.partitionBy(KEY, "_run").orderBy(TS).rowsBetween(Window.unboundedPreceding, 0)
+    d = df.withColumn("_hit", cond).withColumn("_run", breaks)
+    return d.withColumn(out, F.when(F.col("_hit"), F.count_if("_hit").over(inside)).otherwise(0)).drop("_hit", "_run")
+
+
 def history_gate(bars: DataFrame, min_rows: int) -> DataFrame:
     """Drops rows without close, then tickers with too few closes."""
     known = bars.where(F.col("close").isNotNull())

@@ -250,10 +250,10 @@ def thesis_states(inp: Inputs) -> DataFrame:
 
 def entries_at(lists: DataFrame, bars: DataFrame, tier: Column) -> DataFrame:
     """Entries on the first bar at or after each list's effective day."""
-    first = exits.first_bar_after(lists.select("ticker", "effective"), bars, "effective", "entry_date")
+    first = exits.first_bar_after(lists.select("ticker", "effective", tier.alias("tier")), bars, "effective", "entry_date")
     price = bars.select("ticker", F.col("date").alias("entry_date"), F.col("close").alias("entry_price"))
     return (first.where(F.col("entry_date").isNotNull()).join(price, ["ticker", "entry_date"])
-            .select("ticker", tier.alias("tier"), "entry_date", "entry_price").distinct())
+            .select("ticker", "tier", "entry_date", "entry_price").distinct())
 
 
 def basket_returns(inp: Inputs, targets: DataFrame, quarters: DataFrame) -> DataFrame:

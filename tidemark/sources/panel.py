@@ -20,6 +20,7 @@ def unit_price():
     return F.sqrt(F.sqrt(F.sqrt(F.col("l_extendedprice") / F.col("l_quantity")))) * 10
 
 
+# Intraday order of a supplier's lines.
 SEQ = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 
 
@@ -131,10 +132,10 @@ class Panel:
             F.when(F.col("exit_date").isNull(), "backtest_end").otherwise(F.col("reason")).alias("exit_reason"))
 
     def scores(self) -> DataFrame:
-        """Daily score per user: number of events, at most 12."""
+        """Daily score per user: 7 for one event, two more for each further one, at most 12."""
         return (self.table("events")
                 .groupBy(F.col("user_id").alias("ticker"), F.col("ts").cast("date").alias("date"))
-                .agg(F.least(F.count(F.lit(1)), F.lit(12)).alias("score")))
+                .agg(F.least(F.count(F.lit(1)) * 2 + 5, F.lit(12)).alias("score")))
 
     def side_inputs(self) -> DataFrame:
         """Sentiment and regime per day; quiet days have none."""
