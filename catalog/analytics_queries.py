@@ -113,7 +113,7 @@ CONSIST = """SELECT count(*) AS years, stddev_pop(cagr) AS cagr_sd, min(cagr) AS
   min(sharpe) AS sharpe_min, avg(sharpe) AS sharpe_mean, max(sharpe) AS sharpe_max, count(*) FILTER (WHERE cagr > 0) AS positive_years,
   count(*) FILTER (WHERE alpha > 0) AS positive_alpha FROM wf WHERE kind = 'year'"""
 query("a12_consistency", "years! cagr_sd:4 cagr_min:4 cagr_max:4 win_sd:4 sharpe_min:4 sharpe_max:4 positive_years! positive_alpha!", CONSIST)(
-    lambda w: walkforward.consistency(wf(w)))
+    lambda w: walkforward.consistency(w.walk))
 query("a13_tier_years", "tier year! n! win_rate:4 avg_return:6 tier_win_mean:4 tier_win_sd:4", """SELECT *, avg(win_rate) OVER (PARTITION BY tier) AS tier_win_mean,
   stddev_pop(win_rate) OVER (PARTITION BY tier) AS tier_win_sd FROM (SELECT tier, year(entry_date) AS year, count(*) AS n,
   avg(CAST(return_pct > 0 AS DOUBLE)) * 100 AS win_rate, avg(return_pct) AS avg_return FROM done GROUP BY 1, 2)""")(
@@ -121,7 +121,7 @@ query("a13_tier_years", "tier year! n! win_rate:4 avg_return:6 tier_win_mean:4 t
 query("q12_folds", "fold! train_n_trades! test_n_trades! train_win_rate:4 test_win_rate:4 diff_win_rate:4 diff_sharpe:4 train_max_drawdown:4", """SELECT a.fold,
   a.n_trades AS train_n_trades, b.n_trades AS test_n_trades, a.win_rate AS train_win_rate, b.win_rate AS test_win_rate, b.win_rate - a.win_rate AS diff_win_rate,
   b.sharpe - a.sharpe AS diff_sharpe, a.max_drawdown AS train_max_drawdown FROM (SELECT * FROM wf WHERE kind = 'train') a
-  JOIN (SELECT * FROM wf WHERE kind = 'test') b USING (fold)""")(lambda w: walkforward.folds(wf(w)))
+  JOIN (SELECT * FROM wf WHERE kind = 'test') b USING (fold)""")(lambda w: walkforward.folds(w.walk))
 query("q13_stability", "win_rate_1:4 win_rate_2:4 sharpe_1:4 sharpe_2:4 points! verdict", """SELECT *, CASE WHEN points >= 4 THEN 'HIGH' WHEN points >= 2 THEN 'MODERATE' ELSE 'LOW' END AS verdict FROM (
   SELECT a.win_rate AS win_rate_1, b.win_rate AS win_rate_2, a.sharpe AS sharpe_1, b.sharpe AS sharpe_2,
   CASE WHEN b.win_rate - a.win_rate < -10 THEN 2 WHEN b.win_rate - a.win_rate < -5 THEN 1 ELSE 0 END
@@ -129,12 +129,12 @@ query("q13_stability", "win_rate_1:4 win_rate_2:4 sharpe_1:4 sharpe_2:4 points!
   + CASE WHEN b.avg_return - a.avg_return < -5 THEN 2 WHEN b.avg_return - a.avg_return < -2 THEN 1 ELSE 0 END
   + CASE WHEN b.profit_factor < 1 AND a.profit_factor > 1 THEN 3 WHEN b.profit_factor < a.profit_factor * 0.5 THEN 2 ELSE 0 END AS points
   FROM (SELECT * FROM wf WHERE kind = 'half' AND fold = 1) a, (SELECT * FROM wf WHERE kind = 'half' AND fold = 2) b)""")(
-    lambda w: walkforward.stability(wf(w)))
+    lambda w: walkforward.stability(w.walk))
 query("q14_assessment", "years! return_label alpha_label cagr_label win_label sharpe_label", f"""SELECT years,
   CASE WHEN positive_years > years * 0.6 THEN 'Good' ELSE 'Concern' END AS return_label, CASE WHEN positive_alpha > years * 0.4 THEN 'Good' ELSE 'Concern' END AS alpha_label,
   CASE WHEN cagr_sd < 20 THEN 'Good' ELSE 'High variance' END AS cagr_label, CASE WHEN win_sd < 15 THEN 'Good' ELSE 'High variance' END AS win_label,
   CASE WHEN sharpe_mean > 0.3 THEN 'Good' ELSE 'Weak' END AS sharpe_label FROM ({CONSIST})""")(
-    lambda w: walkforward.assessment(walkforward.consistency(wf(w))))
+    lambda w: walkforward.assessment(walkforward.consistency(w.walk)))
 
 
 # ---- bootstrap ------------------------------------------------------------
@@ -150,23 +150,23 @@ query("q15_bootstrap", "sim! final_value:0 cagr:6 max_drawdown:6 sharpe:5 win_ra
 @query("s12_sim_stats_write", "sim! final_value:0 max_drawdown:6", "SELECT * FROM simstats")
 def _(w):
     path = f"{sinks.shared_dir(w.spark)}/sim-stats-{id(w)}"
-    sinks.write_sim_stats(sims(w), path)
+    sinks.write_sim_stats(w.sim_stats, path)
     return w.spark.read.parquet(path)
 
 
 LONG = """SELECT sim, u.metric, u.v FROM simstats, LATERAL (VALUES ('final_value', final_value), ('cagr', cagr), ('max_drawdown', max_drawdown), ('sharpe', sharpe)) AS u(metric, v)"""
 query("a14_percentiles", "metric p5:4 p25:4 p50:4 p75:4 p95:4 mean:4", f"""SELECT metric, quantile_cont(v, 0.05) AS p5, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50,
-  quantile_cont(v, 0.75) AS p75, quantile_cont(v, 0.95) AS p95, avg(v) AS mean FROM ({LONG}) GROUP BY 1""")(lambda w: bootstrap.outcome_percentiles(sims(w)))
+  quantile_cont(v, 0.75) AS p75, quantile_cont(v, 0.95) AS p95, avg(v) AS mean FROM ({LONG}) GROUP BY 1""")(lambda w: bootstrap.outcome_percentiles(w.sim_stats))
 query("a15_probabilities", "p_profit:6 p_beat_benchmark:6 p_over_10:6 p_over_5:6 p_loss:6 p_deep_drawdown:6", """SELECT avg(CAST(final_value > 1000000 AS DOUBLE)) AS p_profit,
   avg(CAST(cagr > 0.13 AS DOUBLE)) AS p_beat_benchmark, avg(CAST(cagr > 0.10 AS DOUBLE)) AS p_over_10, avg(CAST(cagr > 0.05 AS DOUBLE)) AS p_over_5,
   avg(CAST(final_value < 1000000 AS DOUBLE)) AS p_loss, avg(CAST(max_drawdown < -0.30 AS DOUBLE)) AS p_deep_drawdown FROM simstats""")(
-    lambda w: bootstrap.outcome_probabilities(sims(w)))
+    lambda w: bootstrap.outcome_probabilities(w.sim_stats))
 query("w12_representative_paths", "point target:0 sim! final_value:0", """SELECT point, target, arg_min(sim, {'g': abs(final_value - target), 's': sim}) AS sim,
   arg_min(final_value, {'g': abs(final_value - target), 's': sim}) AS final_value FROM simstats, (SELECT 'p5' AS point, quantile_cont(final_value, 0.05) AS target FROM simstats
     UNION ALL SELECT 'p25', quantile_cont(final_value, 0.25) FROM simstats UNION ALL SELECT 'p50', quantile_cont(final_value, 0.5) FROM simstats
     UNION ALL SELECT 'p75', quantile_cont(final_value, 0.75) FROM simstats UNION ALL SELECT 'p95', quantile_cont(final_value, 0.95) FROM simstats) GROUP BY 1, 2""")(
-    lambda w: bootstrap.representative_paths(sims(w)))
-query("w13_sample_paths", "sim!", "SELECT sim FROM simstats ORDER BY md5(sim || '-42'), sim LIMIT 3")(lambda w: ranking.sample_keys(sims(w), "sim", 3))
+    lambda w: bootstrap.representative_paths(w.sim_stats))
+query("w13_sample_paths", "sim!", "SELECT sim FROM simstats ORDER BY md5(sim || '-42'), sim LIMIT 3")(lambda w: ranking.sample_keys(w.sim_stats, "sim", 3))
 query("a16_histogram", "tier bin! n!", """SELECT tier, CAST(least(floor((return_pct - lo) / (hi - lo) * 80), 79) AS BIGINT) AS bin, count(*) AS n
   FROM done JOIN (SELECT tier, min(return_pct) AS lo, max(return_pct) AS hi FROM done GROUP BY 1) USING (tier) GROUP BY 1, 2""")(
     lambda w: histogram(w.trades.where(F.col("return_pct").isNotNull()), ["tier"], "return_pct", 80))

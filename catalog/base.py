@@ -69,7 +69,24 @@ class Workspace:
         return stage(self.panel.trades(), "trades")
 
     @cached_property
-    def states(self) -> DataFrame:
+    def entries(self) -> DataFrame:
+        """Entries at every quarter's effective day, both tiers."""
+        from catalog.screen_queries import entries
+        return stage(entries(self), "entries")
+
+    @cached_property
+    def sim_stats(self) -> DataFrame:
+        """Per-simulation statistics of the bootstrap."""
+        from catalog.analytics_queries import sims
+        return stage(sims(self), "sims")
+
+    @cached_property
+    def walk(self) -> DataFrame:
+        from catalog.analytics_queries import wf
+        return stage(wf(self), "walk-forward")
+
+    @cached_property
+    def thesis(self) -> DataFrame:
         return stage(plans.thesis_states(self.inputs), "thesis")
 
 

@@ -323,9 +323,8 @@ def _(w):
 
 @query("p8_peak_since_entry", "ticker! entry_date date close:6 peak:6", "SELECT * FROM since")
 def _(w):
-    from catalog.screen_queries import entries
     from tidemark.operators.exits import since_entry
-    return since_entry(entries(w), prices.with_atr(w.bars))
+    return since_entry(w.entries, prices.with_atr(w.bars))
 
 
 @query("p9_live_snapshot", "ticker! date price:4 high_52w:4 ema50:4 off_high:4 vs_ema50:4 mom_6m:4 pe_ratio:4 ps_ratio:4",
@@ -381,8 +380,7 @@ def _(w):
   max(b.close) AS high_close, sum(b.volume) AS volume FROM pairs e JOIN bars b ON e.ticker = b.ticker AND b.date >= e.entry_date
   AND b.date <= e.entry_date + 180 GROUP BY 1, 2""")
 def _(w):
-    from catalog.screen_queries import entries
-    e = entries(w).select("ticker", "entry_date").distinct()
+    e = w.entries.select("ticker", "entry_date").distinct()
     r = asof.bars_since_entry(e, w.bars, "ticker", "entry_date", F.date_add("entry_date", 180), ["close", "volume"])
     return r.groupBy("ticker", "entry_date").agg(
         F.count(F.lit(1)).alias("bars"), F.max("close").alias("high_close"), F.sum("volume").alias("volume"))

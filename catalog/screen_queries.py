@@ -209,22 +209,22 @@ def _(w):
 
 @query("x2_max_hold", "ticker! entry_date hold_date", "SELECT * FROM hold_exit")
 def _(w):
-    return exits.hold_exits(entries(w), w.bars)
+    return exits.hold_exits(w.entries, w.bars)
 
 
 @query("x3_trailing_stop", "ticker! entry_date trailing_date peak_close:6", "SELECT * FROM stops")
 def _(w):
-    return exits.stop_exits(entries(w), w.bars)
+    return exits.stop_exits(w.entries, w.bars)
 
 
 @query("x4_chandelier_stop", "ticker! entry_date atr_date last_bar", "SELECT * FROM stops")
 def _(w):
-    return exits.stop_exits(entries(w), w.bars)
+    return exits.stop_exits(w.entries, w.bars)
 
 
 def resolved(w):
     ranked = ranking.top_n(w.scores, ["effective"], [F.col("score").desc(), F.col("ticker")], 10)
-    return exits.resolve_exits(entries(w), w.bars, w.states, w.quarters, ranked)
+    return exits.resolve_exits(w.entries, w.bars, w.thesis, w.quarters, ranked)
 
 
 query("q8_exit_resolution", "ticker! tier entry_date entry_price:4 exit_date exit_price:4 exit_reason", "SELECT * FROM resolved")(resolved)

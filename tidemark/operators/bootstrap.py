@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Settings
-from tidemark.operators.compound import compound_stats
+from tidemark.operators.compound import chunk_summaries, combine_chunks, merged_moments, moments, pooled
 from tidemark.operators.ranks import histogram, nearest_to_percentile, percentiles
 
 CHUNK_DRAWS = 4096
@@ -55,12 +55,15 @@ def simulate(returns: DataFrame, sims: int, years: float = 5.0, seed: int = 42,
     """Final value, CAGR, drawdown, Sharpe ratio and win rate per simulation."""
     d = draws(returns, sims, seed)
     r, size = F.col("return_dec"), cfg.position_size
-    base = d.groupBy("sim").agg(
-        F.count(F.lit(1)).alias("_n"), F.avg((r > 0).cast("double")).alias("win_rate"),
-        F.avg(r * size).alias("_mean"), F.stddev_pop(r * size).alias("_sd"))
-    path = compound_stats(d, ["sim"], ["block"], ["draw"], r, size)
+    # One pass over the draws: path and moments per block, then per simulation.
+    blocks = chunk_summaries(d, ["sim"], ["block"], ["draw"], 1 + size * r, *moments(r * size, "r"),
+                             F.count_if(r > 0).alias("won"))
+    path = combine_chunks(blocks, ["sim"], ["block"], *merged_moments("r"), F.sum("won").alias("_won"))
+    mean, sd = pooled("r")
+    path = (path.withColumn("_mean", mean).withColumn("_sd", sd).withColumn("_n", F.col("r_n"))
+            .withColumn("win_rate", F.col("_won") / F.col("r_n")))
     sharpe = F.when(F.col("_sd") > 0, F.col("_mean") / F.col("_sd") * F.sqrt(F.col("_n") / years)).otherwise(0.0)
-    return base.join(path, "sim").select(
+    return path.select(
         "sim", (F.col("growth") * cfg.capital).alias("final_value"),
         (F.pow("growth", F.lit(1 / years)) - 1).alias("cagr"), "max_drawdown",
         sharpe.alias("sharpe"), "win_rate")

@@ -7,6 +7,8 @@ and the windows reuse the join's partitioning by ticker.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,45 +54,62 @@ def first_bar_after(probe: DataFrame, bars: DataFrame, ts: str, out: str) -> Dat
     return asof_forward(probe, days, "ticker", ts, out, strict=False)
 
 
-def thesis_exits(entries: DataFrame, states: DataFrame, bars: DataFrame) -> DataFrame:
-    """First trading day on which the thesis is broken, per (ticker, entry).
+def hold_due(pairs: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """Maximum holding period reached."""
+    return pairs.select("ticker", "entry_date", F.lit("hold").alias("kind"),
+                        F.date_add("entry_date", cfg.max_hold_days).alias("due"), F.lit("max_hold_3yr").alias("why"))
+
+
+def thesis_due(pairs: DataFrame, states: DataFrame) -> DataFrame:
+    """Day from which the thesis is broken.
 
     ``states`` (ticker, published, reason) holds the verdict in force from each
-    publication day. A break already in force at entry exits on the next bar,
-    later ones on the first bar at or after publication.
+    publication day. A break already in force at entry is due the next day,
+    later ones on publication.
     """
-    pairs = entries.select("ticker", "entry_date").distinct()
     flagged = states.withColumn("verdict", F.coalesce("reason", F.lit("")))
-    # Next broken publication after entry, and the verdict in force at entry.
-    now = asof_backward(pairs, "ticker", "entry_date", [Stream(flagged, "published", ["verdict"])])
+    now = asof_backward(pairs.select("ticker", "entry_date"), "ticker", "entry_date",
+                        [Stream(flagged, "published", ["verdict"])])
     broken = (states.where(F.col("reason").isNotNull())
               .withColumn("next_break", F.struct("published", "reason")))
     nxt = asof_forward(now, broken, "ticker", "entry_date", "next_break", series_ts="published")
     at_entry = F.coalesce(F.col("verdict"), F.lit("")) != ""
-    due = nxt.select("ticker", "entry_date",
-                     F.when(at_entry, F.date_add("entry_date", 1)).otherwise(F.col("next_break.published")).alias("due"),
-                     F.when(at_entry, F.col("verdict")).otherwise(F.col("next_break.reason")).alias("thesis_reason"))
-    return first_bar_after(due.where(F.col("due").isNotNull()), bars, "due", "thesis_date").drop("due")
+    due = F.when(at_entry, F.date_add("entry_date", 1)).otherwise(F.col("next_break.published"))
+    why = F.when(at_entry, F.col("verdict")).otherwise(F.col("next_break.reason"))
+    return nxt.select("ticker", "entry_date", F.lit("thesis").alias("kind"), due.alias("due"), why.alias("why")).where(
+        F.col("due").isNotNull())
 
 
-def hold_exits(entries: DataFrame, bars: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """First bar at or after the maximum holding period."""
-    due = (entries.select("ticker", "entry_date").distinct()
-           .withColumn("due", F.date_add("entry_date", cfg.max_hold_days)))
-    return first_bar_after(due, bars, "due", "hold_date").drop("due")
+def rebalance_due(pairs: DataFrame, rebalances: DataFrame, targets: DataFrame) -> DataFrame:
+    """First rebalance after entry whose target list lacks the ticker.
+
+    Rebalance dates are one per quarter: the list, and the dates on which a
+    ticker was a target, travel as arrays, so pairs are not multiplied.
+    """
+    dates = rebalances.agg(F.array_sort(F.collect_list("effective"))).scalar()
+    kept = targets.groupBy("ticker").agg(F.collect_set("effective").alias("_kept"))
+    held = pairs.select("ticker", "entry_date").join(kept, "ticker", "left").withColumn("_dates", dates)
+    gone = F.filter("_dates", lambda d: (d > F.col("entry_date")) & ~F.coalesce(
+        F.array_contains("_kept", d), F.lit(False)))
+    return held.select("ticker", "entry_date", F.lit("rebalance").alias("kind"), F.get(gone, 0).alias("due"),
+                       F.lit("qvm_rebalance").alias("why")).where(F.col("due").isNotNull())
+
 
+def due_exits(dues: list[DataFrame], bars: DataFrame) -> DataFrame:
+    """First bar at or after each due day, all kinds in one as-of pass; one row
+    per (ticker, entry_date) with ``<kind>_date`` and ``<kind>_why``."""
+    stacked = reduce(DataFrame.unionByName, dues)
+    hit = first_bar_after(stacked, bars, "due", "on_bar")
+    kinds = ("hold", "thesis", "rebalance")
+    return hit.groupBy("ticker", "entry_date").agg(
+        *[F.max(F.when(F.col("kind") == k, F.col("on_bar"))).alias(f"{k}_date") for k in kinds],
+        *[F.max(F.when(F.col("kind") == k, F.col("why"))).alias(f"{k}_why") for k in kinds])
 
-def rebalance_exits(entries: DataFrame, rebalances: DataFrame, targets: DataFrame,
-                    bars: DataFrame) -> DataFrame:
-    """First rebalance after entry whose target list lacks the ticker, valued on
-    the first bar from then on. ``rebalances`` is one row per quarter."""
+
+def hold_exits(entries: DataFrame, bars: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """First bar at or after the maximum holding period."""
     pairs = entries.select("ticker", "entry_date").distinct()
-    # Rebalance dates are a short calendar list: attach it as one array.
-    dates = rebalances.agg(F.array_sort(F.collect_list("effective"))).scalar()
-    later = pairs.withColumn("effective", F.explode(dates)).where(F.col("effective") > F.col("entry_date"))
-    gone = later.join(targets.select("effective", "ticker"), ["effective", "ticker"], "left_anti")
-    first = gone.groupBy("ticker", "entry_date").agg(F.min("effective").alias("due"))
-    return first_bar_after(first, bars, "due", "rebalance_date").drop("due")
+    return due_exits([hold_due(pairs, cfg)], bars).select("ticker", "entry_date", "hold_date")
 
 
 def resolve_exits(entries: DataFrame, bars: DataFrame, states: DataFrame | None = None,
@@ -101,29 +120,25 @@ def resolve_exits(entries: DataFrame, bars: DataFrame, states: DataFrame | None
     Stops and rebalancing act on tier ``qvm``, maximum hold and broken theses
     on tier ``crash``; what is still open closes on the ticker's last bar.
     Precedence on the same day: stop, rebalance, hold, thesis, end of data.
+    ``entries`` feeds several branches: pass a staged table.
     """
     keys = ["ticker", "entry_date"]
-    out = entries.join(stop_exits(entries, bars, cfg), keys, "left")
-    stop = "atr_date" if method == "atr" else "trailing_date"
-    stop_name = "atr_trailing_stop" if method == "atr" else "trailing_stop"
-    qvm, crash = F.col("tier") == "qvm", F.col("tier") == "crash"
-
-    def option(when: Column, date: Column, rank: int, reason: Column) -> Column:
-        ok = when & date.isNotNull()
-        return F.when(ok, F.struct(date.alias("d"), F.lit(rank).alias("p"), reason.alias("r")))
-
-    options = [option(qvm, F.col(stop), 0, F.lit(stop_name))]
-    if targets is not None:
-        out = out.join(rebalance_exits(entries, rebalances, targets, bars), keys, "left")
-        options.append(option(qvm, F.col("rebalance_date"), 1, F.lit("qvm_rebalance")))
-    out = out.join(hold_exits(entries, bars, cfg), keys, "left")
-    options.append(option(crash, F.col("hold_date"), 2, F.lit("max_hold_3yr")))
+    pairs = entries.select(*keys).distinct()
+    dues = [hold_due(pairs, cfg)]
     if states is not None:
-        out = out.join(thesis_exits(entries, states, bars), keys, "left")
-        options.append(option(crash, F.col("thesis_date"), 3, F.col("thesis_reason")))
+        dues.append(thesis_due(pairs, states))
+    if targets is not None:
+        dues.append(rebalance_due(pairs, rebalances, targets))
     end = bars.where(F.col("close").isNotNull()).groupBy("ticker").agg(F.max("date").alias("_end"))
-    out = out.join(end, "ticker")
-    options.append(option(F.lit(True), F.col("_end"), 4, F.lit("backtest_end")))
+    out = (entries.join(stop_exits(entries, bars, cfg), keys, "left").join(due_exits(dues, bars), keys, "left")
+           .join(end, "ticker"))
+    stop, stop_name = ("atr_date", "atr_trailing_stop") if method == "atr" else ("trailing_date", "trailing_stop")
+    qvm, crash = F.col("tier") == "qvm", F.col("tier") == "crash"
+    rules = [(qvm, stop, F.lit(stop_name)), (qvm, "rebalance_date", F.col("rebalance_why")),
+             (crash, "hold_date", F.col("hold_why")), (crash, "thesis_date", F.col("thesis_why")),
+             (F.lit(True), "_end", F.lit("backtest_end"))]
+    options = [F.when(when & F.col(d).isNotNull(), F.struct(F.col(d).alias("d"), F.lit(rank).alias("p"), why.alias("r")))
+               for rank, (when, d, why) in enumerate(rules)]
     first = F.array_min(F.array_compact(F.array(*options)))
     closed = out.withColumn("_x", first).select(
         *entries.columns, F.col("_x.d").alias("exit_date"), F.col("_x.r").alias("exit_reason"))

@@ -108,18 +108,54 @@ def with_ema(df: DataFrame, value: str, spans: dict[str, int], adjust: bool = Fa
     return base.select(*df.columns, *out)
 
 
+def with_rolling_moments(df: DataFrame, value: str, rows: int, min_rows: int, prefix: str) -> DataFrame:
+    """Trailing max, mean and sample deviation in linear time.
+
+    Spark re-aggregates a sliding frame for every row, 252 updates per row for
+    a year. Here rows are cut into blocks of ``rows``: a trailing frame is the
+    tail of one block plus the head of the next, and heads and tails are
+    growing frames that Spark updates once per row. Means and variances of the
+    two parts merge exactly, without the cancellation of prefix sums. Columns:
+    ``<prefix>_max``, ``_mean``, ``_sd``, NULL until ``min_rows`` rows.
+    """
+    head = Window.partitionBy(KEY, "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    tail = Window.partitionBy(KEY, "_block").orderBy(F.col("_pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
+
+    def parts(w: Window) -> Column:
+        v = F.col(value)
+        return F.struct(F.count(v).over(w).alias("n"), F.max(v).over(w).alias("max"), F.min(v).over(w).alias("min"),
+                        F.avg(v).over(w).alias("mean"), F.var_pop(v).over(w).alias("var"))
+
+    d = (df.withColumn("_pos", F.row_number().over(by_ticker()) - 1)
+         .withColumn("_block", F.floor(F.col("_pos") / rows)))
+    d = d.withColumn("_head", parts(head)).withColumn("_tail", parts(tail))
+    d = d.withColumn("_old", F.lag("_tail", rows - 1).over(by_ticker()))
+    h, o = F.col("_head"), F.col("_old")
+    # A full block is its own frame; the first block has nothing before it.
+    split = o.isNotNull() & (h["n"] < rows)
+    n = h["n"] + o["n"]
+    gap = h["mean"] - o["mean"]
+    mean = F.when(split, (h["n"] * h["mean"] + o["n"] * o["mean"]) / n).otherwise(h["mean"])
+    squares = F.when(split, h["n"] * h["var"] + o["n"] * o["var"] + gap * gap * h["n"] * o["n"] / n) \
+        .otherwise(h["n"] * h["var"])
+    total = F.when(split, n).otherwise(h["n"])
+    high = F.when(split, F.greatest(h["max"], o["max"])).otherwise(h["max"])
+    low = F.when(split, F.least(h["min"], o["min"])).otherwise(h["min"])
+    sd = F.when(total > 1, F.when(high == low, 0.0).otherwise(F.sqrt(squares / (total - 1))))
+    ready = total >= min_rows
+    return d.select(*df.columns, F.when(ready, high).alias(f"{prefix}_max"), F.when(ready, mean).alias(f"{prefix}_mean"),
+                    F.when(ready, sd).alias(f"{prefix}_sd"))
+
+
 def with_trend(bars: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Rolling high, z-score and momentum columns."""
     close = F.col("close")
-    n, warm = cfg.year_rows, cfg.warmup_rows
-    sd = rolling(close, n, warm, F.stddev_samp)
-    return bars.select(
+    d = with_rolling_moments(bars, "close", cfg.year_rows, cfg.warmup_rows, "_y")
+    return d.select(
         *bars.columns,
-        rolling(close, n, warm, F.max).alias("high_52w"),
-        rolling(close, n, warm, F.avg).alias("mean_52w"),
-        sd.alias("sd_52w"),
-        ratio(close - rolling(close, n, warm, F.avg), sd).alias("zscore"),
-        (ratio(lagged(close, cfg.month_rows), lagged(close, n)) - 1).alias("ret_12_1"),
+        F.col("_y_max").alias("high_52w"), F.col("_y_mean").alias("mean_52w"), F.col("_y_sd").alias("sd_52w"),
+        ratio(close - F.col("_y_mean"), F.col("_y_sd")).alias("zscore"),
+        (ratio(lagged(close, cfg.month_rows), lagged(close, cfg.year_rows)) - 1).alias("ret_12_1"),
         (ratio(close, lagged(close, cfg.half_year_rows)) - 1).alias("ret_6m"))
 
 

@@ -38,24 +38,37 @@ def pct_rank_avg(df: DataFrame, by: list[str], value: str, out: str) -> DataFram
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated percentiles per group, one column per point."""
-    ranks = value_ranks(df, by, value)
-    first, last = F.col("below"), F.col("below") + F.col("cnt") - 1
+    """Exact linear-interpolated percentiles per group, one column per point.
 
-    def at(position: Column) -> Column:
-        return F.max(F.when((first <= position) & (position <= last), F.col(value)))
-
-    picked = []
-    for name, q in points.items():
-        pos = (F.col("n") - 1) * F.lit(q)
-        picked += [at(F.floor(pos)).alias(f"_lo_{name}"), at(F.ceil(pos)).alias(f"_hi_{name}")]
-    found = ranks.groupBy(*by).agg(F.max("n").alias("n"), *picked)
-    out = []
+    Selection instead of sorting: bucket counts (combined map-side, tiny) tell
+    which buckets hold the wanted positions, and only the rows of those
+    buckets are counted by value and shuffled.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, value, order_bin(value).alias("_bin"))
+    across = Window.partitionBy(*by)
+    bins = (rows.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_size"))
+            .withColumn("_before", F.sum("_size").over(across.orderBy("_bin")) - F.col("_size"))
+            .withColumn("_n", F.sum("_size").over(across)))
+    wanted = []
     for name, q in points.items():
-        pos = (F.col("n") - 1) * F.lit(q)
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return found.select(*by, *out)
+        pos = (F.col("_n") - 1) * F.lit(q)
+        wanted += [F.struct(F.lit(f"lo_{name}").alias("slot"), F.floor(pos).alias("at"), (pos - F.floor(pos)).alias("part")),
+                   F.struct(F.lit(f"hi_{name}").alias("slot"), F.ceil(pos).alias("at"), (pos - F.floor(pos)).alias("part"))]
+    hit = F.filter(F.array(*wanted), lambda s: (s["at"] >= F.col("_before")) & (s["at"] < F.col("_before") + F.col("_size")))
+    # At most two buckets per point and group remain.
+    chosen = bins.withColumn("_hit", hit).where(F.size("_hit") > 0).select(*by, "_bin", "_before", "_hit")
+    counted = (rows.join(chosen.select(*by, "_bin"), [*by, "_bin"], "left_semi")
+               .groupBy(*by, "_bin", value).agg(F.count(F.lit(1)).alias("_cnt")))
+    inside = Window.partitionBy(*by, "_bin").orderBy(value)
+    placed = counted.withColumn("_upto", F.sum("_cnt").over(inside)).join(chosen, [*by, "_bin"])
+    first, end = F.col("_before") + F.col("_upto") - F.col("_cnt"), F.col("_before") + F.col("_upto")
+    found = placed.withColumn("s", F.explode("_hit")).where((F.col("s.at") >= first) & (F.col("s.at") < end))
+    wide = found.groupBy(*by).agg(
+        *[F.max(F.when(F.col("s.slot") == f"{side}_{name}", F.col(value))).alias(f"_{side}_{name}")
+          for name in points for side in ("lo", "hi")],
+        *[F.max(F.when(F.col("s.slot") == f"lo_{name}", F.col("s.part"))).alias(f"_part_{name}") for name in points])
+    out = [(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}")).alias(n) for n in points]
+    return wide.select(*by, *out)
 
 
 def nearest_to_percentile(df: DataFrame, key: str, value: str, points: dict[str, float]) -> DataFrame:

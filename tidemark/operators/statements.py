@@ -154,10 +154,6 @@ def statement_states(periods: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 STATE_COLS = ["qi", "ai", "qb", "ab", "qc", "ac"]
 
 
-def statement_stream(periods: DataFrame, cfg: Settings = DEFAULT) -> Stream:
-    return Stream(statement_states(periods, cfg), "published", STATE_COLS)
-
-
 def ps_points(periods: DataFrame, closes: DataFrame, company: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Price/sales of each period on its publication day, one column per freq."""
     inc = (periods.where((F.col("statement") == "income") & (F.col("revenue") > 0))

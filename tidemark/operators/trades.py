@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Settings
 from tidemark.functions.columns import spread
-from tidemark.operators.compound import compound_curve, compound_stats
+from tidemark.operators.compound import (
+    chunk_summaries, combine_chunks, compound_curve, merged_moments, moments, pooled)
 from tidemark.operators.ranks import percentiles
 
 # Trades of one entry day have no order of their own; md5 of the ticker fixes
@@ -93,18 +94,26 @@ def period_metrics(trades: DataFrame, periods: DataFrame, bench: DataFrame,
     ids = ["period", "kind", "fold"]
     years = periods.withColumn("year", F.explode(F.sequence("start_year", F.col("end_year") - 1)))
     t = ordered(trades.where(F.col("return_dec").isNotNull())).withColumn("year", F.year("entry_date").cast("bigint"))
-    rows = t.join(years, "year")
     dec, pct, size = F.col("return_dec"), F.col("return_pct"), cfg.position_size
-    base = rows.groupBy(*ids, "start_year", "end_year").agg(
-        F.count(F.lit(1)).alias("n_trades"),
-        F.count_if(F.col("tier") == "qvm").alias("n_qvm"), F.count_if(F.col("tier") == "crash").alias("n_crash"),
-        (win(pct) * 100).alias("win_rate"), F.avg(pct).alias("avg_return"),
-        F.max(pct).alias("best_trade"), F.min(pct).alias("worst_trade"), F.avg("hold_days").alias("avg_hold"),
-        F.avg(dec * size).alias("_mean"), F.stddev_pop(dec * size).alias("_sd"),
-        F.coalesce(F.sum(F.when(pct > 0, pct)), F.lit(0.0)).alias("_won"),
-        F.sum(F.when(pct <= 0, pct)).alias("_lost"))
-    grown = compound_stats(rows, ids, CHUNK, ORDER, dec, size)
-    median = percentiles(rows, ids, "return_pct", {"median_return": 0.5})
+    # Chunks (day x salt) lie within one year, so they are summed up once and
+    # only their summaries are repeated for every period that covers them.
+    chunks = chunk_summaries(
+        t, ["year"], CHUNK, ORDER, 1 + size * dec, *moments(dec * size, "r"),
+        F.count_if(F.col("tier") == "qvm").alias("qvm"), F.count_if(F.col("tier") == "crash").alias("crash"),
+        F.count_if(pct > 0).alias("won_n"), F.sum(pct).alias("pct_sum"), F.max(pct).alias("best"), F.min(pct).alias("worst"),
+        F.sum("hold_days").alias("hold_sum"), F.count("hold_days").alias("hold_n"),
+        F.sum(F.when(pct > 0, pct)).alias("won"), F.sum(F.when(pct <= 0, pct)).alias("lost"))
+    base = combine_chunks(
+        chunks.join(years, "year"), [*ids, "start_year", "end_year"], CHUNK, *merged_moments("r"),
+        F.sum("qvm").alias("n_qvm"), F.sum("crash").alias("n_crash"), F.sum("won_n").alias("_won_n"),
+        F.sum("pct_sum").alias("_pct"), F.max("best").alias("best_trade"), F.min("worst").alias("worst_trade"),
+        (F.sum("hold_sum") / F.sum("hold_n")).alias("avg_hold"),
+        F.coalesce(F.sum("won"), F.lit(0.0)).alias("_won"), F.sum("lost").alias("_lost"))
+    mean, sd = pooled("r")
+    base = (base.withColumn("_mean", mean).withColumn("_sd", sd).withColumn("n_trades", F.col("r_n"))
+            .withColumn("win_rate", F.col("_won_n") / F.col("r_n") * 100)
+            .withColumn("avg_return", F.col("_pct") / F.col("r_n")))
+    median = percentiles(t.select("year", "return_pct").join(years, "year"), ids, "return_pct", {"median_return": 0.5})
     market = (years.join(bench, "year")
               .groupBy(*ids).agg(F.product(1 + F.col("ret_pct") / 100).alias("_b"), F.count(F.lit(1)).alias("_bn"))
               .select(*ids, (F.pow("_b", 1 / F.col("_bn")) - 1).alias("_bench")))
@@ -117,7 +126,7 @@ def period_metrics(trades: DataFrame, periods: DataFrame, bench: DataFrame,
     factor = (F.when(lost.isNull(), F.col("_won")).when(lost > 0, F.col("_won") / lost)
               .otherwise(F.lit(float("inf"))))
     sharpe = F.when(F.col("_sd") > 0, F.col("_mean") / F.col("_sd") * F.sqrt(F.col("n_trades") / F.col("_years")))
-    return (base.join(grown, ids).join(median, ids).join(market, ids, "left").withColumn("_years", span)
+    return (base.join(median, ids).join(market, ids, "left").withColumn("_years", span)
             .select(*ids, "start_year", "end_year", "n_trades", "n_qvm", "n_crash", "win_rate", "avg_return",
                     "median_return", "best_trade", "worst_trade", "avg_hold", (cagr * 100).alias("cagr"),
                     (bench_cagr * 100).alias("bench_cagr"), ((cagr - bench_cagr) * 100).alias("alpha"),

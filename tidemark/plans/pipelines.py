@@ -39,6 +39,15 @@ class Inputs:
     def periods(self) -> DataFrame:
         return self.stage(statements.period_table(self.fundamentals), "periods")
 
+    @cached_property
+    def states(self) -> Stream:
+        frame = self.stage(statements.statement_states(self.periods, self.cfg), "states")
+        return Stream(frame, "published", statements.STATE_COLS)
+
+    @cached_property
+    def ps_points(self) -> DataFrame:
+        return self.stage(statements.ps_points(self.periods, self.features, self.company, self.cfg), "ps-points")
+
     @cached_property
     def days(self) -> DataFrame:
         return self.benchmark.where(F.col("close").isNotNull()).select("date").distinct()
@@ -106,9 +115,8 @@ def fundamentals_asof(grid: DataFrame, inp: Inputs, as_of: str = "as_of") -> Dat
     """
     f = inp.features
     seen = asof_backward(grid, "ticker", as_of, [
-        statements.statement_stream(inp.periods, inp.cfg), Stream(f, "date", ["close", "ret_6m"])])
-    points = statements.ps_points(inp.periods, f, inp.company, inp.cfg)
-    seen = statements.with_ps_history(seen, points, as_of, inp.cfg)
+        inp.states, Stream(f, "date", ["close", "ret_6m"])])
+    seen = statements.with_ps_history(seen, inp.ps_points, as_of, inp.cfg)
     seen = seen.join(statements.shares_used(inp.company), "ticker", "left")
     out = metrics.with_ps_stats(metrics.with_metrics(seen, inp.cfg), inp.cfg)
     return filters.with_quality_filters(out, inp.cfg)
@@ -151,23 +159,26 @@ def in_force(quarters: DataFrame) -> DataFrame:
     return quarters.select("effective", F.lead("effective").over(w).alias("until"))
 
 
-def daily_timing(inp: Inputs, probe: DataFrame, as_of: str = "date") -> DataFrame:
-    """Entry filters for each (ticker, day) of ``probe``.
+def daily_timing(inp: Inputs, probe: DataFrame, as_of: str = "date", until: Column | None = None) -> DataFrame:
+    """Entry filters for each (ticker, day) of ``probe``. Where the caller knows
+    the last probed day, ``until`` lets the scans skip everything later.
 
     Whole-row price features, per-column close, sector momentum, statement
     states and P/S history are as-of looked up in one stacked pass; the market
     state joins by date (one row per calendar day).
     """
-    f = inp.features.withColumn("close_row", F.col("close"))
+    def known(df: DataFrame, ts: str) -> DataFrame:
+        return df if until is None else df.where(F.col(ts) <= until)
+
+    f = known(inp.features, "date").withColumn("close_row", F.col("close"))
     row_cols = ["close_row", "high_52w", "zscore", "ema_50", "ret_12_1", "mean_52w", "sd_52w"]
     seen = asof_backward(probe, "ticker", as_of, [
         Stream(f, "date", row_cols, row=True, name="px", complete=prices.FEATURES),
         Stream(f, "date", ["close", "ret_6m"]),
-        Stream(inp.momentum, "date", ["momentum_rank"]),
-        statements.statement_stream(inp.periods, inp.cfg)])
+        Stream(known(inp.momentum, "date"), "date", ["momentum_rank"]),
+        replace(inp.states, frame=known(inp.states.frame, "published"))])
     seen = seen.select("*", "px.*").drop("px")
-    points = statements.ps_points(inp.periods, inp.features, inp.company, inp.cfg)
-    seen = statements.with_ps_history(seen, points, as_of, inp.cfg)
+    seen = statements.with_ps_history(seen, known(inp.ps_points, "published"), as_of, inp.cfg)
     seen = seen.join(statements.shares_used(inp.company), "ticker", "left")
     full = metrics.with_ps_stats(metrics.with_metrics(seen, inp.cfg), inp.cfg)
     state = inp.market.withColumnRenamed("date", as_of)
@@ -193,9 +204,9 @@ def funnel(panel: DataFrame, signals: DataFrame) -> DataFrame:
         F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"))
 
 
-def all_filters(inp: Inputs, probe: DataFrame, as_of: str = "date") -> DataFrame:
+def all_filters(inp: Inputs, probe: DataFrame, as_of: str = "date", until: Column | None = None) -> DataFrame:
     """The twelve filters for each (ticker, day) of ``probe``."""
-    both = filters.with_quality_filters(daily_timing(inp, probe, as_of), inp.cfg)
+    both = filters.with_quality_filters(daily_timing(inp, probe, as_of, until), inp.cfg)
     return both.withColumn("all_pass", F.col("quality_pass") & F.col("entry_pass"))
 
 
@@ -222,7 +233,7 @@ def signal_records(scan: DataFrame) -> DataFrame:
 
 
 def live_scan(inp: Inputs, date: Column, only_passing: bool = True) -> DataFrame:
-    records = signal_records(all_filters(inp, on_date(inp, date)))
+    records = signal_records(all_filters(inp, on_date(inp, date), until=date))
     return records.where("all_pass") if only_passing else records
 
 
@@ -241,7 +252,7 @@ def research_report(inp: Inputs, probe: DataFrame, purchases: DataFrame | None =
 
 def thesis_states(inp: Inputs) -> DataFrame:
     """The thesis verdict in force from each publication day."""
-    stream = statements.statement_stream(inp.periods, inp.cfg)
+    stream = inp.states
     probe = stream.frame.select("ticker", "published").distinct()
     seen = asof_backward(probe, "ticker", "published", [stream])
     bare = seen.select("*", F.lit(None).cast("double").alias("close"), F.lit(None).cast("double").alias("shares_used"))
