@@ -97,7 +97,7 @@ query("q16_trade_equity", "date n! equity:0 drawdown:5", f"""SELECT date, n, equ
 
 
 def bench_years(w):
-    return w.panel.benchmark().groupBy(F.year("date").cast("bigint").alias("year")).agg(
+    return w.inputs.benchmark.groupBy(F.year("date").cast("bigint").alias("year")).agg(
         (F.max_by("close", "date") / F.min_by("close", "date") * 100 - 100).alias("ret_pct"))
 
 

@@ -84,12 +84,16 @@ def one_per_day(probe: DataFrame, key: str, ts: str) -> DataFrame:
 def available_periods(grid: DataFrame, periods: DataFrame, key: str, as_of: str, period_end: str,
                       lag: int, lookback: int | None = None) -> DataFrame:
     """Periods published by ``as_of``, optionally only those of a look-back.
-    The key is an equi-condition, so this never becomes a nested loop."""
+
+    The key is an equi-condition, so this never becomes a nested loop. Grids
+    are often exploded (tickers x dates), which Spark underestimates, hence the
+    merge join instead of a broadcast.
+    """
     p = periods.withColumn("available", F.date_add(period_end, lag)).withColumnRenamed(key, "_k")
     cond: Column = (F.col(key) == F.col("_k")) & (F.col("available") <= F.col(as_of))
     if lookback is not None:
         cond &= F.col("available") >= F.date_sub(F.col(as_of), lookback)
-    return grid.join(p, cond).drop("_k")
+    return grid.join(p.hint("merge"), cond).drop("_k")
 
 
 def bars_since_entry(entries: DataFrame, bars: DataFrame, key: str, entry: str, until: Column,

@@ -37,17 +37,23 @@ def draws(returns: DataFrame, sims: int, seed: int = 42) -> DataFrame:
     simulation as there are rows in ``returns`` (idx, return_dec)."""
     spark = returns.sparkSession
     n = returns.agg(F.count(F.lit(1))).scalar()
-    # Two explodes: sims are spread over tasks, draws over blocks of a sim.
+    # Two explodes: sims to blocks, blocks to draws. The block rows are few but
+    # grow a thousandfold, so their partitions are fixed by number: adaptive
+    # execution would coalesce them into one task.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = (spark.range(sims).withColumnRenamed("id", "sim").withColumn("_n", n)
               .select("sim", "_n", F.explode(F.sequence(
                   F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / CHUNK_DRAWS).cast("bigint"))).alias("block"))
-              .where(F.col("_n") > 0).repartition("sim", "block"))
+              .where(F.col("_n") > 0).repartition(parts, "sim", "block"))
     low = F.col("block") * CHUNK_DRAWS
     rows = blocks.select("sim", "block", "_n", F.explode(F.sequence(
         low, F.least(low + CHUNK_DRAWS, F.col("_n")) - 1)).alias("draw"))
     text = F.concat_ws("-", F.col("sim").cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))
-    idx = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.col("_n")
-    return rows.select("sim", "block", "draw", idx.alias("idx")).join(returns, "idx")
+    # Never NULL: otherwise Spark hashes every draw a second time in a null filter.
+    idx = F.coalesce(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.col("_n"), F.lit(0))
+    # Draws come from two explodes, whose size Spark cannot foresee: left alone
+    # it would broadcast them. Both sides are shuffled by the (uniform) number.
+    return rows.select("sim", "block", "draw", idx.alias("idx")).join(returns.hint("shuffle_hash"), "idx")
 
 
 def simulate(returns: DataFrame, sims: int, years: float = 5.0, seed: int = 42,
