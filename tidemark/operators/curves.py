@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Settings
+from tidemark.functions.columns import growth, ratio
 
 KEY = "scenario"
 
@@ -16,25 +17,25 @@ def _w() -> Window:
 
 
 def with_returns(curve: DataFrame) -> DataFrame:
-    return curve.withColumn("ret", F.col("value") / F.lag("value").over(_w()) - 1)
+    return curve.withColumn("ret", growth("value", F.lag("value").over(_w())))
 
 
 def with_drawdown(curve: DataFrame) -> DataFrame:
     peak = F.max("value").over(_w().rowsBetween(Window.unboundedPreceding, 0))
-    return curve.withColumn("peak", peak).withColumn("drawdown", (F.col("value") - F.col("peak")) / F.col("peak"))
+    return curve.withColumn("peak", peak).withColumn("drawdown", ratio(F.col("value") - F.col("peak"), "peak"))
 
 
 def rolling_alpha(pairs: DataFrame, rows: int = 252) -> DataFrame:
     """Trailing sum of (model - benchmark) daily returns in percent, once full."""
     frame = _w().rowsBetween(-(rows - 1), 0)
-    r = (pairs.withColumn("_d", (F.col("model") / F.lag("model").over(_w()) - 1)
-                          - (F.col("bench") / F.lag("bench").over(_w()) - 1)))
+    r = (pairs.withColumn("_d", growth("model", F.lag("model").over(_w()))
+                          - growth("bench", F.lag("bench").over(_w()))))
     full = F.count("_d").over(frame) == rows
     return r.withColumn("rolling_alpha", F.when(full, F.sum("_d").over(frame) * 100)).drop("_d")
 
 
 def annualised(first: Column, last: Column, days: Column) -> Column:
-    return F.when(days > 0, F.pow(last / first, 365.25 / days) - 1)
+    return F.when((days > 0) & (first != 0), F.pow(ratio(last, first), ratio(F.lit(365.25), days)) - 1)
 
 
 def curve_metrics(curve: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -55,7 +56,7 @@ def yearly_returns(curve: DataFrame) -> DataFrame:
     """Change of each year's last value; the first year has none."""
     y = curve.groupBy(KEY, F.year("date").cast("bigint").alias("year")).agg(F.max_by("value", "date").alias("last"))
     w = Window.partitionBy(KEY).orderBy("year")
-    return (y.withColumn("ret", F.col("last") / F.lag("last").over(w) - 1)
+    return (y.withColumn("ret", growth("last", F.lag("last").over(w)))
             .where(F.col("ret").isNotNull()).select(KEY, "year", "ret"))
 
 
@@ -83,7 +84,7 @@ def buy_and_hold(series: DataFrame, capital: float) -> DataFrame:
     first = F.first("close", ignorenulls=True).over(
         _w().rowsBetween(Window.unboundedPreceding, 0))
     return (series.withColumn(KEY, F.lit("benchmark"))
-            .select(KEY, "date", (F.col("close") / first * capital).alias("value")))
+            .select(KEY, "date", (ratio("close", first) * capital).alias("value")))
 
 
 def regime_flags(features: DataFrame) -> DataFrame:

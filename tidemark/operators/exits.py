@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Settings
+from tidemark.functions.columns import growth
 from tidemark.operators.asof import Stream, asof_backward, asof_forward, bars_since_entry
 from tidemark.operators.prices import with_atr
 
@@ -148,7 +149,7 @@ def resolve_exits(entries: DataFrame, bars: DataFrame, states: DataFrame | None
 
 def trade_table(exits: DataFrame, capital: float = 100_000.0) -> DataFrame:
     """Return, dollars and days held of resolved entries."""
-    r = F.col("exit_price") / F.col("entry_price") - 1
+    r = growth("exit_price", "entry_price")
     return exits.select(
         "ticker", "tier", "entry_date", "entry_price", "exit_date", "exit_price",
         r.alias("return_dec"), (r * 100).alias("return_pct"), (r * capital).alias("pnl_dollars"),

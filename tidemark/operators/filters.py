@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Settings
-from tidemark.functions.columns import all_true, strictly, votes
+from tidemark.functions.columns import all_true, ratio, strictly, votes
 from tidemark.operators.asof import Stream, asof_backward
 
 QUALITY = ["f1_rev_growth", "f2_gross_margin", "f3_roic", "f4_de_ratio", "f5_fcf", "f6_peg_ps", "f7_fcf_yield"]
@@ -93,7 +93,7 @@ def check_list(cfg: Settings = DEFAULT) -> list[tuple[str, str, Column, Column,
     """The 18 sub-checks: (id, group, passed, value, threshold)."""
     c = F.col
     off = F.when(c("high_52w") > 0, (c("high_52w") - c("close_row")) / c("high_52w"))
-    gap = (c("close_row") - c("ema_50")) / c("ema_50")
+    gap = ratio(c("close_row") - c("ema_50"), "ema_50")
     runway = F.when(c("fcf") > 0, True).otherwise(c("runway") >= cfg.min_runway_months)
     rank = F.coalesce(c("momentum_rank") > cfg.momentum_floor, F.lit(True))
     stable = c("gm0") >= c("gm1") - cfg.margin_slack

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Settings
-from tidemark.functions.columns import array_percentile, clamp, ratio
+from tidemark.functions.columns import array_percentile, clamp, growth, ratio
 
 
 def chosen(kind: str, k: int) -> tuple[Column, Column]:
@@ -95,17 +95,17 @@ def quality_score() -> Column:
     b, _ = chosen("b", 1)
     c, _ = chosen("c", 4)
     assets, before = b["assets"], b["assets_prior"]
-    roa = i["net_ttm"] / assets
+    roa = ratio(i["net_ttm"], assets)
     gross = i["has_gross"]
     points = [
         roa > 0,
         c["ocf"] > 0,
-        (before > 0) & (roa > i["net_prior"] / before),
+        (before > 0) & (roa > ratio(i["net_prior"], before)),
         c["ocf"] > i["net_ttm"],
-        (before > 0) & (b["debt"] / assets <= b["debt_prior"] / before),
+        (before > 0) & (ratio(b["debt"], assets) <= ratio(b["debt_prior"], before)),
         gross & (i["revenue_ttm"] > 0) & (i["revenue_prior"] > 0)
-        & (i["gross_ttm"] / i["revenue_ttm"] > i["gross_prior"] / i["revenue_prior"]),
-        (before > 0) & (i["revenue_ttm"] / assets > i["revenue_prior"] / before),
+        & (ratio(i["gross_ttm"], i["revenue_ttm"]) > ratio(i["gross_prior"], i["revenue_prior"])),
+        (before > 0) & (ratio(i["revenue_ttm"], assets) > ratio(i["revenue_prior"], before)),
     ]
     total: Column = F.lit(0)
     for p in points:
@@ -119,7 +119,7 @@ def peg(pe: Column) -> Column:
     q, a = F.col("qi"), F.col("ai")
 
     def from_growth(now: Column, before: Column) -> Column:
-        g = now / before - 1
+        g = growth(now, before)
         return F.when((before > 0) & (g > 0), pe / (g * 100))
 
     quarterly = F.when((q["n"] >= 8) & q["has_net"], from_growth(q["net_ttm"], q["net_prior"]))

@@ -180,8 +180,8 @@ def benchmark_features(benchmark: DataFrame, cfg: Settings = DEFAULT) -> DataFra
     high = rolling(F.col("close"), cfg.year_rows, cfg.warmup_rows, F.max, w)
     return (e.withColumn("high_rolling", high)
             .select(TS, "close", "ema_200", "high_rolling",
-                    ((F.col("ema_200") - F.col("close")) / F.col("ema_200")).alias("below_trend"),
-                    ((F.col("high_rolling") - F.col("close")) / F.col("high_rolling")).alias("drawdown")))
+                    ratio(F.col("ema_200") - F.col("close"), "ema_200").alias("below_trend"),
+                    ratio(F.col("high_rolling") - F.col("close"), "high_rolling").alias("drawdown")))
 
 
 def with_atr(bars: DataFrame, period: int = 22, out: str = "atr") -> DataFrame:
@@ -211,9 +211,9 @@ def live_snapshot(bars: DataFrame, info: DataFrame | None = None) -> DataFrame:
     price = F.col("price")
     out = rows.select(
         KEY, TS, price, "high_52w", "ema50",
-        ((price - F.col("high_52w")) / F.col("high_52w") * 100).alias("off_high"),
-        ((price - F.col("ema50")) / F.col("ema50") * 100).alias("vs_ema50"),
-        ((price / F.col("_then") - 1) * 100).alias("mom_6m"))
+        (ratio(price - F.col("high_52w"), "high_52w") * 100).alias("off_high"),
+        (ratio(price - F.col("ema50"), "ema50") * 100).alias("vs_ema50"),
+        ((ratio(price, "_then") - 1) * 100).alias("mom_6m"))
     return out if info is None else out.join(info, KEY, "left")
 
 

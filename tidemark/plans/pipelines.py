@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Settings
+from tidemark.functions.columns import growth
 from tidemark.operators import exits, filters, metrics, prices, ranking, statements
 from tidemark.operators.asof import Stream, asof_backward, asof_forward
 from tidemark.sources.sinks import stage
@@ -276,11 +277,11 @@ def basket_returns(inp: Inputs, targets: DataFrame, quarters: DataFrame) -> Data
     start = asof_backward(held, "ticker", "effective", [closes]).withColumnRenamed("close", "p0")
     both = asof_backward(start, "ticker", "until", [closes]).withColumnRenamed("close", "p1")
     per = both.groupBy("effective", "until").agg(
-        F.avg(F.col("p1") / F.col("p0") - 1).alias("basket_ret"), F.count(F.lit(1)).alias("names"))
+        F.avg(growth("p1", "p0")).alias("basket_ret"), F.count(F.lit(1)).alias("names"))
     b = inp.benchmark.select("date", "close")
     market = (spans.join(b.select(F.col("date").alias("effective"), F.col("close").alias("b0")), "effective")
               .join(b.select(F.col("date").alias("until"), F.col("close").alias("b1")), "until")
-              .select("effective", (F.col("b1") / F.col("b0") - 1).alias("bench_ret")))
+              .select("effective", growth("b1", "b0").alias("bench_ret")))
     w = Window.orderBy("effective").rowsBetween(Window.unboundedPreceding, 0)  # one row per quarter
     return (per.join(market, "effective")
             .withColumn("basket_growth", F.product(1 + F.col("basket_ret")).over(w))

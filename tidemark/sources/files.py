@@ -67,9 +67,10 @@ def records_to_long(records: DataFrame, statement: str, freq: str,
             F.coalesce(F.col("incomeTaxExpense"), F.lit(0.0)), F.col("incomeBeforeTax")))
     fields = [f for f in RECORD_ITEMS if f in records.columns]
     wide = (records.where(F.length("date") > 0)
-            .select("ticker", "pos", F.to_date(F.substring("date", 1, 10)).alias("period_end"),
+            .select("ticker", "pos", F.substring("date", 1, 10).try_cast("date").alias("period_end"),
                     *[F.col(f).cast("double").alias(RECORD_ITEMS[f]) for f in fields],
-                    *[c.alias(n) for n, c in extra.items()]))
+                    *[c.alias(n) for n, c in extra.items()])
+            .where(F.col("period_end").isNotNull()))
     once = latest_duplicate(wide, ["ticker", "period_end"], "pos")
     items = [c for c in once.columns if c not in ("ticker", "period_end")]
     return once.unpivot(["ticker", "period_end"], items, "item", "value").select(
@@ -103,7 +104,7 @@ def compact_to_long(responses: DataFrame, statement: str, items: dict[str, str])
     if statement == "balance":
         cols["Total Debt"] = total_debt(num("Long Term Debt"), num("Short Term Debt"))
     wide = (rows.select("ticker", "pos", freq.alias("freq"),
-                        F.to_date(F.substring(F.try_element_at("m", F.lit("Report Date")), 1, 10)).alias("period_end"),
+                        F.substring(F.try_element_at("m", F.lit("Report Date")), 1, 10).try_cast("date").alias("period_end"),
                         *[c.alias(n) for n, c in cols.items()])
             .where(F.col("freq").isNotNull() & F.col("period_end").isNotNull()))
     once = latest_duplicate(wide, ["ticker", "freq", "period_end"], "pos")
