@@ -368,16 +368,14 @@ def _(w):
     return snapshots.detect_changes(now, snapshots.next_state(before))
 
 
-@query("q18_board", "ticker! price:4 off_high:4 vs_ema50:4 quick_f8 quick_f9 quick_f12 score! label pos!", """SELECT *, row_number() OVER (
-  ORDER BY CASE WHEN coalesce(score, 0) >= 11 THEN 0 WHEN coalesce(score, 0) >= 9 THEN 1 ELSE 2 END, coalesce(score, 0) DESC, ticker) AS pos,
+@query("q18_board", "ticker! price:4 off_high:4 vs_ema50:4 quick_f8 quick_f9 quick_f12 score! label tier!", """SELECT *,
+  CASE WHEN coalesce(score, 0) >= 11 THEN 0 WHEN coalesce(score, 0) >= 9 THEN 1 ELSE 2 END AS tier,
   CASE WHEN score IS NULL THEN 'Scan needed' WHEN score >= 12 THEN 'Signal' WHEN score >= 11 THEN 'Near Signal' WHEN score >= 9 THEN 'Watch' ELSE 'Wait' END AS label
   FROM quick q LEFT JOIN (SELECT ticker, score FROM scores WHERE date = DATE '2024-01-16') s USING (ticker)""")
 def _(w):
     s = w.panel.scores().where(F.col("date") == "2024-01-16")
     b = plans.board(prices.live_snapshot(w.bars), s, last_fear(w))
-    from pyspark.sql import Window
-    # The position restates the board's order for the comparison; one row per ticker.
-    return b.withColumn("pos", F.row_number().over(Window.orderBy(*ranking.board_order())))
+    return b.withColumn("tier", ranking.board_order()[0])
 
 
 @query("w8_board_order", "ticker! date score! tier!", """SELECT *, CASE WHEN score >= 11 THEN 0 WHEN score >= 9 THEN 1 ELSE 2 END AS tier FROM scores""")

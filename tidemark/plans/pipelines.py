@@ -187,12 +187,19 @@ def daily_timing(inp: Inputs, probe: DataFrame, as_of: str = "date", until: Colu
 
 
 def entry_signals(inp: Inputs, lists: DataFrame, quarters: DataFrame) -> DataFrame:
-    """Every day x name of the watchlist in force that passes F8-F12."""
-    members = lists.select("ticker", "effective").join(in_force(quarters), "effective")
-    days = inp.bars.where(F.col("close").isNotNull()).select(F.col("ticker").alias("_t"), "date")
-    probe = (members.join(days, (F.col("ticker") == F.col("_t")) & (F.col("date") >= F.col("effective"))
-                          & (F.col("until").isNull() | (F.col("date") < F.col("until"))))
-             .select("ticker", "date", "effective"))
+    """Every day x name of the watchlist in force that passes F8-F12.
+
+    Which list rules on a day is a calendar question, so days are labelled
+    first (one row per day) and members are then an equi-join on (ticker,
+    effective) instead of an interval join.
+    """
+    cal = F.lit("calendar")
+    ruling = asof_backward(inp.days.select(cal.alias("cal"), "date"), "cal", "date", [
+        Stream(quarters.select(cal.alias("cal"), F.col("effective").alias("at"), "effective"), "at", ["effective"])])
+    days = inp.bars.where(F.col("close").isNotNull()).select("ticker", "date").join(
+        ruling.select("date", "effective"), "date")
+    probe = days.join(lists.select("ticker", "effective"), ["ticker", "effective"], "left_semi").select(
+        "ticker", "date", "effective")
     return daily_timing(inp, probe).where("entry_pass")
 
 
