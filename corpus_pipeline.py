@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, exact_dedup, toxicity
+from tidemark.llm import bagminhash, bpe, decontaminate, exact_dedup, toxicity
 from tidemark.llm.common import ship, stage, table
 from tidemark.llm.queries import public_ranks
 
@@ -26,6 +26,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.distinct_documents(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return bagminhash.one_of_each(docs)
+
+
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -38,7 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("decontaminate", drop_benchmark), ("encode", encode)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("decontaminate", drop_benchmark), ("encode", encode)]
 
 #: The classifier and the near-duplicate stage have no SQL form; tests hold the rows against brute force.
 ORACLE_SQL = None

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import annotate, bounded, stage
+from tidemark.llm.common import annotate, bounded, let, stage
 
 #: Words in the broadcast dictionary at most; bytes of the longest word that is folded; map buckets.
 DICTIONARY, LONG, BUCKETS = 1 << 20, 64, 1 << 14
@@ -65,11 +65,6 @@ class Ranks:
         return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def encoded(word: Column, ranks: Column) -> Column:
     """Ids of a word given as upper-case hexadecimal, by folding ranked merges over its bytes.
 

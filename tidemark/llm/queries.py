@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, exact_dedup, langid, toxicity
+from tidemark.llm import bagminhash, bpe, chat, decontaminate, exact_dedup, hilbert, langid, line_dedup, toxicity, warc
 from tidemark.llm.common import crc_mod, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,40 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = toxicity.score(docs, model, F.col("text"))
     return got.select("row.doc_id", F.coalesce(crc_mod(F.col("row.doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
+@query()
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT h, max(page_id) AS holder FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN holder IS NULL OR page_id IS NOT DISTINCT FROM holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM holder THEN holder END AS refers_to
+FROM p LEFT JOIN g ON p.h = g.h AND p.n >= 1000
+""")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents")).drop("key")
+
+
+@query()
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    return chat.read_back(chat.format_conversations(turns.union(own)))
+
+
+@query()
+def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = hilbert.document_shards(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
