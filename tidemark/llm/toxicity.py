@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-``fit`` takes a bounded sample of labelled documents, keeps the words that labels speak through (chi-square
-and share among toxic examples, a bounded number), counts in how many documents of the whole corpus each
+``fit`` takes a bounded sample of labelled documents, keeps the words that labels speak through (likelihood
+ratio and share among toxic examples, a bounded number), counts in how many documents of the whole corpus each
 occurs, and indexes the examples' TF-IDF vectors. The index is inverted, its postings cut into blocks of
 examples with the largest weight of each word and block; a search visits blocks by falling upper bound and
 stops when no later block can hold a nearer example, so the k nearest are exact. Votes weigh by inverse
@@ -17,6 +17,7 @@ the examples; without labels every score is 0; rows with a null label or id are
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -27,8 +28,9 @@ from tidemark.llm.common import annotate, crc_mod, utf8, words_of
 
 #: Bounds of the model: labelled examples, words, examples per block, neighbours.
 EXAMPLES, FEATURES, BLOCK, NEIGHBOURS = 16_384, 4_096, 64, 15
-#: A word is kept if its chi-square is at least this and its share among toxic examples at least twice the mean.
-CHI_SQUARE, LIFT = 25.0, 2.0
+#: A word is kept if its share among toxic examples is at least twice the mean, and so far above it that among all
+#: words tried this many would be kept by chance.
+LIFT, CHANCE = 2.0, 0.01
 THRESHOLD = 0.7
 _CACHE = 50_000
 
@@ -130,17 +132,31 @@ class ToxicityModel:
         return self.__dict__ | {"_cache": {}}
 
 
+def _near_copy_keys(words: list[bytes], seeds: int = 3) -> list[int]:
+    """The smallest hash of the five-word shingles under each seed: near copies mostly share one."""
+    grams = [b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+    return [min(zlib.crc32(g, 0x5BD1E995 * k) for g in grams) for k in range(1, seeds + 1)]
+
+
+def _without_copies(examples: DataFrame) -> DataFrame:
+    """One example of each group of near copies, as copies would make any of their words look telling."""
+    for k in range(3):
+        examples = examples.groupBy(F.get("keys", F.lit(k))).agg(F.min(F.struct("id", "y", "terms", "keys")).alias("e")).select("e.*")
+    return examples
+
+
 def _terms(docs: DataFrame, keep=None) -> DataFrame:
     """``row`` and its distinct words with counts (of ``keep``, a broadcast set, if given)."""
 
     def fn(batch):
-        out = []
+        out, keys = [], []
         for t in utf8(batch.column("text")):
             ws = words_of(t)
             out.append([(w.decode(), c) for w, c in Counter(ws if keep is None else filter(keep.value.__contains__, ws)).items()])
-        return {"terms": out}
+            keys.append(_near_copy_keys(ws) if keep is None else [])
+        return {"terms": out, "keys": keys}
 
-    return annotate(docs, {"text": F.col("text")}, fn, "terms array<struct<w:string,c:int>>")
+    return annotate(docs, {"text": F.col("text")}, fn, "terms array<struct<w:string,c:int>>, keys array<bigint>")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -153,23 +169,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     some = known.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(EXAMPLES)
     picked = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(some), "id")  # EXAMPLES rows at most
-    terms = _terms(picked).select("row.id", "row.y", "terms").persist()
+    terms = _without_copies(_terms(picked).select("row.id", "row.y", "terms", "keys")).persist()
     n, n1 = terms.agg(F.count(F.lit(1)), F.sum("y")).first()
     n1 = n1 or 0
     if not n or not n1 or n1 == n:
         terms.unpersist()
         return ToxicityModel([], {}, 0, [(0, int(bool(n1)), {})] if n else [])
-    a, df = F.col("a"), F.col("df")
-    chi = F.lit(float(n)) * F.pow(a * (n - n1) - (df - a) * n1, 2) / (F.lit(float(n1)) * (n - n1) * df * (n - df + 1e-9))
-    chosen = (terms.select("y", F.explode("terms.w").alias("w")).groupBy("w").agg(F.sum("y").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("df"))
-              .withColumn("chi", chi).where((F.col("chi") >= CHI_SQUARE) & (a / df >= LIFT * n1 / n))
-              .orderBy(F.desc("chi"), "w").limit(FEATURES))
+    df = (terms.select("y", F.explode("terms.w").alias("w")).groupBy("w")
+          .agg(F.sum("y").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("b")).where("b > 1").persist())
+    least = 2.0 * float(np.log(max(1, df.count()) / CHANCE))
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    a, b = F.col("a"), F.col("b")
+    ratio = 2 * (part(a, b * n1 / n) + part(b - a, b * (n - n1) / n) + part(n1 - a, (n - b) * n1 / n) + part(n - n1 - b + a, (n - b) * (n - n1) / n))
+    chosen = df.withColumn("ratio", ratio).where((F.col("ratio") >= least) & (a / b >= LIFT * n1 / n)).orderBy(F.desc("ratio"), "w").limit(FEATURES)
     words = sorted(r.w for r in chosen.select("w").collect())
     keep = spark.sparkContext.broadcast(frozenset(w.encode() for w in words))
     examples = [(r.id, r.y, {t.w: t.c for t in r.terms}) for r in
                 terms.select("id", "y", F.filter("terms", lambda t: t.w.isin(words)).alias("terms")).collect()] if words else [
                     (r.id, r.y, {}) for r in terms.select("id", "y").collect()]
     terms.unpersist()
+    df.unpersist()
     counts = _terms(docs.select("text"), keep).select(F.explode("terms.w").alias("w")).groupBy("w").count()
     frequency = {r.w: r["count"] for r in counts.collect()}
     return ToxicityModel(words, frequency, docs.count(), sorted(examples, key=lambda e: (e[0], e[1])))
