@@ -1,6 +1,6 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words, by Spark's higher-order functions.
 
-The rank file becomes a literal map (hash buckets of piece -> rank, pieces in hexadecimal). ``encoded``
+The rank file becomes a literal map (a hash table from pairs of pieces to the rank of the joined piece). ``encoded``
 folds a word: the bytes are the first pieces, every step joins the adjacent pair of lowest rank, leftmost
 first, until none has a rank. It runs on distinct words, not on occurrences:
 
@@ -32,10 +32,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import annotate, bounded, let, stage
 
-#: Words in the broadcast dictionary at most; bytes of the longest word that is folded; map buckets.
-DICTIONARY, LONG, BUCKETS = 1 << 20, 64, 1 << 14
+#: Words in the broadcast dictionary at most; bytes of the longest word that is folded (a power of two).
+DICTIONARY, LONG = 1 << 20, 64
+#: Hash buckets and slots of the literal map; bits of an id.
+SHIFTS, SLOTS, _BITS = 1 << 15, 262_139, 20
+#: No rank; the first id that stands for a document's own word.
+_NONE, _PLACE = 1 << 24, 1 << 31
+_LONG_BITS = LONG.bit_length() - 1
 #: Distinct words that a task counts before it passes the counts on.
-_COUNTERS = 500_000
+_COUNTERS = 300_000
 
 
 class Ranks:
@@ -54,55 +59,71 @@ class Ranks:
         self.__dict__.update(state)
         self.pieces = {r: p for p, r in self.ranks.items()}
 
-    def literal_map(self, spark) -> Column:
-        """The ranks as a constant: an array of maps from piece to rank, by crc32 of the piece."""
-        import zlib
+    def literals(self) -> tuple[Column, Column, Column]:
+        """The rank map as constants: ids of the 256 bytes, and a hash table of the pairs of pieces that make a piece.
 
-        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+        The table has no collisions: the pairs of one hash bucket share a shift that leads all of them to free
+        slots. A slot holds left id, right id and rank in one number.
+        """
+        groups: dict[int, list[tuple[int, int, int]]] = {}
         for piece, rank in self.ranks.items():
-            key = piece.hex().upper()
-            buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-        return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
-
-
-def encoded(word: Column, ranks: Column) -> Column:
-    """Ids of a word given as upper-case hexadecimal, by folding ranked merges over its bytes.
-
-    The state holds the pieces ``p`` and the ranks ``r`` of each piece joined with its right neighbour.
+            for k in range(1, len(piece)):
+                a, b = self.ranks.get(piece[:k]), self.ranks.get(piece[k:])
+                if a is not None and b is not None:
+                    groups.setdefault((a * 31 + b) % SHIFTS, []).append((a, b, rank))
+        shifts, slots = [0] * SHIFTS, [0] * SLOTS
+        for g, pairs in sorted(groups.items(), key=lambda x: -len(x[1])):
+            for shift in range(SLOTS):
+                at = {(a * 7919 + b * 104_729 + shift * (a * 611_953 + b * 15_485_863)) % SLOTS for a, b, _ in pairs}
+                if len(at) == len(pairs) and not any(slots[i] for i in at):
+                    break
+            else:
+                raise ValueError("the rank map does not fit; raise SLOTS")
+            shifts[g] = shift
+            for a, b, rank in pairs:
+                slots[(a * 7919 + b * 104_729 + shift * (a * 611_953 + b * 15_485_863)) % SLOTS] = (a << _BITS | b) << _BITS | rank
+        constant = lambda x, kind: F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), kind)  # noqa: E731  Spark folds it once
+        return constant([self.ranks[bytes([k])] for k in range(256)], "array<int>"), constant(shifts, "array<int>"), constant(slots, "array<bigint>")
+
+
+def latin(word: bytes) -> str:
+    """Bytes as a string of code points 0 to 255, the form in which words travel through Spark."""
+    return word.decode("latin-1")
+
+
+def encoded(word: Column, literals: tuple[Column, Column, Column]) -> Column:
+    """Ids of a word (in the form of ``latin``) by folding ranked merges over its bytes.
+
+    The state is one number per piece: the rank of it joined with its right neighbour, and its own id, which
+    is also the rank it was made by, so that merged pieces need no second look.
     """
-    none = F.lit(_NONE)
-
-    def rank(piece: Column) -> Column:  # a missing neighbour makes the piece null
-        return let(piece, lambda x: F.coalesce(F.element_at(F.get(ranks, (F.crc32(x.cast("binary")) % BUCKETS).cast("int")), x), none))
-
-    def merged(s: Column, low: Column) -> Column:
-        p, r = s["p"], s["r"]
+    none, (bytes_, shifts, slots) = F.lit(_NONE), literals
+    id_mask = (1 << _BITS) - 1
 
-        def at(i: Column) -> Column:  # i: position of the lowest rank, from 1
-            def put(piece: Column) -> Column:
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), i - 1), F.array(piece), F.slice(p, i + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))),
-                             F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), piece)))).otherwise(F.slice(r, F.lit(1), F.lit(0))),
-                             F.array(rank(F.concat(piece, F.get(p, i + 1)))), F.slice(r, i + 2, F.size(r))).alias("r"))
+    def fold(shift: Column, slot: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            """Piece a before b; a missing b is null, and so is what follows from it."""
+            at = F.pmod(a * 7919 + b * 104_729 + F.get(shift, F.pmod(a * 31 + b, F.lit(SHIFTS)).cast("int")) * (a * 611_953 + b * 15_485_863), F.lit(SLOTS)).cast("int")
+            pair = F.shiftleft(a, _BITS).bitwiseOR(b)
+            rank = let(F.get(slot, at), lambda x: F.when(F.shiftright(x, _BITS) == pair, x.bitwiseAND(id_mask)).otherwise(none))
+            return F.shiftleft(rank, _BITS).bitwiseOR(a)
 
-            return let(F.concat(F.get(p, i - 1), F.get(p, i)), put)
+        def merged(s: Column, low: Column, i: Column) -> Column:  # i: place of the left piece, from 0
+            new = piece(low, F.get(s, i + 2).bitwiseAND(id_mask))
+            changed = F.when(i > 0, F.array(piece(F.get(s, i - 1).bitwiseAND(id_mask), low), new)).otherwise(F.array(new))
+            return F.flatten(F.array(F.slice(s, F.lit(1), F.greatest(i - 1, F.lit(0))), changed, F.slice(s, i + 3, F.lit(LONG))))
 
-        return let(F.array_position(r, low).cast("int"), at)
+        def step(s: Column, _: Column) -> Column:
+            first = F.array_min(F.transform(s, lambda x, k: F.shiftright(x, _BITS) * LONG + k))  # lowest rank, then leftmost
+            return let(first, lambda m: F.when(m >= _NONE * LONG, s).otherwise(merged(s, F.shiftright(m, _LONG_BITS), m.bitwiseAND(LONG - 1).cast("int"))))
 
-    def step(s: Column, _: Column) -> Column:
-        return let(F.array_min(s["r"]), lambda low: F.when(low == none, s).otherwise(merged(s, low)))
+        def run(first: Column) -> Column:
+            start = F.transform(first, lambda x, i: piece(x, F.get(first, i + 1)))
+            return F.aggregate(F.slice(first, F.lit(2), F.lit(LONG)), start, step, lambda s: F.transform(s, lambda x: x.bitwiseAND(id_mask).cast("int")))
 
-    def fold(bytes_: Column) -> Column:
-        start = F.struct(bytes_.alias("p"), F.transform(bytes_, lambda x, i: rank(F.concat(x, F.get(bytes_, i + 1)))).alias("r"))
-        return F.aggregate(F.slice(bytes_, F.lit(2), F.size(bytes_)), start, step, lambda s: F.transform(s["p"], rank))
+        return let(F.transform(F.split(word, ""), lambda c: F.get(bytes_, F.ascii(c)).cast("bigint")), run)
 
-    starts = F.sequence(F.lit(1), F.length(word) - 1, F.lit(2))
-    return let(F.transform(starts, lambda i: F.substring(word, i, F.lit(2))), fold)
-
-
-#: No rank; the first id that stands for a document's own word.
-_NONE, _PLACE = 2**31 - 1, 2**31
+    return let(shifts, lambda x: let(slots, lambda y: fold(x, y)))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -132,13 +153,17 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def count_words(docs: DataFrame, text: Column, pattern: str) -> DataFrame:
-    """``word`` (upper-case hexadecimal of its UTF-8 bytes) and ``n`` over the whole corpus."""
+    """``word`` (in the form of ``latin``) and ``n`` over the whole corpus, words of up to ``LONG`` bytes."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, seen = regex.compile(pattern).findall, Counter()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w.encode().hex().upper() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            words = list(seen)
+            for k in range(0, len(words), 50_000):
+                some = words[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([latin(w.encode()) for w in some], pa.string()), pa.array([seen[w] for w in some], pa.int64())], names=["word", "n"])
+            seen.clear()
 
         for b in batches:
             for part in bounded(b, ["text"], 4_000_000):
@@ -146,12 +171,11 @@ def count_words(docs: DataFrame, text: Column, pattern: str) -> DataFrame:
                     if t:
                         seen.update(find(t))
                 if len(seen) > _COUNTERS:
-                    yield out()
-                    seen.clear()
-        yield out()
+                    yield from out()
+        yield from out()
 
     counts = docs.select(text.alias("text")).mapInArrow(fn, "word string, n bigint")
-    return counts.where(F.length("word") <= 2 * LONG).groupBy("word").agg(F.sum("n").alias("n"))
+    return counts.where(F.length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, most: int = DICTIONARY) -> DataFrame:
@@ -169,8 +193,18 @@ def frequent(counts: DataFrame, most: int = DICTIONARY) -> DataFrame:
 class Assembler:
     """Puts documents' ids together from the dictionary; words that are not in it leave a marked place."""
 
-    def __init__(self, ranks: Ranks, dictionary: dict[bytes, bytes]) -> None:
-        self.ranks, self.dictionary = ranks, dictionary
+    def __init__(self, ranks: Ranks, words: pa.Array, ids: pa.Array) -> None:
+        self.ranks, self._packed, self._known = ranks, (words, ids), None
+
+    def __getstate__(self):
+        return {"ranks": self.ranks, "_packed": self._packed, "_known": None}
+
+    @property
+    def dictionary(self) -> dict[str, bytes]:
+        if self._known is None:
+            words, ids = self._packed
+            self._known = {w.encode("latin-1").decode(): x for w, x in zip(words.to_pylist(), ids.to_pylist())}
+        return self._known
 
     def places(self, words: list[str]) -> tuple[bytes, list[str]]:
         """Little-endian ids in word order, and the words that the ids from ``_PLACE`` on stand for."""
@@ -186,7 +220,7 @@ class Assembler:
                     own[w] = x
                 x = np.array(x, "<u4").tobytes()
             parts.append(x)
-        return b"".join(parts), [w.encode().hex().upper() for w, x in own.items() if x[0] >= _PLACE]
+        return b"".join(parts), [latin(w.encode()) for w, x in own.items() if x[0] >= _PLACE]
 
     def filled(self, ids: bytes, own: list[list[int]]) -> np.ndarray:
         got, parts, end = np.frombuffer(ids, "<u4"), [], 0
@@ -202,13 +236,14 @@ class Assembler:
 def encode(docs: DataFrame, text: str, ranks: Ranks) -> DataFrame:
     """``row``, ``ids`` (little-endian unsigned 32-bit integers, as binary) and ``decoded`` bytes of every document."""
     spark = docs.sparkSession
-    table = ranks.literal_map(spark)
-    head = frequent(count_words(docs, F.col(text), ranks.pattern))
-    folded = stage(head.select("word", encoded(F.col("word"), table).alias("ids")), "dictionary").toArrow()  # DICTIONARY rows at most
-    dictionary = {bytes.fromhex(w).decode(): np.array(x, "<u4").tobytes() for b in folded.to_batches()
-                  for w, x in zip(b.column("word").to_pylist(), b.column("ids").to_pylist())}
-    del folded
-    sent, pattern = spark.sparkContext.broadcast(Assembler(ranks, dictionary)), ranks.pattern
+    literals = ranks.literals()
+    head = frequent(stage(count_words(docs, F.col(text), ranks.pattern), "words"))
+    folded = stage(head.select("word", encoded(F.col("word"), literals).alias("ids")), "dictionary").toArrow()  # DICTIONARY rows at most
+    words, lists = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (folded.column("word"), folded.column("ids")))
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+    ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int32) * 4
+    packed = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+    sent, pattern = spark.sparkContext.broadcast(Assembler(ranks, words, packed)), ranks.pattern
 
     def cut(batch):
         find = regex.compile(pattern).findall
@@ -220,7 +255,7 @@ def encode(docs: DataFrame, text: str, ranks: Ranks) -> DataFrame:
         return {"ids": [x.tobytes() for x in ids], "decoded": [sent.value.decode(x) for x in ids]}
 
     first = annotate(docs, {"text": F.col(text)}, cut, "places binary, rare array<string>")
-    folded = first.select("row", "places", F.transform("rare", lambda w: encoded(w, table)).alias("rare_ids"))
+    folded = first.select("row", "places", F.transform("rare", lambda w: encoded(w, literals)).alias("rare_ids"))
     got = annotate(folded, {"places": F.col("places"), "rare_ids": F.col("rare_ids")}, fill, "ids binary, decoded binary")
     return got.select(F.col("row.row").alias("row"), "ids", "decoded")
 
