@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import annotate, digest128, stage, utf8, words_of
+from tidemark.llm.common import annotate, bounded, digest128, stage, utf8, words_of
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 SLOTS = BANDS * ROWS
@@ -56,29 +56,44 @@ def word_hash(word: bytes) -> int:
 
 
 class Shingler:
-    """64-bit hashes of the shingles of a text; hashes of words are kept from text to text."""
+    """64-bit hashes of the shingles of texts; hashes of words are kept from text to text."""
 
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
 
-    def hashes(self, text: bytes | None) -> np.ndarray:
-        words, known = words_of(text), self.known
-        if len(known) > 1_000_000:
+    def _ids(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        if len(known) > 300_000:
             known.clear()
         try:
-            ids = np.array([known[w] for w in words], np.uint64)
+            return np.array([known[w] for w in words], np.uint64)
         except KeyError:
             for w in words:
                 if w not in known:
                     known[w] = word_hash(w)
-            ids = np.array([known[w] for w in words], np.uint64)
-        n = min(SHINGLE, len(ids))
-        if not n:
-            return ids
-        h = np.full(len(ids) - n + 1, np.uint64(n))
-        for k in range(n):
-            h = _mix((h + _G) ^ ids[k : len(ids) - n + 1 + k])
-        return h
+            return np.array([known[w] for w in words], np.uint64)
+
+    def many(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all texts' shingles in turn, and the place where each text's hashes begin (and the last end)."""
+        ids = [self._ids(words_of(t)) for t in texts]
+        n = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate(ids) if ids else np.empty(0, np.uint64)
+        # shorter texts are one shingle, closed by as many marks as words are missing
+        pad = np.where((n > 0) & (n < SHINGLE), SHINGLE - n, 0)
+        flat = np.insert(flat, np.repeat(np.cumsum(n), pad), _G)
+        n = n + pad
+        h = np.full(max(0, len(flat) - SHINGLE + 1), np.uint64(SHINGLE))
+        for k in range(SHINGLE):
+            h = _mix((h + _G) ^ flat[k : k + len(h)])
+        ends = np.cumsum(n)
+        crossing = np.zeros(len(flat), bool)  # windows that would reach into the next text
+        for k in range(1, SHINGLE):
+            crossing[ends[n >= SHINGLE] - k] = True
+        h = h[~crossing[: len(h)]]
+        return h, np.concatenate(([0], np.cumsum(np.maximum(n - SHINGLE + 1, 0))))
+
+    def hashes(self, text: bytes | None) -> np.ndarray:
+        return self.many([text])[0]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -112,46 +127,60 @@ def _below(points: np.ndarray, weights: np.ndarray, low: int, high: int) -> np.n
     return a < weights
 
 
+def signatures(shingles: np.ndarray, starts: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """64-bit identity of the earliest point at each slot, a row per document; documents have a shingle at least."""
+    n = len(starts) - 1
+    doc = np.repeat(np.arange(n), np.diff(starts))
+    order = np.argsort(_mix(shingles + doc.astype(np.uint64) * _G))  # equal shingles of a document stand together
+    h, d = shingles[order], doc[order]
+    new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))) if len(h) else np.empty(0, np.int64)
+    elements, owner, counts = h[new], d[new], np.diff(np.append(new, len(h)))
+    until = slots * (np.log(slots) + 3.0) / np.maximum(np.diff(starts), 1)  # all slots are taken by then, most often
+    when, which = np.full(n * slots, np.inf), np.zeros(n * slots, np.uint64)
+
+    def put(t: np.ndarray, point: np.ndarray, own: np.ndarray, weight: np.ndarray, low: int, high: int) -> None:
+        """Points below their element's weight go to their slots if they are earlier than what is there."""
+        slot = own * slots + (_mix(point) % np.uint64(slots)).astype(np.int64)
+        keep = np.flatnonzero(t < when[slot])
+        if high - low > 1:
+            keep = keep[_below(point[keep], weight[keep], low, high)]
+        keep = keep[np.argsort(-t[keep])]  # the earliest is written last
+        when[slot[keep]], which[slot[keep]] = t[keep], point[keep]
+
+    todo = np.ones(n, bool)
+    while todo.any():
+        mine = np.flatnonzero(todo[owner])
+        for some, low, high in _intervals(counts[mine]):
+            some = mine[some]
+            seed = _mix(elements[some] ^ _mix(np.full(1, np.uint64(low + 1)) * _G))
+            weight, own, rate = counts[some], owner[some], high - low
+            mean = until[own] * rate  # points to come; elements with about as many are drawn together
+            size = np.ceil(np.log2(mean + 3 * np.sqrt(mean) + 2)).astype(np.int64)
+            for c in np.unique(size):
+                here = np.flatnonzero(size == c)
+                time, drawn = np.zeros(len(here)), 0
+                while len(here):
+                    state = _mix(seed[here, None] + (np.arange(drawn + 1, drawn + 1 + (1 << c), dtype=np.uint64) * _G)[None, :])
+                    times = time[:, None] + np.cumsum(-np.log(_unit(state)) / rate, axis=1)
+                    row, col = np.nonzero(times < until[own[here], None])
+                    put(times[row, col], _mix(state[row, col] ^ np.uint64(0x5851F42D4C957F2D)), own[here[row]], weight[here[row]], low, high)
+                    more = times[:, -1] < until[own[here]]
+                    here, time, drawn = here[more], times[more, -1], drawn + (1 << c)
+        todo &= ~np.isfinite(when.reshape(n, slots)).all(axis=1)
+        until = np.where(todo, until * 2, until)
+    return which.reshape(n, slots)
+
+
 def signature(shingles: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """64-bit identity of the earliest point at each slot."""
-    elements, counts = np.unique(shingles, return_counts=True)
-    until = slots * (np.log(slots) + 3.0) / counts.sum()  # all slots are taken by then, most often
-    groups = _intervals(counts)
-    while True:
-        when = np.full(slots, np.inf)
-        which = np.zeros(slots, np.uint64)
-        for some, low, high in groups:
-            state = _mix(elements[some] ^ _mix(np.full(1, np.uint64(low + 1)) * _G))
-            time, weight = np.zeros(len(some)), counts[some]
-            while len(state):
-                state = _mix(state + _G)
-                time = time - np.log(_unit(state)) / (high - low)
-                go = time < until
-                state, time, weight = state[go], time[go], weight[go]
-                if not len(state):
-                    break
-                point = _mix(state ^ np.uint64(0x5851F42D4C957F2D))
-                slot = (_mix(point) % np.uint64(slots)).astype(np.int64)
-                keep = _below(point, weight, low, high) if high - low > 1 else np.ones(len(point), bool)
-                at, t, p = slot[keep], time[keep], point[keep]
-                order = np.lexsort((p, t))[::-1]  # the earliest is written last
-                at, t, p = at[order], t[order], p[order]
-                first = np.full(slots, np.inf)
-                first[at] = t
-                mark = np.zeros(slots, np.uint64)
-                mark[at] = p
-                earlier = first < when
-                when[earlier], which[earlier] = first[earlier], mark[earlier]
-        if np.isfinite(when).all():
-            return which
-        until *= 2
-
-
-def bands(sig: np.ndarray) -> np.ndarray:
-    h = np.arange(1, BANDS + 1).astype(np.uint64) * _G
-    rows = sig.reshape(BANDS, ROWS)
+    return signatures(shingles, np.array([0, len(shingles)]), slots)[0]
+
+
+def bands(sigs: np.ndarray) -> np.ndarray:
+    """A hash per band, a row per document."""
+    h = np.tile(np.arange(1, BANDS + 1).astype(np.uint64) * _G, (len(sigs), 1))
+    rows = sigs.reshape(len(sigs), BANDS, ROWS)
     for k in range(ROWS):
-        h = _mix(h ^ rows[:, k])
+        h = _mix(h ^ rows[:, :, k])
     return h.view(np.int64)
 
 
@@ -159,15 +188,14 @@ def _signatures(docs: DataFrame) -> DataFrame:
     """``id``, ``key``, ``bands`` and ``sketch`` (a byte per slot) of every document; no bands without words."""
     def fn(batch):
         shingler, out = Shingler(), {"bands": [], "sketch": []}
-        for t in utf8(batch.column("text")):
-            h = shingler.hashes(t)
-            if len(h):
-                s = signature(h)
-                out["bands"].append(bands(s).tolist())
-                out["sketch"].append((s & np.uint64(255)).astype(np.uint8).tobytes())
-            else:
-                out["bands"].append([])
-                out["sketch"].append(b"")
+        for part in bounded(batch, ["text"], 1_000_000):
+            h, starts = shingler.many(utf8(part.column("text")))
+            some = np.diff(starts) > 0
+            sigs = signatures(h, np.concatenate(([0], np.cumsum(np.diff(starts)[some]))))
+            b, s = iter(bands(sigs).tolist()), iter((sigs & np.uint64(255)).astype(np.uint8))
+            for has in some:
+                out["bands"].append(next(b) if has else [])
+                out["sketch"].append(next(s).tobytes() if has else b"")
         return out
 
     slim = docs.select("id", "key", "text")
