@@ -11,13 +11,13 @@ linked. Classes are the connected components of the links.
   falls on one of ``SLOTS`` slots, which keeps its earliest one. Two signatures agree at a slot with the
   probability of the weighted Jaccard. Points are drawn in order of time and only up to the moment when all
   slots are taken, for all shingles of a document at once.
-* **Bands.** ``BANDS`` bands of ``ROWS`` slots; a pair of similarity 0.8 shares one with probability 0.99995.
+* **Bands.** ``BANDS`` bands of ``ROWS`` slots; a pair of similarity 0.8 shares one with probability 0.9998.
 * **Verification.** Candidates' multisets are compared in full.
 
 No group of documents is expanded into all its pairs. Equal texts are one entity. In the first round every
 entity is compared with the smallest entity of each of its bands' buckets, in the second with the smallest of
 each class that meets there; the last round compares what is left, pairs of entities of different classes in
-one bucket, so no link between different classes is lost. Rounds work on tables in the shared folder.
+one bucket whose one-bit sketches are near, so no link between different classes is lost. Rounds work on tables in the shared folder.
 
 Defined results: equal texts are one class, also empty ones (null counts as empty); texts without words are
 linked to equal texts only; repeated rows are members like others; a null id sorts last.
@@ -34,10 +34,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import annotate, bounded, digest128, stage, utf8, words_of
 
-SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
+SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 36, 7
 SLOTS = BANDS * ROWS
-#: Candidates whose signatures agree at fewer slots (by one byte each) are not verified: at 0.8 that happens once in 10^8.
-AGREE = 75
+#: Candidates whose signatures agree at fewer slots (by one byte each), or differ in more of 128 one-bit slots, are not
+#: verified: at a similarity of 0.8 either happens less than once in a million.
+AGREE, DIFFER = 160, 30
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -185,21 +186,25 @@ def bands(sigs: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """``id``, ``key``, ``bands`` and ``sketch`` (a byte per slot) of every document; no bands without words."""
+    """``id``, ``key``, ``bands``, ``sketch`` (a byte per slot) and ``m0``, ``m1`` (a bit per slot, of 128); no bands without words."""
     def fn(batch):
-        shingler, out = Shingler(), {"bands": [], "sketch": []}
+        shingler, out = Shingler(), {"bands": [], "sketch": [], "m0": [], "m1": []}
         for part in bounded(batch, ["text"], 1_000_000):
             h, starts = shingler.many(utf8(part.column("text")))
             some = np.diff(starts) > 0
             sigs = signatures(h, np.concatenate(([0], np.cumsum(np.diff(starts)[some]))))
             b, s = iter(bands(sigs).tolist()), iter((sigs & np.uint64(255)).astype(np.uint8))
+            m = iter(np.packbits((sigs[:, :128] >> np.uint64(8)) & np.uint64(1) == 1, axis=1).view(np.int64).tolist())
             for has in some:
+                m0, m1 = next(m) if has else (0, 0)
+                out["m0"].append(m0)
+                out["m1"].append(m1)
                 out["bands"].append(next(b) if has else [])
                 out["sketch"].append(next(s).tobytes() if has else b"")
         return out
 
     slim = docs.select("id", "key", "text")
-    return annotate(slim, {"text": F.col("text")}, fn, "bands array<bigint>, sketch binary").select("row.id", "row.key", "bands", "sketch")
+    return annotate(slim, {"text": F.col("text")}, fn, "bands array<bigint>, sketch binary, m0 bigint, m1 bigint").select("row.id", "row.key", "bands", "sketch", "m0", "m1")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -260,7 +265,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), digest128(F.col(text)).alias("key"), F.col(text).alias("text"))
     signed = stage(_signatures(rows), "signatures")
-    entities = signed.groupBy("key").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    entities = signed.groupBy("key").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("m0").alias("m0"), F.first("m1").alias("m1"))
     entities = stage(entities.withColumn("eid", F.monotonically_increasing_id()), "entities")
 
     banded = entities.select("eid", F.explode("bands").alias("bucket"))
@@ -284,9 +289,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
         if not last:
             pairs = meet.join(several, "bucket").where("eid <> least").select(F.col("eid").alias("a"), F.col("least").alias("b"))
         else:
-            open_ = stage(classed.join(several.select("bucket"), "bucket", "left_semi"), "open")
-            other = open_.select("bucket", F.col("eid").alias("b"), F.col("c").alias("d"))
-            pairs = open_.withColumnRenamed("eid", "a").join(other, "bucket").where("c > d").select("a", "b")
+            bits = entities.select("eid", "m0", "m1")
+            open_ = stage(classed.join(several.select("bucket"), "bucket", "left_semi").join(bits, "eid"), "open")
+            other = open_.select("bucket", F.col("eid").alias("b"), F.col("c").alias("d"), F.col("m0").alias("n0"), F.col("m1").alias("n1"))
+            near = F.expr(f"c > d AND bit_count(m0 ^ n0) + bit_count(m1 ^ n1) <= {DIFFER}")
+            pairs = open_.withColumnRenamed("eid", "a").join(other, ["bucket"]).where(near).select("a", "b")
         pairs = stage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
         more = _verified(pairs, sketches, texts)
         if not more.isEmpty():
