@@ -149,7 +149,7 @@ query("q15_bootstrap", "sim! final_value:0 cagr:6 max_drawdown:6 sharpe:5 win_ra
 
 @query("s12_sim_stats_write", "sim! final_value:0 max_drawdown:6", "SELECT * FROM simstats")
 def _(w):
-    path = f"{sinks.shared_dir(w.spark)}/sim-stats-{id(w)}"
+    path = sinks.new_path(w.spark, "sim-stats")
     sinks.write_sim_stats(w.sim_stats, path)
     return w.spark.read.parquet(path)
 
@@ -178,25 +178,28 @@ query("w4_growth_by_tier", "tier growth:6 max_drawdown:6", """SELECT tier, arg_m
 
 # ---- streams --------------------------------------------------------------
 
-@query("st1_stream_alerts", "ticker! date change score! prev_score!", """SELECT ticker, date, CASE WHEN lvl > 0 AND prev = 0 THEN 'NEW' WHEN lvl > 0 AND lvl <> prev THEN 'CHANGED'
-    WHEN lvl = 0 AND prev > 0 THEN 'REMOVED' END AS change, score, prev AS prev_score FROM (
-  SELECT *, coalesce(lag(lvl) OVER (PARTITION BY ticker ORDER BY date), 0) AS prev FROM (
-  SELECT *, CASE WHEN score >= 11 THEN score ELSE 0 END AS lvl FROM scores)) WHERE change IS NOT NULL""")
+@query("st1_stream_alerts", "ticker! date change score! prev_score!", """WITH days AS (SELECT date, lead(date) OVER (ORDER BY date) AS due FROM (SELECT DISTINCT date FROM scores)),
+  s AS (SELECT ticker, date, due, max(score) AS score, CASE WHEN max(score) >= 11 THEN max(score) ELSE 0 END AS lvl FROM scores JOIN days USING (date) GROUP BY 1, 2, 3)
+  SELECT coalesce(n.ticker, p.ticker) AS ticker, coalesce(n.date, p.due) AS date,
+    CASE WHEN n.lvl > 0 AND coalesce(p.lvl, 0) = 0 THEN 'NEW' WHEN n.lvl > 0 AND n.lvl <> p.lvl THEN 'CHANGED' WHEN coalesce(n.lvl, 0) = 0 AND p.lvl > 0 THEN 'REMOVED' END AS change,
+    n.score, coalesce(p.lvl, 0) AS prev_score
+  FROM s n FULL JOIN (SELECT * FROM s WHERE due IS NOT NULL) p ON n.ticker = p.ticker AND n.date = p.due WHERE change IS NOT NULL""")
 def _(w):
-    # One file per day feeds the stream, oldest first.
-    import uuid
-    src = f"{sinks.shared_dir(w.spark)}/score-days-{uuid.uuid4().hex}"
+    # Three deliveries of whole scan days, oldest first, however many days there are; each is drained as
+    # one batch by a run of its own that goes on from the state of the one before.
+    src, root = sinks.new_path(w.spark, "score-days"), sinks.new_path(w.spark, "alerts")
     s = w.panel.scores()
-    for low, high in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2025-01-01")):
-        s.where((F.col("date") >= low) & (F.col("date") < high)).coalesce(1).write.mode("append").parquet(src)
-    updates = w.spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    return streams.stream_alerts(updates)
+    low, high = s.agg(F.min("date"), F.max("date")).first()
+    third = F.floor(F.datediff("date", F.lit(low)) * 3 / (F.datediff(F.lit(high), F.lit(low)) + 1))
+    for k in range(3):
+        s.where(third == k).write.mode("append").parquet(src)
+        out = streams.stream_alerts(w.spark.readStream.schema(s.schema).parquet(src), root=root)
+    return out
 
 
 @query("st2_stream_scan", "ticker! date ps:6 zscore:6 all_pass", """SELECT *, as_of AS date, quality_pass AND entry_pass AS all_pass FROM latest""")
 def _(w):
-    import uuid
-    src = f"{sinks.shared_dir(w.spark)}/new-bars-{uuid.uuid4().hex}"
+    src = sinks.new_path(w.spark, "new-bars")
     last = plans.latest_days(w.inputs)
     last.repartition(2, "ticker").write.parquet(src)
     new = w.spark.readStream.schema(last.schema).option("maxFilesPerTrigger", 1).parquet(src)

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from tidemark.operators import statements
 from tidemark.plans import pipelines as plans
 from tidemark.sources.panel import Panel
-from tidemark.sources.sinks import stage
+from tidemark.sources.sinks import children, stage
 
 
 class Workspace:
     """Shared frames of one data directory: the daily bars, the feature store
     and the quarterly panel are staged on first use, as a nightly job would."""
 
-    _open: dict[tuple[str, str], "Workspace"] = {}
+    _open: dict[tuple[str, str], tuple[list, "Workspace"]] = {}
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -28,10 +28,11 @@ class Workspace:
 
     @classmethod
     def of(cls, spark: SparkSession, path: str) -> "Workspace":
-        key = (spark.sparkContext.applicationId, path)
-        if key not in cls._open:
-            cls._open[key] = cls(spark, path)
-        return cls._open[key]
+        """The workspace of a data directory; a new one if its files have changed."""
+        key, files = (spark.sparkContext.applicationId, path), children(spark, path)
+        if key not in cls._open or cls._open[key][0] != files:
+            cls._open[key] = (files, cls(spark, path))
+        return cls._open[key][1]
 
     @cached_property
     def bars(self) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import functions as F
 
 from catalog.base import query
@@ -66,18 +64,16 @@ def _(w):
     return files.compact_to_long(resp, "balance", {"Total Assets": "Total Assets"})
 
 
-QUARTER_ENDS = [date(y, m, {3: 31, 6: 30, 9: 30, 12: 31}[m]) for y in range(1995, 2002) for m in (3, 6, 9, 12)]
-
-
 @query("s5_wide_statements", "ticker! freq statement period_end item value:6", """SELECT t.ticker, 'quarterly' AS freq, 'income' AS statement,
   p.period_end, 'Total Revenue' AS item, s.revenue AS value FROM (SELECT DISTINCT ticker FROM stmt) t
-  CROSS JOIN (SELECT last_day(CAST(x AS DATE) + INTERVAL 2 MONTH) AS period_end FROM (SELECT unnest(generate_series(
-    TIMESTAMP '1995-01-01', TIMESTAMP '2001-10-01', INTERVAL 3 MONTH)) AS x)) p
+  CROSS JOIN (SELECT DISTINCT period_end FROM stmt WHERE freq = 'quarterly') p
   LEFT JOIN stmt s ON s.ticker = t.ticker AND s.period_end = p.period_end AND s.freq = 'quarterly'""")
 def _(w):
     q = w.panel.statements_wide().where("freq = 'quarterly'")
+    # One column per quarter end that occurs: as many as quarters in the calendar.
+    ends = [str(r.period_end) for r in q.select("period_end").distinct().orderBy("period_end").collect()]
     wide = (q.withColumn("item", F.lit("Total Revenue")).groupBy("ticker", "item")
-            .pivot("period_end", [str(d) for d in QUARTER_ENDS]).agg(F.first("Total Revenue")))
+            .pivot("period_end", ends).agg(F.first("Total Revenue")))
     return files.wide_to_long(wide, ["ticker"], "income", "quarterly")
 
 
@@ -136,14 +132,14 @@ def _(w):
 @query("s11_trade_log_write", "ticker! tier mode entry_date entry_price:4 exit_date exit_price:4 return_pct:2 pnl_dollars:2 hold_days! exit_reason",
        "SELECT *, 'all' AS mode FROM trades")
 def _(w):
-    path = f"{sinks.shared_dir(w.spark)}/trade-log-{id(w)}"
+    path = sinks.new_path(w.spark, "trade-log")
     sinks.write_trade_log(w.trades, path, "all", "parquet")
     return w.spark.read.parquet(path)
 
 
 @query("s13_state_versions", "ticker! score!", """SELECT ticker, max(score) AS score FROM scores WHERE date = DATE '2024-01-12' GROUP BY 1""")
 def _(w):
-    root = f"{sinks.shared_dir(w.spark)}/state-{id(w)}"
+    root = sinks.new_path(w.spark, "state")
     for v, day in ((1, "2024-01-11"), (2, "2024-01-12")):
         sinks.write_state(w.panel.scores().where(F.col("date") == day).select("ticker", "score"), root, v)
     return sinks.read_state(w.spark, root)
@@ -151,8 +147,7 @@ def _(w):
 
 @query("s14_scan_history", "ticker! scan_date score! alert", """SELECT ticker, date AS scan_date, score, score >= 11 AS alert FROM scores""")
 def _(w):
-    import uuid
-    path = f"{sinks.shared_dir(w.spark)}/history-{uuid.uuid4().hex}"
+    path = sinks.new_path(w.spark, "history")
     s = w.panel.scores().select("ticker", F.col("date").alias("scan_date"), "score")
     for half in (F.col("scan_date") < "2024-01-16", F.col("scan_date") >= "2024-01-16"):
         sinks.append_scan(s.where(half), path)

@@ -329,7 +329,7 @@ CTE["entries"] = """SELECT DISTINCT w.ticker, CASE WHEN ticker_even THEN 'qvm' E
 CTE["since"] = """SELECT e.ticker, e.entry_date, b.date, b.close, b.atr,
   max(b.close) OVER (PARTITION BY e.ticker, e.entry_date ORDER BY b.date) AS peak
   FROM (SELECT DISTINCT ticker, entry_date FROM entries) e JOIN atr b ON e.ticker = b.ticker
-   AND b.date >= e.entry_date AND b.date <= e.entry_date + 1825"""
+   AND b.date >= e.entry_date"""
 CTE["stops"] = """SELECT ticker, entry_date, min(date) FILTER (WHERE close < peak * 0.85::DOUBLE) AS trailing_date,
   min(date) FILTER (WHERE date - entry_date >= 30 AND close < peak - 3.0::DOUBLE * atr) AS atr_date,
   max(peak) AS peak_close, max(date) AS last_bar FROM since GROUP BY 1, 2"""

@@ -128,6 +128,13 @@ def test_exit_precedence_by_tier(spark):
     assert open_end.exit_reason == "backtest_end" and open_end.exit_date == D(2024, 2, 14)
 
 
+def test_stops_have_no_age_limit(spark):
+    b = bars_of(spark, [100.0] * 2000 + [40.0] * 100)
+    e = spark.createDataFrame([("k", "qvm", D(2024, 1, 2), 100.0)], "ticker string, tier string, entry_date date, entry_price double")
+    got = exits.resolve_exits(e, b, method="fixed").first()
+    assert (got.exit_reason, got.exit_date) == ("trailing_stop", D(2024, 1, 1) + dt.timedelta(days=2000))
+
+
 def test_rebalance_diff(spark):
     t = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c")], "effective int, ticker string")
     p = spark.createDataFrame([(2, 1)], "effective int, previous int")

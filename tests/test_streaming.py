@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.streaming import streams
@@ -19,10 +20,40 @@ def test_alerts_keep_state_between_batches(spark, tmp_path):
     batches = [[(1, D(2024, 1, 1), 11), (2, D(2024, 1, 1), 5), (3, D(2024, 1, 1), 12)],
                [(1, D(2024, 1, 2), 12), (2, D(2024, 1, 2), 11)],
                [(1, D(2024, 1, 3), 4), (2, D(2024, 1, 3), 11), (3, D(2024, 1, 3), 12)]]
+    # ticker 3 is absent from the second scan
     got = streams.stream_alerts(feed(spark, str(tmp_path / "in"), batches, schema))
     rows = {(r.ticker, r.date.day, r.change, r.score, r.prev_score) for r in got.collect()}
     assert rows == {(1, 1, "NEW", 11, 0), (3, 1, "NEW", 12, 0), (1, 2, "CHANGED", 12, 11), (2, 2, "NEW", 11, 0),
-                    (1, 3, "REMOVED", 4, 12)}
+                    (3, 2, "REMOVED", None, 12), (3, 3, "NEW", 12, 0), (1, 3, "REMOVED", 4, 12)}
+
+
+def test_alerts_go_on_after_a_restart_and_take_any_ticker(spark, tmp_path):
+    schema, root = "ticker string, date date, score long", str(tmp_path / "root")
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        return streams.stream_alerts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), root=root)
+
+    first = run([("A", D(2024, 1, 1), 12), ("B", D(2024, 1, 1), 11), ("B", D(2024, 1, 2), 11), ("C", D(2024, 1, 3), 11)])
+    rows = {(r.ticker, r.date.day, r.change) for r in first.collect()}
+    assert rows == {("A", 1, "NEW"), ("B", 1, "NEW"), ("A", 2, "REMOVED"), ("B", 3, "REMOVED"), ("C", 3, "NEW")}
+    assert streams.stream_alerts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), root=root).count() == 5
+    again = {(r.ticker, r.date.day, r.change) for r in run([("D", D(2024, 1, 4), 11)]).collect()} - rows
+    assert again == {("C", 4, "REMOVED"), ("D", 4, "NEW")}
+
+
+def test_a_table_streams_from_a_file_and_from_a_folder(spark, tmp_path):
+    rows = [(k, dt.datetime(2024, 1, 1 + k % 5), 1.0) for k in range(50)]
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, value double")
+    df.repartition(3).write.parquet(str(tmp_path / "folder" / "events.parquet"))
+    df.coalesce(1).write.parquet(str(tmp_path / "tmp"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "tmp").glob("part-*.parquet")).rename(tmp_path / "file" / "events.parquet")
+    for kind in ("folder", "file"):
+        stream = streams.read_stream(spark, str(tmp_path / kind), "events")
+        assert streams.run_to_table(stream, kind).count() == 50
+    with pytest.raises(FileNotFoundError):
+        streams.read_stream(spark, str(tmp_path), "events")
 
 
 def test_late_ticks_are_dropped_and_closed_days_match_batch(spark, tmp_path):

@@ -27,11 +27,13 @@ def thesis_break(cfg: Settings = DEFAULT) -> Column:
             .when(de > cfg.exit_leverage, F.concat(F.lit("de_ratio_"), F.format_string("%.1f", de))))
 
 
-def since_entry(entries: DataFrame, bars: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """Bars after each distinct (ticker, entry_date) with the running peak close."""
-    pairs = entries.select("ticker", "entry_date").distinct()
-    rows = bars_since_entry(pairs, bars.where(F.col("close").isNotNull()), "ticker", "entry_date",
-                            F.date_add("entry_date", cfg.max_hold_days), ["close", "atr"])
+def since_entry(entries: DataFrame, bars: DataFrame) -> DataFrame:
+    """Bars from each distinct (ticker, entry_date) on, with the running peak
+    close, up to ``until`` where entries have that column and it is not NULL.
+    Positions have no age limit."""
+    pairs = entries.select("ticker", "entry_date", *[c for c in entries.columns if c == "until"]).distinct()
+    last = F.coalesce("until", F.col("date")) if "until" in pairs.columns else F.col("date")
+    rows = bars_since_entry(pairs, bars.where(F.col("close").isNotNull()), "ticker", "entry_date", last, ["close", "atr"])
     w = (Window.partitionBy("ticker", "entry_date").orderBy("date")
          .rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("peak", F.max("close").over(w))
@@ -39,7 +41,7 @@ def since_entry(entries: DataFrame, bars: DataFrame, cfg: Settings = DEFAULT) ->
 
 def stop_exits(entries: DataFrame, bars: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """First day each stop is hit: fixed trailing and volatility based."""
-    rows = since_entry(entries, with_atr(bars, cfg.atr_period), cfg)
+    rows = since_entry(entries, with_atr(bars, cfg.atr_period))
     fixed = F.col("close") < F.col("peak") * (1 - cfg.trailing_stop)
     aged = F.datediff("date", "entry_date") >= cfg.stop_grace_days
     chandelier = aged & (F.col("close") < F.col("peak") - cfg.atr_multiple * F.col("atr"))
@@ -131,7 +133,11 @@ def resolve_exits(entries: DataFrame, bars: DataFrame, states: DataFrame | None
     if targets is not None:
         dues.append(rebalance_due(pairs, rebalances, targets))
     end = bars.where(F.col("close").isNotNull()).groupBy("ticker").agg(F.max("date").alias("_end"))
-    out = (entries.join(stop_exits(entries, bars, cfg), keys, "left").join(due_exits(dues, bars), keys, "left")
+    due = due_exits(dues, bars)
+    # A position that leaves at a rebalance needs no bar after it.
+    held = (entries.where("tier = 'qvm'").select(*keys).distinct().join(due, keys, "left")
+            .select(*keys, F.col("rebalance_date").alias("until")))
+    out = (entries.join(stop_exits(held, bars, cfg), keys, "left").join(due, keys, "left")
            .join(end, "ticker"))
     stop, stop_name = ("atr_date", "atr_trailing_stop") if method == "atr" else ("trailing_date", "trailing_stop")
     qvm, crash = F.col("tier") == "qvm", F.col("tier") == "crash"

@@ -131,9 +131,11 @@ def wide_to_long(wide: DataFrame, ids: list[str], statement: str, freq: str) ->
 # ---- universe and lists ---------------------------------------------------
 
 def constituents(df: DataFrame) -> DataFrame:
-    """Finds the ticker and sector columns by name and normalises symbols."""
+    """Finds the ticker column by name, the sector column by parts of its name
+    (GICS sector before any sector), and normalises symbols."""
     t = pick_column(df.columns, ["Symbol", "Ticker", "Ticker symbol"])
-    s = pick_column(df.columns, ["GICS Sector", "GICS  Sector", "Sector"])
+    named = [(c, c.lower()) for c in df.columns]
+    s = next((c for c, low in named if "gics" in low and "sector" in low), next((c for c, low in named if "sector" in low), None))
     if t is None:
         raise ValueError(f"no ticker column in {df.columns}")
     sector = F.coalesce(F.col(f"`{s}`"), F.lit("Unknown")) if s else F.lit("Unknown")

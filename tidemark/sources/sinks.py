@@ -3,6 +3,9 @@ version directory each time, so a reader never sees a half-written snapshot."""
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -11,17 +14,38 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``). Only where the
-    session names none, as in local tests, a temporary folder is set."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = spark.sparkContext.getCheckpointDir()
+    """The folder all executors share (``spark.checkpoint.dir``). Only a local
+    master, whose tasks run on this machine, may go without one; it gets a
+    temporary folder that is deleted at exit."""
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not conf:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, conf, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(conf)
     return conf
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def children(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, modification time) of everything under a file or folder, by Spark's own file systems."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    found, files = [], fs.listFiles(at, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes an intermediate result to the shared folder and reads it back.
 
@@ -29,7 +53,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     panel) are computed once and survive lost executors; later scans prune
     columns and know their sizes.
     """
-    path = f"{shared_dir(df.sparkSession)}/stage-{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, f"stage-{name}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -65,13 +89,10 @@ def write_state(state: DataFrame, root: str, version: int) -> str:
 
 
 def read_state(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """One version, the newest by default. Version numbers are a partition
-    column, so the maximum comes from the directory listing."""
-    all_versions = spark.read.parquet(root)
-    if version is not None:
-        return all_versions.where(F.col("version") == version).drop("version")
-    newest = all_versions.agg(F.max("version")).scalar()
-    return all_versions.where(F.col("version") == newest).drop("version")
+    """One version, the newest by default; only that version's files are opened."""
+    if version is None:
+        version = max(int(m[1]) for path, _, _ in children(spark, root) if (m := re.search(r"/version=(\d+)/", path)))
+    return spark.read.parquet(f"{root}/version={version}")
 
 
 def append_scan(scan: DataFrame, path: str) -> None:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Settings
 from tidemark.operators.snapshots import change_kind
-from tidemark.sources.sinks import shared_dir
+from tidemark.sources.sinks import children, new_path
 
 
 def event_time(ts: str):
@@ -38,18 +37,18 @@ def bars_from_ticks(ticks: DataFrame, watermark: str = "1 day") -> DataFrame:
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drains the available input into a Parquet table in the shared folder."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    root = new_path(spark, name)
     q = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/data")
          .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/data")
 
 
-def run_batches(stream: DataFrame, name: str, step: Callable[[DataFrame, int, str], None]) -> str:
+def run_batches(stream: DataFrame, name: str, step: Callable[[DataFrame, int, str], None], root: str | None = None) -> str:
     """Drains the input through ``step(batch, id, folder)``; returns the folder.
-    Steps write per-batch directories, so a repeated batch replaces itself."""
-    spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    Steps write per-batch directories, so a repeated batch replaces itself.
+    With a ``root`` that is kept, the next run goes on where this one ended."""
+    root = root or new_path(stream.sparkSession, name)
     q = (stream.writeStream.foreachBatch(lambda df, i: step(df, i, root))
          .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -57,40 +56,55 @@ def run_batches(stream: DataFrame, name: str, step: Callable[[DataFrame, int, st
 
 
 def alert_step(cfg: Settings = DEFAULT) -> Callable[[DataFrame, int, str], None]:
-    """Change detection per micro-batch of ``(ticker, date, score)`` updates.
+    """Change detection per micro-batch of scans ``(ticker, date, score)``.
 
-    A batch is folded day by day inside one plan: consecutive rows of a ticker
-    are compared by a window, the first one against the stored state. A ticker
-    that sends nothing keeps its state.
+    All rows of a date are one complete scan, and arrive in one batch. Within
+    a batch consecutive scans are compared in one plan, the first one against
+    the stored state: a ticker that was alerted and is absent from the next
+    scan is REMOVED on that day, with a NULL score. The state holds alerted
+    tickers only and alternates between two folders.
     """
-    from pyspark.sql import Window
-
     def step(batch: DataFrame, batch_id: int, root: str) -> None:
         spark = batch.sparkSession
-        # Batch ids are consecutive; state N is written by batch N.
-        state_schema = "ticker bigint, alerted bigint"
-        before = (spark.read.schema(state_schema).parquet(f"{root}/state/{batch_id - 1}") if batch_id > 0
-                  else spark.createDataFrame([], state_schema))
-        # The alert level after each row is the score itself, or 0 below the threshold.
-        level = F.when(F.col("score") >= cfg.alert_score, F.col("score")).otherwise(F.lit(0)).cast("bigint")
+        rows = batch.groupBy("ticker", "date").agg(F.max("score").cast("bigint").alias("score"))
+        rows = rows.withColumn("level", F.when(F.col("score") >= cfg.alert_score, F.col("score")).otherwise(F.lit(0)))
+        schema = rows.select("ticker", F.col("level").alias("alerted")).schema
+        # Batch ids are consecutive; batch N leaves its state in folder N mod 2.
+        before = (spark.read.schema(schema).parquet(f"{root}/state/{(batch_id - 1) % 2}") if batch_id > 0
+                  else spark.createDataFrame([], schema))
+        # Scan days are few: their order travels as an array.
+        days = rows.agg(F.array_sort(F.collect_set("date")).alias("d")).first().d or []
+        after = F.map_from_arrays(F.array(*map(F.lit, days[:-1])), F.array(*map(F.lit, days[1:]))) if len(days) > 1 else None
+        following = (lambda d: F.try_element_at(after, d)) if after is not None else (lambda d: F.lit(None).cast("date"))
         w = Window.partitionBy("ticker").orderBy("date")
-        rows = (batch.groupBy("ticker", "date").agg(F.max("score").cast("bigint").alias("score"))
-                .withColumn("level", level).withColumn("last", F.lag("level").over(w))
-                .join(before, "ticker", "left")
-                .withColumn("prev", F.coalesce("last", "alerted", F.lit(0))))
+        seen = (rows.withColumn("prev", F.lag("level").over(w)).withColumn("prev_date", F.lag("date").over(w))
+                .withColumn("next_date", F.lead("date").over(w)).withColumn("due", following(F.col("date"))))
+        stored = before.where("alerted > 0")
+        first = F.lit(days[0]).cast("date") if days else F.lit(None).cast("date")
+        # What was alerted one scan before: 0 after a gap, the state on the first day.
+        known = (seen.join(stored, "ticker", "left")
+                 .withColumn("prev", F.when(F.col("date") == first, F.coalesce("alerted", F.lit(0)))
+                             .when(following(F.col("prev_date")) == F.col("date"), F.col("prev")).otherwise(F.lit(0))))
         kind = change_kind(F.col("score"), F.when(F.col("prev") > 0, F.col("prev")), cfg.alert_score)
-        (rows.withColumn("change", kind).where(F.col("change").isNotNull())
-         .select("ticker", "date", "change", "score", F.col("prev").alias("prev_score"))
-         .write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}"))
-        latest = rows.groupBy("ticker").agg(F.max_by("level", "date").alias("now"))
-        (before.join(latest, "ticker", "full_outer")
-         .select("ticker", F.coalesce("now", "alerted").alias("alerted"))
-         .write.mode("overwrite").parquet(f"{root}/state/{batch_id}"))
+        changed = known.withColumn("change", kind).where(F.col("change").isNotNull()).select(
+            "ticker", "date", "change", "score", F.col("prev").alias("prev_score"))
+        absent = [seen.where((F.col("level") > 0) & F.col("due").isNotNull() & ~F.col("due").eqNullSafe(F.col("next_date")))
+                  .select("ticker", F.col("due").alias("date"), F.col("level").alias("prev_score"))]
+        if days:
+            absent.append(stored.join(rows.where(F.col("date") == first), "ticker", "left_anti")
+                          .select("ticker", first.alias("date"), F.col("alerted").alias("prev_score")))
+        for gone in absent:
+            changed = changed.union(gone.select("ticker", "date", F.lit("REMOVED"), F.lit(None).cast("bigint"), "prev_score"))
+        changed.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+        last = rows.where((F.col("date") == F.lit(days[-1])) & (F.col("level") > 0)) if days else rows
+        now = last.select("ticker", F.col("level").alias("alerted")) if days else stored
+        now.write.mode("overwrite").parquet(f"{root}/state/{batch_id % 2}")
     return step
 
 
-def stream_alerts(updates: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    root = run_batches(updates, "alerts", alert_step(cfg))
+def stream_alerts(updates: DataFrame, cfg: Settings = DEFAULT, root: str | None = None) -> DataFrame:
+    """All alerts so far. ``root`` keeps checkpoint, state and alerts between runs."""
+    root = run_batches(updates, "alerts", alert_step(cfg), root)
     return updates.sparkSession.read.parquet(f"{root}/out").drop("batch")
 
 
@@ -105,7 +119,13 @@ def stream_scan(bars: DataFrame, scan: Callable[[DataFrame], DataFrame]) -> Data
 
 
 def read_stream(spark: SparkSession, path: str, table: str, files_per_batch: int = 1) -> DataFrame:
-    """A table's Parquet files as a stream; the schema comes from the files."""
-    schema = spark.read.parquet(f"{path}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-            .option("pathGlobFilter", f"{table}.parquet").parquet(path))
+    """A table's Parquet files as a stream, whether it is one file or a folder
+    of part files; the schema comes from the files."""
+    at = f"{path}/{table}.parquet"
+    files = [p for p, _, _ in children(spark, at)]
+    if not files:
+        raise FileNotFoundError(at)
+    stream = spark.readStream.schema(spark.read.parquet(at).schema).option("maxFilesPerTrigger", files_per_batch)
+    if any(p.rstrip("/").endswith(f"/{table}.parquet") for p in files):
+        return stream.option("pathGlobFilter", f"{table}.parquet").parquet(path)
+    return stream.parquet(at)
