@@ -3,7 +3,7 @@
 A line is the set of its lower-cased words between blanks; lines are duplicates at a Jaccard similarity of
 ``THRESHOLD`` or more. A line is removed if an earlier one, in order of document id and place, is a duplicate.
 
-Lines with the same set of words are one class, joined once. Words are ordered by rarity (number of lines,
+Lines with the same set of words are one class, joined once. Words are ordered by rarity (occurrences,
 counted over all lines in ``RARITY`` hash buckets, a constant of fixed size; any common order is exact). Two
 classes can only be similar if they share a word among the rarest few of each (prefix filter), at places that
 leave enough words behind it (positional filter), with sizes in proportion (length filter) and few different
@@ -14,8 +14,8 @@ Classes, not lines, are joined, so a line repeated in a third of all documents i
 between steps are written to the shared folder.
 
 Defined results: null texts have no line; lines without words are kept; lines of one to three words only
-match lines of the same words; repeated rows (same id and text) count as one document, and each gets its
-result; rows with a null id come last.
+match lines of the same words; sets of words are told apart by a 128-bit hash; repeated rows (same id and
+text) count as one document, and each gets its result; rows with a null id come last.
 """
 
 from __future__ import annotations
@@ -41,13 +41,19 @@ def lines(docs: DataFrame) -> DataFrame:
     return text.select("doc", "version", "line", words(F.col("body")).alias("words"))
 
 
+def same_words(w: Column) -> list[Column]:
+    """128-bit hash of a set of words, as two columns."""
+    return [F.xxhash64(F.sort_array(w)).alias("h0"), F.xxhash64(F.sort_array(w), F.lit(1)).alias("h1")]
+
+
 def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(RARITY)).cast("int")
 
 
-def rarity(all_lines: DataFrame) -> Column:
-    """How many lines hold a word of each bucket, as a constant array of ``RARITY`` numbers."""
-    counted = all_lines.select(F.explode("words").alias("w")).groupBy(_bucket(F.col("w")).alias("b")).count()
+def rarity(docs: DataFrame) -> Column:
+    """How often words of each bucket occur, as a constant array of ``RARITY`` numbers."""
+    every = docs.select(F.explode(F.split(F.lower("text"), "[ \n\t\r\f\x0b]")).alias("w"))
+    counted = every.groupBy(_bucket(F.col("w")).alias("b")).count()
     numbers = [0] * RARITY
     for batch in counted.toArrow().to_batches():  # RARITY rows at most
         for b, n in zip(batch.column("b").to_pylist(), batch.column("count").to_pylist()):
@@ -61,23 +67,22 @@ def needed(n: Column, m: Column) -> Column:
 
 
 def keyed(all_lines: DataFrame, counts: Column) -> DataFrame:
-    """Lines with ``cls`` (digest of the word set), ``n``, ``bits`` and ``prefix`` (keys of the rarest words)."""
+    """Lines with ``h0``, ``h1`` (hash of the word set), ``n``, ``bits`` and ``prefix`` (keys of the rarest words)."""
     def key(w: Column) -> Column:
         return F.shiftleft(F.get(counts, _bucket(w)), HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND((1 << HASH_BITS) - 1))
 
-    cls = F.unhex(F.md5(F.array_join(F.array_sort("words"), " ").cast("binary")))
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
     reach = F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1
     return (all_lines.where(F.size("words") > 0)
-            .select("doc", "line", cls.alias("cls"), F.size("words").alias("n"), F.sort_array(F.transform("words", key)).alias("keys"))
-            .select("doc", "line", "cls", "n", bits.alias("bits"), F.when(F.col("n") > 3, F.slice("keys", F.lit(1), reach.cast("int"))).alias("prefix")))
+            .select("doc", "line", *same_words(F.col("words")), F.size("words").alias("n"), F.sort_array(F.transform("words", key)).alias("keys"))
+            .select("doc", "line", "h0", "h1", "n", bits.alias("bits"), F.when(F.col("n") > 3, F.slice("keys", F.lit(1), reach.cast("int"))).alias("prefix")))
 
 
 def classes(all_lines: DataFrame, counts: Column) -> DataFrame:
     """One row per set of words with its first line (``doc``, ``line``)."""
     first = F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "line")).alias("first")
-    grouped = keyed(all_lines, counts).groupBy("cls").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    return grouped.select(F.monotonically_increasing_id().alias("id"), "cls", "first", "n", "bits", "prefix")
+    grouped = keyed(all_lines, counts).groupBy("h0", "h1").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    return grouped.select(F.monotonically_increasing_id().alias("id"), "h0", "h1", "first", "n", "bits", "prefix")
 
 
 def candidates(cls: DataFrame) -> DataFrame:
@@ -97,13 +102,13 @@ def candidates(cls: DataFrame) -> DataFrame:
 def links(docs: DataFrame, cls: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose sets are similar, with the first lines of both (``fa``, ``fb``)."""
     need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    firsts = cls.select("id", "cls", "first").join(need, "id")
-    wanted = firsts.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct("id", "cls", "first.line")).alias("want"))
+    firsts = cls.select("id", "h0", "h1", "first").join(need, "id")
+    wanted = firsts.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct("id", "h0", "h1", "first.line")).alias("want"))
     found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select(
         F.split("text", "\n").alias("lines"), F.explode("want").alias("w"))
-    sets = found.select("w.id", "w.cls", words(F.get("lines", F.col("w.line"))).alias("words"))
-    same = F.unhex(F.md5(F.array_join(F.array_sort("words"), " ").cast("binary"))) == F.col("cls")  # repeated ids may have other texts
-    sets = stage(sets.where(same).select("id", "words").dropDuplicates(["id"]), "sets")
+    sets = found.select("w.id", F.col("w.h0").alias("g0"), F.col("w.h1").alias("g1"), words(F.get("lines", F.col("w.line"))).alias("words"))
+    sets = sets.select("id", "words", "g0", "g1", *same_words(F.col("words"))).where("g0 = h0 AND g1 = h1")  # repeated ids may have other texts
+    sets = stage(sets.select("id", "words").dropDuplicates(["id"]), "sets")
     a, b = sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), sets.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
     similar = both >= THRESHOLD * (F.size("wa") + F.size("wb") - both) - 1e-9
@@ -115,16 +120,16 @@ def links(docs: DataFrame, cls: DataFrame, pairs: DataFrame) -> DataFrame:
 def decisions(docs: DataFrame) -> DataFrame:
     """``doc``, ``version``, ``line``, ``removed`` and ``links`` (of its class to others) of every line with words."""
     all_lines = lines(docs)
-    counts = rarity(all_lines)
+    counts = rarity(docs)
     cls = stage(classes(all_lines, counts), "classes")
     pairs = stage(candidates(cls), "pairs")
     linked = stage(links(docs, cls, pairs), "links")
     ends = linked.select(F.col("a").alias("id"), (F.col("fb") < F.col("fa")).alias("later")).union(linked.select(F.col("b").alias("id"), (F.col("fa") < F.col("fb")).alias("later")))
     marks = ends.groupBy("id").agg(F.count(F.lit(1)).alias("links"), F.max("later").alias("later"))
-    marked = cls.select("id", "cls", "first").join(marks, "id", "left").select("cls", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("later", F.lit(False)).alias("later"))
-    own = all_lines.where(F.size("words") > 0).select("doc", "version", "line", F.unhex(F.md5(F.array_join(F.array_sort("words"), " ").cast("binary"))).alias("cls"))
+    marked = cls.select("id", "h0", "h1", "first").join(marks, "id", "left").select("h0", "h1", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("later", F.lit(False)).alias("later"))
+    own = all_lines.where(F.size("words") > 0).select("doc", "version", "line", *same_words(F.col("words")))
     first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("line") == F.col("first.line"))
-    return own.join(marked, "cls").select("doc", "version", "line", "links", (F.col("later") | ~first).alias("removed"))
+    return own.join(marked, ["h0", "h1"]).select("doc", "version", "line", "links", (F.col("later") | ~first).alias("removed"))
 
 
 def _per_document(docs: DataFrame) -> DataFrame:
