@@ -66,6 +66,11 @@ def _open_in(uri: str):
     return fs.open_input_file(f"{path}/{name}")
 
 
+def _tasks(df: DataFrame) -> int:
+    """Partitions of small rows that stand for much reading: Spark would merge them by their own size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def make_folder(spark, name: str) -> str:
     uri = stage_path(spark, name)
     fs, path = _fs(uri)
@@ -188,7 +193,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
 
     # "surt page" as one string is the order of the index
     key = F.concat_ws(" ", "surt", "page")
-    dealt = captures.repartitionByRange(key, "file", "offset").sortWithinPartitions(key, "file", "offset")
+    dealt = captures.repartitionByRange(_tasks(captures), key, "file", "offset").sortWithinPartitions(key, "file", "offset")
     return stage(dealt.mapInArrow(write, "first string, blocks string, directory string"), "index")
 
 
@@ -251,7 +256,7 @@ def locate(keys: DataFrame, shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["page", "file", "offset", "length"])
 
     key = F.concat_ws(" ", "surt", "page")
-    dealt = keys.select("surt", "page").distinct().repartitionByRange(key).sortWithinPartitions(key)
+    dealt = keys.select("surt", "page").distinct().repartitionByRange(_tasks(keys), key).sortWithinPartitions(key)
     return dealt.mapInArrow(look, "page string, file string, offset bigint, length bigint")
 
 
@@ -293,7 +298,7 @@ def read_records(found: DataFrame) -> DataFrame:
             for k in range(0, len(spans), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows(spans[k : k + 500])), types)], names=names)
 
-    return found.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, schema)
+    return found.repartitionByRange(_tasks(found), "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
