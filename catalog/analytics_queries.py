@@ -28,21 +28,18 @@ query("q11_buy_and_hold", "scenario date value:2", "SELECT * FROM curve WHERE sc
 query("p10_daily_return", "scenario date ret:8", """SELECT *, value / lag(value) OVER (PARTITION BY scenario ORDER BY date) - 1 AS ret FROM curve""")(
     lambda w: curves.with_returns(both_curves(w)))
 
-ALPHA = """SELECT date, CASE WHEN count(d) OVER f = 252 THEN sum(d) OVER f * 100 END AS rolling_alpha FROM (
-  SELECT date, (m.value / lag(m.value) OVER (ORDER BY date) - 1) - (b.value / lag(b.value) OVER (ORDER BY date) - 1) AS d
-  FROM (SELECT * FROM curve WHERE scenario = 'basket') m JOIN (SELECT * FROM curve WHERE scenario = 'benchmark') b USING (date))
-  WINDOW f AS (ORDER BY date ROWS 251 PRECEDING)"""
-
-
 def model_and_bench(w):
     c = both_curves(w)
-    m = c.where("scenario = 'basket'").select("scenario", "date", F.col("value").alias("model"))
-    return m.join(c.where("scenario = 'benchmark'").select("date", F.col("value").alias("bench")), "date")
+    return curves.align(c.where("scenario = 'basket'"), c.where("scenario = 'benchmark'"))
 
 
+ALIGNED = """SELECT b.date, m.value AS model, b.value AS bench FROM (SELECT * FROM curve WHERE scenario = 'benchmark') b
+  ASOF LEFT JOIN (SELECT v.* FROM curve v SEMI JOIN bench USING (date) WHERE scenario = 'basket') m ON b.date >= m.date"""
+ALPHA = f"""SELECT date, CASE WHEN count(d) OVER f = 252 THEN sum(d) OVER f * 100 END AS rolling_alpha FROM (
+  SELECT date, (model / lag(model) OVER (ORDER BY date) - 1) - (bench / lag(bench) OVER (ORDER BY date) - 1) AS d FROM ({ALIGNED}))
+  WINDOW f AS (ORDER BY date ROWS 251 PRECEDING)"""
 query("p11_rolling_alpha", "date rolling_alpha:4", ALPHA)(lambda w: curves.rolling_alpha(model_and_bench(w)))
-query("j11_aligned_curves", "date model:2 bench:2", """SELECT date, m.value AS model, b.value AS bench FROM
-  (SELECT * FROM curve WHERE scenario = 'basket') m JOIN (SELECT * FROM curve WHERE scenario = 'benchmark') b USING (date)""")(model_and_bench)
+query("j11_aligned_curves", "date model:2 bench:2", ALIGNED)(model_and_bench)
 
 DRAW = """SELECT *, max(value) OVER t AS peak, (value - max(value) OVER t) / max(value) OVER t AS drawdown FROM curve
   WINDOW t AS (PARTITION BY scenario ORDER BY date)"""
@@ -81,6 +78,35 @@ query("a5_closed_metrics", "tier win_rate:6 total_trades! closed_trades! avg_hol
   avg(CAST(return_dec > 0 AS DOUBLE)) FILTER (WHERE exit_reason <> 'backtest_end') AS win_rate, count(*) AS total_trades,
   count(*) FILTER (WHERE exit_reason <> 'backtest_end') AS closed_trades, avg(hold_days) AS avg_hold_days FROM trades GROUP BY 1""")(
     lambda w: trades.closed_metrics(w.trades, ["tier"]))
+METRIC_ROW = f"""WITH al AS (SELECT * FROM ({ALIGNED}) WHERE model IS NOT NULL),
+  c AS (SELECT 'model' AS scenario, date, model AS value FROM al UNION ALL SELECT 'bench', date, bench FROM al),
+  dd AS (SELECT *, (value - max(value) OVER t) / max(value) OVER t AS drawdown, value / lag(value) OVER t - 1 - (pow(1.03::DOUBLE, 1 / 252.0::DOUBLE) - 1) AS e
+    FROM c WINDOW t AS (PARTITION BY scenario ORDER BY date)),
+  m AS (SELECT scenario, pow(arg_max(value, date) / arg_min(value, date), 365.25::DOUBLE / (max(date) - min(date))) - 1 AS r,
+    avg(e) / stddev_samp(e) * sqrt(252) AS s, min(drawdown) AS d FROM dd GROUP BY 1),
+  t AS (SELECT avg(CAST(exit_price / entry_price - 1 > 0 AS DOUBLE)) FILTER (WHERE exit_reason <> 'backtest_end') AS win_rate, count(*) AS total_trades,
+    count(*) FILTER (WHERE exit_reason <> 'backtest_end') AS closed_trades, avg(exit_date - entry_date) AS avg_hold_days FROM resolved)
+  SELECT 'combined' AS mode, a.r AS ann_return_model, b.r AS ann_return_bench, a.r - b.r AS alpha, a.s AS sharpe_model, b.s AS sharpe_bench,
+    a.d AS max_dd_model, b.d AS max_dd_bench, t.* FROM m a, m b, t WHERE a.scenario = 'model' AND b.scenario = 'bench'"""
+ROW_SHAPE = ("mode ann_return_model:6 ann_return_bench:6 alpha:6 sharpe_model:6 sharpe_bench:6 max_dd_model:6 max_dd_bench:6 "
+             "win_rate:6 total_trades! closed_trades! avg_hold_days:4")
+
+
+def metric_row(w):
+    c = both_curves(w)
+    return curves.metric_row(c.where("scenario = 'basket'"), c.where("scenario = 'benchmark'"), w.resolved_trades, "combined")
+
+
+query("a5_metric_row", ROW_SHAPE, METRIC_ROW)(metric_row)
+
+
+@query("s11_metrics_write", ROW_SHAPE, METRIC_ROW)
+def _(w):
+    path = sinks.new_path(w.spark, "metrics")
+    sinks.write_metrics(metric_row(w), path, "parquet")
+    return w.spark.read.parquet(path)
+
+
 query("a9_trade_stats", "tier n! win_rate:6 mean:8 best:6 worst:6 avg_hold:4", """SELECT tier, count(*) AS n, avg(CAST(return_pct > 0 AS DOUBLE)) AS win_rate,
   avg(return_pct) AS mean, max(return_pct) AS best, min(return_pct) AS worst, avg(hold_days) AS avg_hold FROM trades GROUP BY ROLLUP (tier)""")(
     lambda w: trades.trade_stats(w.trades))
@@ -91,8 +117,8 @@ EQUITY = """SELECT *, 1000000 * product(1 + 0.1::DOUBLE * return_dec) OVER (ORDE
   row_number() OVER (ORDER BY entry_date, h, ticker) AS pos FROM done"""
 query("w4_compounding", "ticker! entry_date equity:0 drawdown:5", f"""SELECT *, equity / greatest(1000000.0::DOUBLE, max(equity) OVER (ORDER BY pos)) - 1 AS drawdown FROM ({EQUITY})""")(
     lambda w: trades.trade_curve(w.trades))
-query("q16_trade_equity", "date n! equity:0 drawdown:5", f"""SELECT date, n, equity, equity / greatest(1000000.0::DOUBLE, max(hi) OVER (ORDER BY date)) - 1 AS drawdown FROM (
-  SELECT exit_date AS date, count(*) AS n, arg_max(equity, pos) AS equity, max(equity) AS hi FROM ({EQUITY}) GROUP BY 1)""")(
+query("q16_trade_equity", "date entry_date ticker! equity:0 drawdown:5", f"""SELECT *, exit_date AS date,
+  equity / greatest(1000000.0::DOUBLE, max(equity) OVER (ORDER BY exit_date, pos ROWS UNBOUNDED PRECEDING)) - 1 AS drawdown FROM ({EQUITY})""")(
     lambda w: trades.exit_dated_curve(w.trades, []))
 
 
@@ -140,8 +166,8 @@ query("q14_assessment", "years! return_label alpha_label cagr_label win_label sh
 # ---- bootstrap ------------------------------------------------------------
 
 def sims(w):
-    returns = bootstrap.numbered(w.trades.where(F.col("return_dec").isNotNull()), ["entry_date", "ticker"])
-    return bootstrap.simulate(returns.select("idx", "return_dec"), 9)
+    returns = bootstrap.numbered(w.resolved_trades.where(F.col("return_dec").isNotNull()), ["entry_date", "ticker", "tier"])
+    return bootstrap.simulate(returns.select("idx", "return_dec"), 1000)
 
 
 query("q15_bootstrap", "sim! final_value:0 cagr:6 max_drawdown:6 sharpe:5 win_rate:6", "SELECT * FROM simstats")(sims)
@@ -170,6 +196,9 @@ query("w13_sample_paths", "sim!", "SELECT sim FROM simstats ORDER BY md5(sim ||
 query("a16_histogram", "tier bin! n!", """SELECT tier, CAST(least(floor((return_pct - lo) / (hi - lo) * 80), 79) AS BIGINT) AS bin, count(*) AS n
   FROM done JOIN (SELECT tier, min(return_pct) AS lo, max(return_pct) AS hi FROM done GROUP BY 1) USING (tier) GROUP BY 1, 2""")(
     lambda w: histogram(w.trades.where(F.col("return_pct").isNotNull()), ["tier"], "return_pct", 80))
+query("a16_outcome_histograms", "metric bin! n!", f"""SELECT metric, CAST(least(floor((v - lo) / (hi - lo) * 80), 79) AS BIGINT) AS bin, count(*) AS n
+  FROM ({LONG}) JOIN (SELECT metric, min(v) AS lo, max(v) AS hi FROM ({LONG}) GROUP BY 1) USING (metric) GROUP BY 1, 2""")(
+    lambda w: bootstrap.outcome_histograms(w.sim_stats))
 query("w4_growth_by_tier", "tier growth:6 max_drawdown:6", """SELECT tier, arg_max(e, n) AS growth, least(min(e / greatest(peak, 1)) - 1, 0) AS max_drawdown FROM (
   SELECT *, max(e) OVER (PARTITION BY tier ORDER BY n) AS peak FROM (SELECT tier, row_number() OVER o AS n, product(1 + 0.1::DOUBLE * return_dec) OVER o AS e FROM done
   WINDOW o AS (PARTITION BY tier ORDER BY entry_date, h, ticker ROWS UNBOUNDED PRECEDING))) GROUP BY 1""")(

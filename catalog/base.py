@@ -75,6 +75,13 @@ class Workspace:
         from catalog.screen_queries import entries
         return stage(entries(self), "entries")
 
+    @cached_property
+    def resolved_trades(self) -> DataFrame:
+        """Entries with their exits, as the trade table."""
+        from catalog.screen_queries import resolved
+        from tidemark.operators.exits import trade_table
+        return stage(trade_table(resolved(self)), "resolved")
+
     @cached_property
     def sim_stats(self) -> DataFrame:
         """Per-simulation statistics of the bootstrap."""

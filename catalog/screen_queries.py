@@ -231,7 +231,7 @@ query("q8_exit_resolution", "ticker! tier entry_date entry_price:4 exit_date exi
 
 query("q9_trade_table", "ticker! tier entry_date exit_date return_pct:4 pnl_dollars:2 hold_days! exit_reason", """SELECT *,
   (exit_price / entry_price - 1) * 100 AS return_pct, (exit_price / entry_price - 1) * 100000 AS pnl_dollars, exit_date - entry_date AS hold_days
-  FROM resolved""")(lambda w: exits.trade_table(resolved(w)))
+  FROM resolved""")(lambda w: w.resolved_trades)
 
 
 # ---- pipelines ------------------------------------------------------------

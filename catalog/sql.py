@@ -401,11 +401,12 @@ CTE["wf"] = """SELECT b.kind || '-' || b.start_year || '-' || (b.end_year - 1) A
   JOIN (SELECT w.kind, w.fold, pow(product(1 + ret_pct / 100), 1.0::DOUBLE / count(*)) - 1 AS bench FROM wins w
     JOIN byear y ON y.year >= w.start_year AND y.year < w.end_year GROUP BY 1, 2) USING (kind, fold)"""
 
-CTE["idx"] = """SELECT return_dec, row_number() OVER (ORDER BY year(entry_date) * 12 + month(entry_date), substr(h, 1, 2), entry_date, ticker) - 1 AS idx,
-  count(*) OVER () AS n FROM done"""
+CTE["rtrades"] = """SELECT *, md5(CAST(ticker AS VARCHAR)) AS h, exit_price / entry_price - 1 AS return_dec FROM resolved WHERE exit_price / entry_price - 1 IS NOT NULL"""
+CTE["idx"] = """SELECT return_dec, row_number() OVER (ORDER BY year(entry_date) * 12 + month(entry_date), substr(h, 1, 2), entry_date, ticker, tier) - 1 AS idx,
+  count(*) OVER () AS n FROM rtrades"""
 CTE["sims"] = """SELECT sim, draw, return_dec FROM (
   SELECT s.sim, d.draw, CAST('0x' || substr(md5(s.sim || '-' || d.draw || '-42'), 1, 8) AS BIGINT) % d.n AS idx
-  FROM (SELECT unnest(range(9)) AS sim) s, (SELECT idx AS draw, n FROM idx) d) JOIN idx USING (idx)"""
+  FROM (SELECT unnest(range(1000)) AS sim) s, (SELECT idx AS draw, n FROM idx) d) JOIN idx USING (idx)"""
 CTE["simstats"] = """SELECT sim, growth * 1000000.0::DOUBLE AS final_value, pow(growth, 0.2::DOUBLE) - 1 AS cagr, max_dd AS max_drawdown,
   CASE WHEN sd > 0 THEN mu / sd * sqrt(n / 5.0::DOUBLE) ELSE 0 END AS sharpe, win_rate FROM (
   SELECT sim, count(*) AS n, avg(CAST(return_dec > 0 AS DOUBLE)) AS win_rate, avg(return_dec * 0.1::DOUBLE) AS mu,

@@ -119,3 +119,31 @@ def test_drawdown_and_metrics_case(spark):
     got = [r.drawdown for r in curves.with_drawdown(c).orderBy("date").collect()]
     assert got == pytest.approx([0, 0, -0.25, 0]) and curves.curve_metrics(c).first().max_drawdown == pytest.approx(-0.25)
     assert curves.curve_metrics(c).first().sharpe is None  # fewer than 20 returns
+
+
+def test_curves_align_on_the_benchmark_days(spark):
+    day = lambda k: D(2024, 1, k)
+    model = spark.createDataFrame([("m", day(2), 10.0), ("m", day(3), 11.0), ("m", day(6), 12.0), ("m", day(7), 99.0)], "scenario string, date date, value double")
+    bench = spark.createDataFrame([("b", day(k), float(k)) for k in (1, 2, 4, 5, 6, 8)], "scenario string, date date, value double")
+    got = {r.date.day: (r.model, r.bench) for r in curves.align(model, bench).collect()}
+    # the model's days 3 and 7 are no benchmark days
+    assert got == {1: (None, 1.0), 2: (10.0, 2.0), 4: (10.0, 4.0), 5: (10.0, 5.0), 6: (12.0, 6.0), 8: (12.0, 8.0)}
+
+
+def test_exit_dated_curve_keeps_every_trade(spark):
+    import hashlib
+    import random
+    rng = random.Random(4)
+    rows = [(f"t{k}", "qvm", D(2020, 1, 1 + k % 20), D(2020, 2, 1 + rng.randrange(3)), rng.uniform(-0.5, 0.5)) for k in range(80)]
+    df = spark.createDataFrame(rows, "ticker string, tier string, entry_date date, exit_date date, return_dec double")
+    entry = sorted(rows, key=lambda r: (r[2], hashlib.md5(r[0].encode()).hexdigest()))
+    equity, v = {}, 1e6
+    for place, r in enumerate(entry):
+        v *= 1 + 0.1 * r[4]
+        equity[r[0]] = (r[3], place, v)
+    peak, want = 1e6, {}
+    for t, (_, _, v) in sorted(equity.items(), key=lambda x: x[1][:2]):
+        peak = max(peak, v)
+        want[t] = v / peak - 1
+    got = {r.ticker: r.drawdown for r in trades.exit_dated_curve(df, []).collect()}
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)

@@ -60,6 +60,7 @@ class Settings:
     position_size: float = 0.10
     capital: float = 1_000_000.0
     risk_free: float = 0.03
+    simulations: int = 10_000
     alert_score: int = 11
     qvm_variant: str = "composite"
 

@@ -16,6 +16,8 @@ from tidemark.operators.compound import chunk_summaries, combine_chunks, merged_
 from tidemark.operators.ranks import histogram, nearest_to_percentile, percentiles
 
 CHUNK_DRAWS = 4096
+#: Draws per task, about; longest trade list that is broadcast (its size is counted first).
+TASK_DRAWS, BROADCAST_TRADES = 2_000_000, 100_000
 
 
 def numbered(trades: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,12 +38,12 @@ def draws(returns: DataFrame, sims: int, seed: int = 42) -> DataFrame:
     """``(sim, draw, return_dec)``: as many draws with replacement per
     simulation as there are rows in ``returns`` (idx, return_dec)."""
     spark = returns.sparkSession
-    n = returns.agg(F.count(F.lit(1))).scalar()
+    n = returns.count()
     # Two explodes: sims to blocks, blocks to draws. The block rows are few but
     # grow a thousandfold, so their partitions are fixed by number: adaptive
     # execution would coalesce them into one task.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = (spark.range(sims).withColumnRenamed("id", "sim").withColumn("_n", n)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sims * n // TASK_DRAWS))
+    blocks = (spark.range(sims).withColumnRenamed("id", "sim").withColumn("_n", F.lit(n).cast("bigint"))
               .select("sim", "_n", F.explode(F.sequence(
                   F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / CHUNK_DRAWS).cast("bigint"))).alias("block"))
               .where(F.col("_n") > 0).repartition(parts, "sim", "block"))
@@ -52,14 +54,16 @@ def draws(returns: DataFrame, sims: int, seed: int = 42) -> DataFrame:
     # Never NULL: otherwise Spark hashes every draw a second time in a null filter.
     idx = F.coalesce(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.col("_n"), F.lit(0))
     # Draws come from two explodes, whose size Spark cannot foresee: left alone
-    # it would broadcast them. Both sides are shuffled by the (uniform) number.
-    return rows.select("sim", "block", "draw", idx.alias("idx")).join(returns.hint("shuffle_hash"), "idx")
+    # it would broadcast them. A short list goes to the draws; with a long one
+    # both sides are shuffled by the (uniform) number.
+    listed = F.broadcast(returns) if n <= BROADCAST_TRADES else returns.hint("shuffle_hash")
+    return rows.select("sim", "block", "draw", idx.alias("idx")).join(listed, "idx")
 
 
-def simulate(returns: DataFrame, sims: int, years: float = 5.0, seed: int = 42,
+def simulate(returns: DataFrame, sims: int | None = None, years: float = 5.0, seed: int = 42,
              cfg: Settings = DEFAULT) -> DataFrame:
     """Final value, CAGR, drawdown, Sharpe ratio and win rate per simulation."""
-    d = draws(returns, sims, seed)
+    d = draws(returns, cfg.simulations if sims is None else sims, seed)
     r, size = F.col("return_dec"), cfg.position_size
     # One pass over the draws: path and moments per block, then per simulation.
     blocks = chunk_summaries(d, ["sim"], ["block"], ["draw"], 1 + size * r, *moments(r * size, "r"),
@@ -95,8 +99,9 @@ def outcome_probabilities(stats: DataFrame, cfg: Settings = DEFAULT, benchmark:
         share(v < cfg.capital).alias("p_loss"), share(F.col("max_drawdown") < -0.30).alias("p_deep_drawdown"))
 
 
-def outcome_histogram(stats: DataFrame, metric: str, bins: int = 80) -> DataFrame:
-    return histogram(stats, [], metric, bins)
+def outcome_histograms(stats: DataFrame, bins: int = 80) -> DataFrame:
+    """``(metric, bin, n)`` of every outcome."""
+    return histogram(stats.unpivot(["sim"], OUTCOMES, "metric", "v"), ["metric"], "v", bins)
 
 
 def representative_paths(stats: DataFrame) -> DataFrame:

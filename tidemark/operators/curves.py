@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Settings
 from tidemark.functions.columns import growth, ratio
+from tidemark.operators.asof import align_to_calendar
+from tidemark.operators.trades import closed_metrics
 
 KEY = "scenario"
 
@@ -93,3 +95,23 @@ def regime_flags(features: DataFrame) -> DataFrame:
     before = F.lag("bear").over(_w())
     return b.select("date", "bear", F.when(F.col("bear") & ~before, "DOWN")
                     .when(~F.col("bear") & before, "UP").alias("crossing"))
+
+
+def align(model: DataFrame, bench: DataFrame) -> DataFrame:
+    """``(scenario, date, model, bench)`` on the benchmark's days; the model's value is
+    carried forward over days it lacks, and NULL before its first one."""
+    on_days = align_to_calendar(model.select(KEY, "date", "value"), bench.select("date"), KEY, "value")
+    return bench.select("date", F.col("value").alias("bench")).join(on_days.withColumnRenamed("value", "model"), "date", "left")
+
+
+def metric_row(model: DataFrame, bench: DataFrame, trades: DataFrame, mode: str, cfg: Settings = DEFAULT) -> DataFrame:
+    """A run's published row: returns, alpha, Sharpe ratios and drawdowns of the
+    aligned curves next to its trade counts."""
+    both = align(model, bench).where(F.col("model").isNotNull()).select("date", "model", "bench").unpivot("date", ["model", "bench"], KEY, "value")
+    m = curve_metrics(both, cfg)
+    value = lambda who, what: F.max(F.when(F.col(KEY) == who, F.col(what)))
+    row = m.agg(value("model", "ann_return").alias("ann_return_model"), value("bench", "ann_return").alias("ann_return_bench"),
+                value("model", "sharpe").alias("sharpe_model"), value("bench", "sharpe").alias("sharpe_bench"),
+                value("model", "max_drawdown").alias("max_dd_model"), value("bench", "max_drawdown").alias("max_dd_bench"))
+    row = row.withColumn("alpha", F.col("ann_return_model") - F.col("ann_return_bench")).withColumn("mode", F.lit(mode))
+    return row.join(closed_metrics(trades.withColumn("mode", F.lit(mode)), ["mode"]), "mode", "left")

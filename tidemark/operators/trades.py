@@ -5,7 +5,7 @@ order of trades goes through ordered chunks (``compound``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Settings
@@ -70,17 +70,24 @@ def trade_curve(trades: DataFrame, by: list[str] | None = None, cfg: Settings =
 
 
 def exit_dated_curve(trades: DataFrame, by: list[str], cfg: Settings = DEFAULT) -> DataFrame:
-    """The entry-ordered equity restamped with exit dates and its drawdown by
-    date. Per exit day the worst and last points are kept, so the dated series
-    is calendar-sized per group."""
-    from pyspark.sql import Window
-    curve = trade_curve(trades, by, cfg)
-    last = F.struct("entry_date", F.md5(F.col("ticker").cast("string")), "ticker")
-    daily = curve.groupBy(*by, F.col("exit_date").alias("date")).agg(
-        F.max_by("equity", last).alias("equity"), F.max("equity").alias("_hi"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.greatest(F.lit(cfg.capital), F.max("_hi").over(w))
-    return daily.select(*by, "date", "n", "equity", ((F.col("equity") - peak) / peak).alias("drawdown"))
+    """The entry-ordered equity restamped with exit dates: one point per trade
+    in order of (exit date, entry order), and the drawdown along that order.
+
+    The running peak is put together from three levels (trade within a chunk
+    of one exit day, chunk within the day, days), so a day on which a large
+    part of the log closes is not one task; days per group are calendar-sized.
+    """
+    curve = ordered(trade_curve(trades, by, cfg)).withColumnRenamed("exit_date", "date")
+    day, chunk = [*by, "date"], [*by, "date", "entry_date", "_h"]
+    upto = Window.partitionBy(*chunk).orderBy("_md5", "ticker", "tier").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = curve.groupBy(*chunk).agg(F.max("equity").alias("_hi"))
+    chunks = chunks.withColumn("_in_day", F.max("_hi").over(earlier(Window.partitionBy(*day).orderBy("entry_date", "_h"))))
+    days = chunks.groupBy(*day).agg(F.max("_hi").alias("_day_hi"))
+    days = days.withColumn("_days", F.max("_day_hi").over(earlier(Window.partitionBy(*by).orderBy("date"))))
+    peaks = chunks.join(days, day).select(*chunk, "_in_day", "_days")
+    peak = F.greatest(F.lit(cfg.capital), F.max("equity").over(upto), "_in_day", "_days")
+    return curve.join(peaks, chunk).select(*by, "date", "entry_date", "ticker", "equity", ((F.col("equity") - peak) / peak).alias("drawdown"))
 
 
 def period_metrics(trades: DataFrame, periods: DataFrame, bench: DataFrame,
