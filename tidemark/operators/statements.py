@@ -172,16 +172,38 @@ def shares_used(company: DataFrame) -> DataFrame:
     return company.select("ticker", known.alias("shares_used"))
 
 
-def with_ps_history(grid: DataFrame, points: DataFrame, as_of: str = "as_of", cfg: Settings = DEFAULT) -> DataFrame:
-    """Adds ``ps_hist``: the P/S points published in the look-back. The frame is
-    a day range over stacked rows, so it holds at most three years of periods."""
-    day = F.datediff(F.col("_ts"), F.lit("1970-01-01").cast("date"))
-    stacked = (grid.select("ticker", F.col(as_of).alias("_ts"), F.struct(*grid.columns).alias("_probe"))
-               .unionByName(points.select("ticker", F.col("published").alias("_ts"), "ps_q", "ps_a"),
-                            allowMissingColumns=True)
-               .withColumn("_day", day))
-    w = Window.partitionBy("ticker").orderBy("_day").rangeBetween(-cfg.ps_history_days, 0)
-    seen = (stacked.select("_probe", F.collect_list("ps_q").over(w).alias("_q"), F.collect_list("ps_a").over(w).alias("_a"))
-            .where(F.col("_probe").isNotNull()))
+def ps_histories(points: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """``ps_seen``: the P/S points of the look-back as of each publication. The
+    frames run over a ticker's publications alone, a few dozen rows."""
+    day = F.datediff("published", F.lit("1970-01-01").cast("date"))
+    w = Window.partitionBy("ticker").orderBy(day).rangeBetween(-cfg.ps_history_days, 0)
+
+    def seen(c: str) -> Column:
+        point = F.when(F.col(c).isNotNull(), F.struct(F.col("published").alias("d"), F.col(c).alias("v")))
+        return F.collect_list(point).over(w).alias(c)
+
+    return points.select("ticker", "published", F.struct(seen("ps_q"), seen("ps_a")).alias("ps_seen"))
+
+
+def ps_stream(histories: DataFrame) -> Stream:
+    return Stream(histories, "published", ["ps_seen"])
+
+
+def with_ps_hist(seen: DataFrame, as_of: str, cfg: Settings = DEFAULT) -> DataFrame:
+    """Replaces the carried ``ps_seen`` by ``ps_hist``, without the points that
+    have left the look-back since their publication."""
+    start = F.date_sub(as_of, cfg.ps_history_days)
+
+    def values(c: str) -> Column:
+        inside = F.filter(F.col(f"ps_seen.{c}"), lambda x: x["d"] >= start)
+        return F.coalesce(F.transform(inside, lambda x: x["v"]), F.array().cast("array<double>"))
+
+    out = seen.withColumn("_q", values("ps_q")).withColumn("_a", values("ps_a"))
     annual = (F.size("_q") < 4) & (F.size("_a") > F.size("_q"))
-    return seen.select("_probe.*", F.when(annual, F.col("_a")).otherwise(F.col("_q")).alias("ps_hist"))
+    return out.withColumn("ps_hist", F.when(annual, F.col("_a")).otherwise(F.col("_q"))).drop("_q", "_a", "ps_seen")
+
+
+def with_ps_history(grid: DataFrame, points: DataFrame, as_of: str = "as_of", cfg: Settings = DEFAULT) -> DataFrame:
+    """Adds ``ps_hist``: the P/S points published in the look-back."""
+    return with_ps_hist(asof_backward(grid, "ticker", as_of, [ps_stream(ps_histories(points, cfg))]), as_of, cfg)
+

@@ -49,6 +49,10 @@ class Inputs:
     def ps_points(self) -> DataFrame:
         return self.stage(statements.ps_points(self.periods, self.features, self.company, self.cfg), "ps-points")
 
+    @cached_property
+    def ps_histories(self) -> DataFrame:
+        return self.stage(statements.ps_histories(self.ps_points, self.cfg), "ps-histories")
+
     @cached_property
     def days(self) -> DataFrame:
         return self.benchmark.where(F.col("close").isNotNull()).select("date").distinct()
@@ -116,8 +120,8 @@ def fundamentals_asof(grid: DataFrame, inp: Inputs, as_of: str = "as_of") -> Dat
     """
     f = inp.features
     seen = asof_backward(grid, "ticker", as_of, [
-        inp.states, Stream(f, "date", ["close", "ret_6m"])])
-    seen = statements.with_ps_history(seen, inp.ps_points, as_of, inp.cfg)
+        inp.states, Stream(f, "date", ["close", "ret_6m"]), statements.ps_stream(inp.ps_histories)])
+    seen = statements.with_ps_hist(seen, as_of, inp.cfg)
     seen = seen.join(statements.shares_used(inp.company), "ticker", "left")
     out = metrics.with_ps_stats(metrics.with_metrics(seen, inp.cfg), inp.cfg)
     return filters.with_quality_filters(out, inp.cfg)
@@ -177,9 +181,10 @@ def daily_timing(inp: Inputs, probe: DataFrame, as_of: str = "date", until: Colu
         Stream(f, "date", row_cols, row=True, name="px", complete=prices.FEATURES),
         Stream(f, "date", ["close", "ret_6m"]),
         Stream(known(inp.momentum, "date"), "date", ["momentum_rank"]),
-        replace(inp.states, frame=known(inp.states.frame, "published"))])
+        replace(inp.states, frame=known(inp.states.frame, "published")),
+        statements.ps_stream(known(inp.ps_histories, "published"))])
     seen = seen.select("*", "px.*").drop("px")
-    seen = statements.with_ps_history(seen, known(inp.ps_points, "published"), as_of, inp.cfg)
+    seen = statements.with_ps_hist(seen, as_of, inp.cfg)
     seen = seen.join(statements.shares_used(inp.company), "ticker", "left")
     full = metrics.with_ps_stats(metrics.with_metrics(seen, inp.cfg), inp.cfg)
     state = inp.market.withColumnRenamed("date", as_of)
