@@ -2,9 +2,9 @@
 
 Spark has no public as-of join, so probes and series are stacked and the
 latest value is carried along one window per key: a single shuffle, linear
-work. Dates are calendar days and each key has one row per day on either side
-(``one_per_day`` enforces it for probes), so a window partition is bounded by
-the length of the calendar however many raw rows a key has.
+work. Dates are calendar days and callers pass one row per key and day on
+either side (``one_per_day`` makes a probe so), which bounds a window partition
+by the length of the calendar however many raw rows a key has.
 """
 
 from __future__ import annotations

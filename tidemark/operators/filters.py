@@ -200,6 +200,7 @@ def trigger_levels(cfg: Settings = DEFAULT) -> list[Column]:
 
 def signal_conviction(vix: Column, off_high: Column) -> Column:
     v, o = F.coalesce(vix, F.lit(0.0)), F.coalesce(off_high, F.lit(0.0))
+    # Levels of fear and distance from the high.
     return (F.when((v >= 35) & (o >= 0.30), "EXTREME")
             .when((v >= 25) & (o >= 0.20), "HIGH").otherwise("MODERATE"))
 

@@ -13,21 +13,29 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import order_bin
 
+#: Parts of a value bucket.
+SUB_BINS = 4096
+
 
 def value_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """One row per (group, distinct value): ``cnt`` rows have it, ``below``
     rows of the group are smaller, the group has ``n`` non-null rows."""
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
-              .withColumn("_bin", order_bin(value)))
-    inside = Window.partitionBy(*by, "_bin").orderBy(value)
+              .withColumn("_bin", order_bin(value)).withColumn("_sub", order_bin(value, 64 * SUB_BINS)))
+    # Three levels: buckets of a group, at most SUB_BINS parts of a bucket, values of a part. A group whose
+    # values lie within one percent is one bucket, but still thousands of parts.
+    inside = Window.partitionBy(*by, "_sub").orderBy(value)
     local = counts.withColumn("_local", F.sum("cnt").over(inside) - F.col("cnt"))
+    within = Window.partitionBy(*by, "_bin").orderBy("_sub")
+    subs = (counts.groupBy(*by, "_bin", "_sub").agg(F.sum("cnt").alias("_sub_n"))
+            .withColumn("_earlier", F.sum("_sub_n").over(within) - F.col("_sub_n")))
     across = Window.partitionBy(*by)
     bins = (counts.groupBy(*by, "_bin").agg(F.sum("cnt").alias("_bin_n"))
             .withColumn("_before", F.sum("_bin_n").over(across.orderBy("_bin")) - F.col("_bin_n"))
             .withColumn("n", F.sum("_bin_n").over(across)))
-    return (local.join(bins, [*by, "_bin"])
-            .select(*by, value, "cnt", (F.col("_before") + F.col("_local")).alias("below"), "n"))
+    return (local.join(subs.select(*by, "_sub", "_earlier"), [*by, "_sub"]).join(bins, [*by, "_bin"])
+            .select(*by, value, "cnt", (F.col("_before") + F.col("_earlier") + F.col("_local")).alias("below"), "n"))
 
 
 def pct_rank_avg(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:

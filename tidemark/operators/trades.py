@@ -49,9 +49,9 @@ def closed_metrics(trades: DataFrame, by: list[str]) -> DataFrame:
 
 
 def trade_stats(trades: DataFrame) -> DataFrame:
-    """Per tier and overall (``tier`` NULL)."""
+    """Per tier and overall (``tier`` NULL); trades without a tier count as ``unknown``."""
     r = F.col("return_pct")
-    return trades.rollup("tier").agg(
+    return trades.withColumn("tier", F.coalesce("tier", F.lit("unknown"))).rollup("tier").agg(
         F.count(F.lit(1)).alias("n"), win(r).alias("win_rate"), F.avg(r).alias("mean"),
         F.max(r).alias("best"), F.min(r).alias("worst"), F.avg("hold_days").alias("avg_hold"))
 

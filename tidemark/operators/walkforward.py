@@ -91,6 +91,7 @@ def stability(results: DataFrame) -> DataFrame:
         d = F.col(f"{c}_2") - F.col(f"{c}_1")
         return F.when(d < -large, 2).when(d < -small, 1).otherwise(0)
 
+    # Drops that count, and their points.
     p1, p2 = F.col("profit_factor_1"), F.col("profit_factor_2")
     factor = F.when((p2 < 1) & (p1 > 1), 3).when(p2 < p1 * 0.5, 2).otherwise(0)
     points = (drop("win_rate", 5, 10) + drop("sharpe", 0.2, 0.5) + drop("avg_return", 2, 5) + factor).cast("bigint")

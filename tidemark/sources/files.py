@@ -250,6 +250,7 @@ def parse_reports(lines: DataFrame) -> DataFrame:
                                     F.regexp_extract(v, p, 2).try_cast("bigint").alias("total")))
         for i, p in enumerate(SCORE_PATTERNS)]))
     up = F.upper(v)
+    # Words of the verdict, and the scores they stand for when none is found.
     word = (F.when(up.contains("DO NOT ENTER"), "DO NOT ENTER")
             .when(up.contains("HIGH") & (up.contains("CONVICTION") | up.contains("SIGNAL")), "HIGH")
             .when(up.contains("MEDIUM") & up.contains("CONVICTION"), "MEDIUM"))
