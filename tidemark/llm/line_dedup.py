@@ -27,7 +27,7 @@ from tidemark.llm.common import digest128, stage
 
 THRESHOLD = 0.8
 #: Buckets of the word counts; bits of a word's hash in its key.
-RARITY, HASH_BITS = 1 << 18, 43
+RARITY, HASH_BITS = 1 << 21, 56
 
 
 def words(line: Column) -> Column:
@@ -51,14 +51,15 @@ def _bucket(word: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """How often words of each bucket occur, as a constant array of ``RARITY`` numbers."""
+    """How often words of each bucket occur: a constant of one byte per bucket, 1 for single words, in fifths of an octave."""
     every = docs.select(F.explode(F.split(F.lower("text"), "[ \n\t\r\f\x0b]")).alias("w"))
     counted = every.groupBy(_bucket(F.col("w")).alias("b")).count()
-    numbers = [0] * RARITY
-    for batch in counted.toArrow().to_batches():  # RARITY rows at most
-        for b, n in zip(batch.column("b").to_pylist(), batch.column("count").to_pylist()):
-            numbers[b] = min(n, (1 << (63 - HASH_BITS)) - 1)
-    return F.from_json(F.lit(str(numbers).replace(" ", "")), "array<bigint>")
+    level = F.least(F.floor(F.log2("count") * 5) + 1, F.lit(127)).cast("int")
+    levels = bytearray(RARITY)
+    for batch in counted.select("b", level.alias("level")).toArrow().to_batches():  # RARITY rows at most
+        for b, n in zip(batch.column("b").to_pylist(), batch.column("level").to_pylist()):
+            levels[b] = n
+    return F.lit(bytes(levels))
 
 
 def needed(n: Column, m: Column) -> Column:
@@ -69,7 +70,8 @@ def needed(n: Column, m: Column) -> Column:
 def keyed(all_lines: DataFrame, counts: Column) -> DataFrame:
     """Lines with ``h0``, ``h1`` (hash of the word set), ``n``, ``bits`` and ``prefix`` (keys of the rarest words)."""
     def key(w: Column) -> Column:
-        return F.shiftleft(F.get(counts, _bucket(w)), HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND((1 << HASH_BITS) - 1))
+        level = F.ascii(F.substring(counts, _bucket(w) + 1, F.lit(1)).cast("string")).cast("bigint")
+        return F.shiftleft(level, HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND((1 << HASH_BITS) - 1))
 
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
     reach = F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1
@@ -88,7 +90,7 @@ def classes(all_lines: DataFrame, counts: Column) -> DataFrame:
 def candidates(cls: DataFrame) -> DataFrame:
     """Pairs of classes (``a`` < ``b``) that pass the filters."""
     sets = cls.where(F.col("prefix").isNotNull())
-    posts = sets.select("id", "n", "bits", F.posexplode("prefix").alias("at", "key"))
+    posts = sets.select("id", "n", "bits", F.posexplode("prefix").alias("at", "key")).where(F.shiftright("key", HASH_BITS) > 1)  # met once: no partner
     x = posts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("at").alias("pa"), "key")
     y = posts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("at").alias("pb"), "key")
     share = needed(F.col("na"), F.col("nb"))
