@@ -17,7 +17,7 @@ linked. Classes are the connected components of the links.
 No group of documents is expanded into all its pairs. Equal texts are one entity. In the first round every
 entity is compared with the smallest entity of each of its bands' buckets, in the second with the smallest of
 each class that meets there; the last round compares what is left, pairs of entities of different classes in
-one bucket whose one-bit sketches are near, so no link between different classes is lost. Rounds work on tables in the shared folder.
+one bucket whose two-bit sketches are near, so no link between different classes is lost. Rounds work on tables in the shared folder.
 
 Defined results: equal texts are one class, also empty ones (null counts as empty); texts without words are
 linked to equal texts only; repeated rows are members like others; a null id sorts last.
@@ -36,9 +36,9 @@ from tidemark.llm.common import annotate, bounded, digest128, stage, utf8, words
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 36, 7
 SLOTS = BANDS * ROWS
-#: Candidates whose signatures agree at fewer slots (by one byte each), or differ in more of 128 one-bit slots, are not
-#: verified: at a similarity of 0.8 either happens less than once in a million.
-AGREE, DIFFER = 160, 30
+#: Candidates whose signatures agree at fewer slots (by one byte each), or differ at more of them (by two bits each), are
+#: not verified: at a similarity of 0.8 either lies over 4.5 standard deviations off (a chance of 3 in a million).
+AGREE, DIFFER = 172, 64
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -186,36 +186,34 @@ def bands(sigs: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """``id``, ``key``, ``bands``, ``sketch`` (a byte per slot) and ``m0``, ``m1`` (a bit per slot, of 128); no bands without words."""
+    """``id``, ``key``, ``bands``, ``sketch`` (a byte per slot) and ``marks`` (two bits per slot, as two planes of four words); no bands without words."""
     def fn(batch):
-        shingler, out = Shingler(), {"bands": [], "sketch": [], "m0": [], "m1": []}
+        shingler, out = Shingler(), {"bands": [], "sketch": [], "marks": []}
         for part in bounded(batch, ["text"], 1_000_000):
             h, starts = shingler.many(utf8(part.column("text")))
             some = np.diff(starts) > 0
             sigs = signatures(h, np.concatenate(([0], np.cumsum(np.diff(starts)[some]))))
             b, s = iter(bands(sigs).tolist()), iter((sigs & np.uint64(255)).astype(np.uint8))
-            m = iter(np.packbits((sigs[:, :128] >> np.uint64(8)) & np.uint64(1) == 1, axis=1).view(np.int64).tolist())
+            planes = [np.pad((sigs >> np.uint64(k)) & np.uint64(1) == 1, ((0, 0), (0, 256 - SLOTS))) for k in (8, 9)]
+            m = iter(np.hstack([np.packbits(p, axis=1).view(np.int64) for p in planes]).tolist())
             for has in some:
-                m0, m1 = next(m) if has else (0, 0)
-                out["m0"].append(m0)
-                out["m1"].append(m1)
+                out["marks"].append(next(m) if has else [])
                 out["bands"].append(next(b) if has else [])
                 out["sketch"].append(next(s).tobytes() if has else b"")
         return out
 
     slim = docs.select("id", "key", "text")
-    return annotate(slim, {"text": F.col("text")}, fn, "bands array<bigint>, sketch binary, m0 bigint, m1 bigint").select("row.id", "row.key", "bands", "sketch", "m0", "m1")
+    return annotate(slim, {"text": F.col("text")}, fn, "bands array<bigint>, sketch binary, marks array<bigint>").select("row.id", "row.key", "bands", "sketch", "marks")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``root`` (the smallest node it is connected with) of an undirected graph (``a``, ``b``).
+    """``node`` and ``root`` (the smallest node it is connected with) of an undirected graph (``a``, ``b``); roots have no row.
 
     Alternates linking every node's larger neighbours and its smaller ones to its smallest neighbour until the
     graph is a forest of stars; the number of rounds is logarithmic in practice. Edges never reach the driver.
     """
     e = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
-    while True:
+    while not _stars(e):
         # larger neighbours to the smallest neighbour
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -224,10 +222,23 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         e = stage(small.where("a <> b").distinct(), "edges")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, which has none itself."""
+    up = e.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    ends = e.select(F.col("b").alias("a")).distinct()
+    return up.join(ends.withColumn("hub", F.lit(True)), "a", "left").where("n > 1 OR hub").isEmpty()
+
+
+def _joined(root: DataFrame, links: DataFrame) -> DataFrame:
+    """``root`` after the classes that ``links`` (of nodes) connect became one."""
+    ra, rb = root.select(F.col("node").alias("a"), F.col("root").alias("x")), root.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    between = links.join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    top = components(between)
+    moved = root.join(top.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return stage(moved.union(top), "roots")
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
@@ -265,7 +276,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), digest128(F.col(text)).alias("key"), F.col(text).alias("text"))
     signed = stage(_signatures(rows), "signatures")
-    entities = signed.groupBy("key").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("m0").alias("m0"), F.first("m1").alias("m1"))
+    entities = signed.groupBy("key").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("marks").alias("marks"))
     entities = stage(entities.withColumn("eid", F.monotonically_increasing_id()), "entities")
 
     banded = entities.select("eid", F.explode("bands").alias("bucket"))
@@ -289,16 +300,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
         if not last:
             pairs = meet.join(several, "bucket").where("eid <> least").select(F.col("eid").alias("a"), F.col("least").alias("b"))
         else:
-            bits = entities.select("eid", "m0", "m1")
-            open_ = stage(classed.join(several.select("bucket"), "bucket", "left_semi").join(bits, "eid"), "open")
-            other = open_.select("bucket", F.col("eid").alias("b"), F.col("c").alias("d"), F.col("m0").alias("n0"), F.col("m1").alias("n1"))
-            near = F.expr(f"c > d AND bit_count(m0 ^ n0) + bit_count(m1 ^ n1) <= {DIFFER}")
+            open_ = stage(classed.join(several.select("bucket"), "bucket", "left_semi").join(entities.select("eid", "marks"), "eid"), "open")
+            other = open_.select("bucket", F.col("eid").alias("b"), F.col("c").alias("d"), F.col("marks").alias("n"))
+            unlike = " + ".join(f"bit_count((marks[{k}] ^ n[{k}]) | (marks[{k + 4}] ^ n[{k + 4}]))" for k in range(4))
+            near = F.expr(f"c > d AND {unlike} <= {DIFFER}")
             pairs = open_.withColumnRenamed("eid", "a").join(other, ["bucket"]).where(near).select("a", "b")
         pairs = stage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
         more = _verified(pairs, sketches, texts)
         if not more.isEmpty():
-            links = stage(links.union(more), "links")
-            root = components(links)
+            root = _joined(root, more)
 
     named = entities.select("eid", "key", "first_id").join(root.withColumnRenamed("node", "eid"), "eid", "left").withColumn("root", F.coalesce("root", "eid"))
     sizes = signed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
