@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import annotate, bounded, let, stage
 
 #: Words in the broadcast dictionary at most; bytes of the longest word that is folded (a power of two).
-DICTIONARY, LONG = 1 << 20, 64
+DICTIONARY, LONG = 3 << 18, 64
 #: Hash buckets and slots of the literal map; bits of an id.
 SHIFTS, SLOTS, _BITS = 1 << 15, 262_139, 20
 #: No rank; the first id that stands for a document's own word.
@@ -233,8 +233,8 @@ class Assembler:
         return b"".join(map(self.ranks.pieces.__getitem__, ids.tolist()))
 
 
-def encode(docs: DataFrame, text: str, ranks: Ranks) -> DataFrame:
-    """``row``, ``ids`` (little-endian unsigned 32-bit integers, as binary) and ``decoded`` bytes of every document."""
+def encode(docs: DataFrame, text: str, ranks: Ranks, keep: list[str] | None = None) -> DataFrame:
+    """``row`` (all columns, or those to ``keep``), ``ids`` (little-endian unsigned 32-bit integers, as binary) and ``decoded`` bytes of every document."""
     spark = docs.sparkSession
     literals = ranks.literals()
     head = frequent(stage(count_words(docs, F.col(text), ranks.pattern), "words"))
@@ -254,7 +254,7 @@ def encode(docs: DataFrame, text: str, ranks: Ranks) -> DataFrame:
         ids = [sent.value.filled(*x) for x in zip(batch.column("places").to_pylist(), batch.column("rare_ids").to_pylist())]
         return {"ids": [x.tobytes() for x in ids], "decoded": [sent.value.decode(x) for x in ids]}
 
-    first = annotate(docs, {"text": F.col(text)}, cut, "places binary, rare array<string>")
+    first = annotate(docs, {"text": F.col(text)}, cut, "places binary, rare array<string>", keep)
     folded = first.select("row", "places", F.transform("rare", lambda w: encoded(w, literals)).alias("rare_ids"))
     got = annotate(folded, {"places": F.col("places"), "rare_ids": F.col("rare_ids")}, fill, "ids binary, decoded binary")
     return got.select(F.col("row.row").alias("row"), "ids", "decoded")
@@ -262,6 +262,6 @@ def encode(docs: DataFrame, text: str, ranks: Ranks) -> DataFrame:
 
 def report(docs: DataFrame, ranks: Ranks) -> DataFrame:
     """The contract's row per document."""
-    got = encode(docs.select("doc_id", "text"), "text", ranks)
+    got = encode(docs, "text", ranks, ["doc_id"])
     return got.select("row.doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

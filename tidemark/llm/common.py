@@ -80,14 +80,15 @@ def digest128(text: Column) -> Column:
 
 
 def annotate(docs: DataFrame, inputs: dict[str, Column], fn: Callable[[pa.RecordBatch], dict[str, Iterable]],
-             outputs: str) -> DataFrame:
+             outputs: str, keep: list[str] | None = None) -> DataFrame:
     """Rows of ``docs`` as one struct ``row`` next to the columns that ``fn`` computes from ``inputs``.
 
     The row travels untouched inside the struct, so columns of any name or type survive and cannot
     clash with the outputs. ``outputs`` is a DDL list; ``fn`` gets batches that hold the inputs alone.
+    ``keep`` limits the row to some columns.
     """
     names = list(inputs)
-    narrow = docs.select(F.struct("*").alias("row"), *[c.alias(f"in_{k}") for k, c in inputs.items()])
+    narrow = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), *[c.alias(f"in_{k}") for k, c in inputs.items()])
     spark = docs.sparkSession
     added = spark.createDataFrame([], outputs).schema
     schema = narrow.select("row").schema
