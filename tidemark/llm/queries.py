@@ -109,7 +109,17 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents")).drop("key")
 
 
-@query()
+@query(r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+e AS (SELECT *, role = 'assistant' AS said, 2 * length(role || text) - length(regexp_replace(role || text, '[\\<\[]', '', 'g')) AS escaped FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE said), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE said), '')) AS loss_sha256,
+  sum(length('<s>[ROLE][/ROLE]</s>') + escaped + CASE WHEN said THEN 0 ELSE length('[INST][/INST]') END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""")
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
