@@ -17,7 +17,7 @@ linked. Classes are the connected components of the links.
 No group of documents is expanded into all its pairs. Equal texts are one entity. In the first round every
 entity is compared with the smallest entity of each of its bands' buckets, in the second with the smallest of
 each class that meets there; the last round compares what is left, pairs of entities of different classes in
-one bucket whose two-bit sketches are near, so no link between different classes is lost. Rounds work on tables in the shared folder.
+one bucket whose sketches and maps of shingles leave a link possible, so no link between different classes is lost. Rounds work on tables in the shared folder.
 
 Defined results: equal texts are one class, also empty ones (null counts as empty); texts without words are
 linked to equal texts only; repeated rows are members like others; a null id sorts last.
@@ -39,6 +39,8 @@ SLOTS = BANDS * ROWS
 #: Candidates whose signatures agree at fewer slots (by one byte each), or differ at more of them (by two bits each), are
 #: not verified: at a similarity of 0.8 either lies over 4.5 standard deviations off (a chance of 3 in a million).
 AGREE, DIFFER = 172, 64
+#: Bits of the map of a document's shingles: two documents differ in as many shingles at least as in bits.
+MAP_BITS = 1024
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -186,7 +188,8 @@ def bands(sigs: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """``id``, ``key``, ``bands``, ``sketch`` (a byte per slot) and ``marks`` (two bits per slot, as two planes of four words); no bands without words."""
+    """``id``, ``key``, ``bands``, ``sketch`` (a byte per slot) and ``marks``: two bits per slot as two planes of
+    four words, the map of shingles, and their number. No bands without words."""
     def fn(batch):
         shingler, out = Shingler(), {"bands": [], "sketch": [], "marks": []}
         for part in bounded(batch, ["text"], 1_000_000):
@@ -195,7 +198,9 @@ def _signatures(docs: DataFrame) -> DataFrame:
             sigs = signatures(h, np.concatenate(([0], np.cumsum(np.diff(starts)[some]))))
             b, s = iter(bands(sigs).tolist()), iter((sigs & np.uint64(255)).astype(np.uint8))
             planes = [np.pad((sigs >> np.uint64(k)) & np.uint64(1) == 1, ((0, 0), (0, 256 - SLOTS))) for k in (8, 9)]
-            m = iter(np.hstack([np.packbits(p, axis=1).view(np.int64) for p in planes]).tolist())
+            held = np.zeros((len(some), MAP_BITS), bool)
+            held[np.repeat(np.arange(len(some)), np.diff(starts)), (h % np.uint64(MAP_BITS)).astype(np.int64)] = True
+            m = iter(np.hstack([*(np.packbits(p, axis=1).view(np.int64) for p in planes), np.packbits(held[some], axis=1).view(np.int64), np.diff(starts)[some, None]]).tolist())
             for has in some:
                 out["marks"].append(next(m) if has else [])
                 out["bands"].append(next(b) if has else [])
@@ -303,7 +308,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
             open_ = stage(classed.join(several.select("bucket"), "bucket", "left_semi").join(entities.select("eid", "marks"), "eid"), "open")
             other = open_.select("bucket", F.col("eid").alias("b"), F.col("c").alias("d"), F.col("marks").alias("n"))
             unlike = " + ".join(f"bit_count((marks[{k}] ^ n[{k}]) | (marks[{k + 4}] ^ n[{k + 4}]))" for k in range(4))
-            near = F.expr(f"c > d AND {unlike} <= {DIFFER}")
+            apart = " + ".join(f"bit_count(marks[{k}] ^ n[{k}])" for k in range(8, 8 + MAP_BITS // 64))
+            total, share = f"(marks[{8 + MAP_BITS // 64}] + n[{8 + MAP_BITS // 64}])", (1 - THRESHOLD) / (1 + THRESHOLD)
+            near = F.expr(f"c > d AND {unlike} <= {DIFFER} AND {apart} <= {total} * {share} + 1e-6D")
             pairs = open_.withColumnRenamed("eid", "a").join(other, ["bucket"]).where(near).select("a", "b")
         pairs = stage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
         more = _verified(pairs, sketches, texts)
