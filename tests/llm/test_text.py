@@ -155,6 +155,19 @@ def test_toxicity_is_learned_and_defined_for_odd_texts(spark, docs_of, odd_docs)
     assert {r.score for r in toxicity.score(docs, none, F.col("text")).collect()} == {0.0}
 
 
+def test_only_verified_copies_of_one_label_are_dropped(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [(k, k % 2, f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for k in range(200)]  # a shared passage
+    long = [f"c{k}" for k in range(100)]
+    texts += [(300, 0, " ".join(long)), (301, 0, " ".join(long[:-1] + ["other"])), (302, 1, " ".join(long))]  # a copy, and one of the other label
+    texts += [(400, 0, " ".join(long[:60] + [f"d{k}" for k in range(40)]))]
+    picked = spark.createDataFrame(texts, "id bigint, y int, text string")
+    found = toxicity._terms(picked).select(F.col("row.id").alias("at"), "row.id", "row.y", "terms", "keys", "grams").persist()
+    got = {r.id for r in toxicity._without_copies(found).collect()}
+    assert got == {i for i, _, _ in texts} - {301}
+
+
 # --- shards
 
 def test_curve_visits_every_cell_by_single_steps(spark):

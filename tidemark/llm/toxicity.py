@@ -17,20 +17,22 @@ the examples; without labels every score is 0; rows with a null label or id are
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import annotate, crc_mod, utf8, words_of
+from tidemark.llm.common import annotate, crc_mod, stage, utf8, words_of
 
 #: Bounds of the model: labelled examples, words, examples per block, neighbours.
 EXAMPLES, FEATURES, BLOCK, NEIGHBOURS = 16_384, 4_096, 64, 15
 #: A word is kept if its share among toxic examples is at least twice the mean, and so far above it that among all
 #: words tried this many would be kept by chance.
 LIFT, CHANCE = 2.0, 0.01
+#: Examples of one label are near copies from this Jaccard similarity of five-word shingles on.
+SIMILAR = 0.8
 THRESHOLD = 0.7
 _CACHE = 50_000
 
@@ -132,31 +134,80 @@ class ToxicityModel:
         return self.__dict__ | {"_cache": {}}
 
 
-def _near_copy_keys(words: list[bytes], seeds: int = 3) -> list[int]:
-    """The smallest hash of the five-word shingles under each seed: near copies mostly share one."""
-    grams = [b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
-    return [min(zlib.crc32(g, 0x5BD1E995 * k) for g in grams) for k in range(1, seeds + 1)]
+def _shingles(words: list[bytes]) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the five-word shingles; a shorter text is one shingle."""
+    grams = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    return np.unique(np.frombuffer(b"".join(blake2b(g, digest_size=8).digest() for g in grams), "<u8"))
+
+
+def _near_copy_keys(grams: np.ndarray, seeds: int = 3) -> list[int]:
+    """The smallest hash of the shingles under each seed: near copies mostly share one."""
+    out = []
+    for k in range(1, seeds + 1):
+        h = (grams ^ np.uint64(0x9E3779B97F4A7C15 * k & 2**64 - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(int((h ^ h >> np.uint64(31)).min().astype(np.int64)))
+    return out
+
+
+class _Copies:
+    """Examples in order: each is new, or a near copy of one that came before with the same label.
+
+    The keys only propose; a copy has a Jaccard similarity of at least ``SIMILAR`` over the shingles. Shingles are
+    held for examples that share a key with a later one.
+    """
+
+    def __init__(self, rows: list[tuple[int, list[int]]]) -> None:
+        self.left = Counter(key for y, keys in rows for key in self._keys(y, keys))
+        self.under: dict[tuple, list[int]] = {}
+        self.grams: list[np.ndarray] = []
+
+    @staticmethod
+    def _keys(y: int, keys: list[int]) -> list[tuple]:
+        return [(y, k, key) for k, key in enumerate(keys)]
+
+    def is_new(self, y: int, keys: list[int], grams: np.ndarray) -> bool:
+        mine = self._keys(y, keys)
+        self.left.subtract(mine)
+        near = [g for g in (self.grams[i] for i in sorted({i for key in mine for i in self.under.get(key, ())}))
+                if min(len(g), len(grams)) >= SIMILAR * max(len(g), len(grams)) - 1e-9]
+        if near:
+            sizes = np.array([len(g) for g in near])
+            seen = np.concatenate(near)
+            hit = grams[np.minimum(np.searchsorted(grams, seen), len(grams) - 1)] == seen
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+            if (both >= SIMILAR * (sizes + len(grams) - both) - 1e-9).any():
+                return False
+        if later := [key for key in mine if self.left[key]]:
+            self.grams.append(grams)
+            for key in later:
+                self.under.setdefault(key, []).append(len(self.grams) - 1)
+        return True
 
 
 def _without_copies(examples: DataFrame) -> DataFrame:
-    """One example of each group of near copies, as copies would make any of their words look telling."""
-    for k in range(3):
-        examples = examples.groupBy(F.get("keys", F.lit(k))).agg(F.min(F.struct("id", "y", "terms", "keys")).alias("e")).select("e.*")
-    return examples
+    """Examples (``at, id, y, keys, grams`` and more) but near copies of one with a smaller id and the same label,
+    as copies would make any of their words look telling."""
+    order = examples.orderBy("id", "y", "at")
+    copies = _Copies([(r.y, r["keys"]) for r in order.select("y", "keys").collect()])
+    new = [(r.at,) for r in order.select("at", "y", "keys", "grams").toLocalIterator() if copies.is_new(r.y, r["keys"], np.frombuffer(bytes(r.grams), "<u8"))]
+    return examples.join(F.broadcast(examples.sparkSession.createDataFrame(new, "at bigint")), "at", "left_semi")
 
 
 def _terms(docs: DataFrame, keep=None) -> DataFrame:
-    """``row`` and its distinct words with counts (of ``keep``, a broadcast set, if given)."""
+    """``row`` and its distinct words with counts (of ``keep``, a broadcast set, if given); without ``keep`` also
+    shingles and near-copy keys."""
 
     def fn(batch):
-        out, keys = [], []
+        out, keys, grams = [], [], []
         for t in utf8(batch.column("text")):
             ws = words_of(t)
             out.append([(w.decode(), c) for w, c in Counter(ws if keep is None else filter(keep.value.__contains__, ws)).items()])
-            keys.append(_near_copy_keys(ws) if keep is None else [])
-        return {"terms": out, "keys": keys}
+            g = _shingles(ws) if keep is None else None
+            keys.append([] if g is None else _near_copy_keys(g))
+            grams.append(None if g is None else g.tobytes())
+        return {"terms": out, "keys": keys, "grams": grams}
 
-    return annotate(docs, {"text": F.col("text")}, fn, "terms array<struct<w:string,c:int>>, keys array<bigint>")
+    return annotate(docs, {"text": F.col("text")}, fn, "terms array<struct<w:string,c:int>>, keys array<bigint>, grams binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -169,7 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     some = known.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(EXAMPLES)
     picked = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(some), "id")  # EXAMPLES rows at most
-    terms = _without_copies(_terms(picked).select("row.id", "row.y", "terms", "keys")).persist()
+    found = stage(_terms(picked).select(F.monotonically_increasing_id().alias("at"), "row.id", "row.y", "terms", "keys", "grams"), "examples")
+    terms = _without_copies(found).select("id", "y", "terms").persist()
     n, n1 = terms.agg(F.count(F.lit(1)), F.sum("y")).first()
     n1 = n1 or 0
     if not n or not n1 or n1 == n:
