@@ -2,7 +2,8 @@
 
 ``fit`` takes a bounded sample of labelled documents, keeps the words that labels speak through (likelihood
 ratio and share among toxic examples, a bounded number), counts in how many documents of the whole corpus each
-occurs, and indexes the examples' TF-IDF vectors. The index is inverted, its postings cut into blocks of
+occurs, and indexes the examples' TF-IDF vectors. All other words leave the vectors: the cosine is one of telling
+words, not of whole texts, and a long text that quotes one of them scores like that word alone. The index is inverted, its postings cut into blocks of
 examples with the largest weight of each word and block; a search visits blocks by falling upper bound and
 stops when no later block can hold a nearer example, so the k nearest are exact. Votes weigh by inverse
 distance; a monotone curve fitted by leaving each example out turns votes into probabilities.
