@@ -45,6 +45,24 @@ def test_exact_keeps_one_row_of_repeated_rows_and_all_columns(odd_docs):
     assert rows_of(got.select("doc_id")) == rows_of(odd_docs.where("doc_id IN (1, 3, 4, 5, 6, 7, 8, 10) OR doc_id IS NULL").select("doc_id"))
 
 
+@pytest.mark.parametrize("ids", [[0] + [10**17 + k for k in range(299)], [None] * 300, [7] * 300, [None] * 299 + [-1]])
+def test_exact_buckets_are_bounded_for_any_ids(docs_of, monkeypatch, ids):
+    monkeypatch.setattr(exact_dedup, "BUCKET_KEYS", 10)
+    seen, lookup = [], exact_dedup.lookup
+
+    def spy(batch, index, buckets):
+        seen.append((batch.count(), index.agg(F.sum("n")).first()[0] or 0, buckets))
+        return lookup(batch, index, buckets)
+
+    monkeypatch.setattr(exact_dedup, "lookup", spy)
+    rows = [(i, f"text {k % 200}") for k, i in enumerate(ids)]
+    assert rows_of(exact_dedup.mark(docs_of(rows))) == brute_exact(rows)
+    (batch, history, buckets), = seen
+    assert max(batch, history) <= 10 * buckets
+    if len(set(ids)) == len(ids):
+        assert history > 100
+
+
 def test_exact_empty_table(docs_of):
     assert exact_dedup.mark(docs_of([])).count() == 0
     assert exact_dedup.distinct_documents(docs_of([])).count() == 0

@@ -5,7 +5,8 @@ group's size. Digests are dealt to buckets of bounded size by hash; each bucket
 perfect hash of its own (levelled collision-free bit vectors, ranked), whose slots hold the full digests and
 the winners. ``lookup`` groups the digests of a batch first, sends each distinct digest to its bucket once,
 computes its slot and compares all 32 bytes: members are repeats of the slot's winner, nonmembers are groups
-of their own. No task sees more than one bucket; a digest with a third of all rows is one row after the
+of their own. No task sees more than one bucket, and buckets are as many as the larger of the history and the
+batch needs; a digest with a third of all rows is one row after the
 map-side combine.
 
 Texts are equal when identical after every run of ``[\\x20\\x09-\\x0D]`` became one space; null counts as
@@ -171,22 +172,23 @@ def lookup(batch: DataFrame, index: DataFrame, buckets: int, emit_history: bool
     return dealt.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(probe, GROUPS)
 
 
-def bucket_count(history: DataFrame) -> int:
-    return max(1, -(-history.count() // BUCKET_KEYS))
+def bucket_count(*groups: DataFrame) -> int:
+    """Buckets for the largest of some tables of digest groups."""
+    return max(1, *(-(-g.count() // BUCKET_KEYS) for g in groups))
 
 
 def resolve(keys: DataFrame) -> DataFrame:
     """Groups of a whole corpus of (id, digest): the earlier half by id is the history, the rest is looked up in it.
 
-    The cut lies between the smallest and the largest id, so a history's winner is never later than a
-    batch's. Rows without an id belong to the batch.
+    The cut is about the median of the ids, so a history's winner is never later than a batch's. Rows without an
+    id belong to the batch. Both sides' digests count for the buckets, as one id may be that of many rows.
     """
-    span = keys.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
-    cut = 0 if span.a is None else span.a + (span.b - span.a) // 2
-    history = stage(grouped(keys.where(F.col("id") <= cut)), "history")
-    buckets = bucket_count(history)
+    cut = keys.agg(F.percentile_approx("id", 0.5).alias("cut")).first().cut
+    early = F.coalesce(F.col("id") <= F.lit(cut), F.lit(False))
+    history = stage(grouped(keys.where(early)), "history")
+    batch = stage(grouped(keys.where(~early)), "batch")
+    buckets = bucket_count(history, batch)
     index = stage(build_index(history, buckets), "index")
-    batch = grouped(keys.where(F.col("id").isNull() | (F.col("id") > cut)))
     return stage(lookup(batch, index, buckets), "groups")
 
 
