@@ -46,6 +46,19 @@ def test_index_finds_by_binary_search_and_misses_what_is_absent(spark, monkeypat
     assert warc.surt("https://WWW.a.Example.com/x?y=1#z") == "com,example,a)/x?y=1"
 
 
+@pytest.mark.parametrize("host", ["foo bar", "foo  bar.example", "a b c", "é ü", "www. x", "foo)bar"])
+def test_pages_of_malformed_hosts_come_back(spark, host):
+    df = spark.createDataFrame([(1, f"http://{host}/x", "one", None), (2, f"http://{host}/x y", "two", None), (3, "http://foo/x", "three", None)], PAGES)
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.round_trip(df).collect()) == [(1, 3), (2, 3), (3, 5)]
+
+
+def test_lost_captures_are_an_error(spark, monkeypatch):
+    locate = warc.locate
+    monkeypatch.setattr(warc, "locate", lambda keys, shards: locate(keys.where("page <> '1'"), shards))
+    with pytest.raises(RuntimeError, match="1 records read back of 2"):
+        warc.round_trip(spark.createDataFrame([(1, "http://a/", "x", None), (2, "http://b/", "y", None)], PAGES)).count()
+
+
 # --- chat
 
 def parts_of(turns, template=chat.DEFAULT):

@@ -87,7 +87,7 @@ def surt(url: str | None) -> str:
         host = (parts.hostname or "").lower()
     except ValueError:
         return ")" + quote(url, safe="/?&=%~+,;:@!$'()*-._")
-    host = host.removeprefix("www.")
+    host = quote(host.removeprefix("www."), safe="-._~:%")  # malformed hosts may hold spaces
     tail = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
     return ",".join(reversed(host.split("."))) + ")" + quote(tail, safe="/?&=%~+,;:@!$'()*-._")
 
@@ -302,8 +302,11 @@ def read_records(found: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """The contract's row per page, read back from the archives through the index."""
+    """The contract's row per page, read back from the archives through the index; fails if a capture is not found."""
     spark = pages.sparkSession
     captures = write_archives(with_revisits(pages), make_folder(spark, "archives"))
     shards = write_index(captures, make_folder(spark, "cdx"))
-    return read_records(locate(captures, shards)).drop("payload", "url")
+    got = stage(read_records(locate(captures, shards)).drop("payload", "url"), "read")
+    if (n := got.count()) != (m := captures.count()):
+        raise RuntimeError(f"{n} records read back of {m} captures")
+    return got
