@@ -232,3 +232,9 @@ def test_lines_plan_has_no_python(docs_of):
 def test_prefix_reaches_far_enough(n):
     assert n - int(np.ceil(n * 0.8 - 1e-9)) + 1 >= 1
     assert F is not None
+
+
+def test_second_hash_of_words_is_not_chained_to_the_first(spark):
+    w = F.sort_array("w")
+    r = spark.createDataFrame([(["b", "a"],)], "w array<string>").select(*line_dedup.same_words(F.col("w")), F.xxhash64(w, F.lit(1)).alias("chained")).first()
+    assert len({r.h0, r.h1, r.chained}) == 3

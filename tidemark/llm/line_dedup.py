@@ -42,8 +42,8 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def same_words(w: Column) -> list[Column]:
-    """128-bit hash of a set of words, as two columns."""
-    return [F.xxhash64(F.sort_array(w)).alias("h0"), F.xxhash64(F.sort_array(w), F.lit(1)).alias("h1")]
+    """128-bit hash of a set of words, as two columns; a literal ahead of the words is another seed for all of them."""
+    return [F.xxhash64(F.sort_array(w)).alias("h0"), F.xxhash64(F.lit(1), F.sort_array(w)).alias("h1")]
 
 
 def _bucket(word: Column) -> Column:
