@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bagminhash, bpe, chat, decontaminate, exact_dedup, hilbert, langid, line_dedup, toxicity, warc
+from tidemark.llm import bagminhash, bpe, chat, decontaminate, exact_dedup, hilbert, langid, line_dedup, piece_bpe, toxicity, variants, warc, whitening
 from tidemark.llm.common import crc_mod, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,20 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = hilbert.document_shards(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_bpe.report(table(spark, sf_dir, "documents"), piece_bpe.PieceModel(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@query()
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
