@@ -183,7 +183,11 @@ def daily_timing(inp: Inputs, probe: DataFrame, as_of: str = "date", until: Colu
         Stream(known(inp.momentum, "date"), "date", ["momentum_rank"]),
         replace(inp.states, frame=known(inp.states.frame, "published")),
         statements.ps_stream(known(inp.ps_histories, "published"))])
-    seen = seen.select("*", "px.*").drop("px")
+    return finish_timing(inp, seen.select("*", "px.*").drop("px"), as_of)
+
+
+def finish_timing(inp: Inputs, seen: DataFrame, as_of: str) -> DataFrame:
+    """Metrics and entry filters of rows that carry everything of their ticker."""
     seen = statements.with_ps_hist(seen, as_of, inp.cfg)
     seen = seen.join(statements.shares_used(inp.company), "ticker", "left")
     full = metrics.with_ps_stats(metrics.with_metrics(seen, inp.cfg), inp.cfg)
@@ -219,7 +223,11 @@ def funnel(panel: DataFrame, signals: DataFrame) -> DataFrame:
 
 def all_filters(inp: Inputs, probe: DataFrame, as_of: str = "date", until: Column | None = None) -> DataFrame:
     """The twelve filters for each (ticker, day) of ``probe``."""
-    both = filters.with_quality_filters(daily_timing(inp, probe, as_of, until), inp.cfg)
+    return with_all_filters(inp, daily_timing(inp, probe, as_of, until))
+
+
+def with_all_filters(inp: Inputs, timed: DataFrame) -> DataFrame:
+    both = filters.with_quality_filters(timed, inp.cfg)
     return both.withColumn("all_pass", F.col("quality_pass") & F.col("entry_pass"))
 
 
