@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT, Settings
 from tidemark.functions.columns import growth
 from tidemark.operators.asof import Stream, asof_backward, asof_forward, bars_since_entry
+from tidemark.operators.breach import stop_days
 from tidemark.operators.prices import with_atr
 
 
@@ -28,28 +29,20 @@ def thesis_break(cfg: Settings = DEFAULT) -> Column:
 
 
 def since_entry(entries: DataFrame, bars: DataFrame) -> DataFrame:
-    """Bars from each distinct (ticker, entry_date) on, with the running peak
-    close, up to ``until`` where entries have that column and it is not NULL.
-    Positions have no age limit."""
-    pairs = entries.select("ticker", "entry_date", *[c for c in entries.columns if c == "until"]).distinct()
-    last = F.coalesce("until", F.col("date")) if "until" in pairs.columns else F.col("date")
-    rows = bars_since_entry(pairs, bars.where(F.col("close").isNotNull()), "ticker", "entry_date", last, ["close", "atr"])
+    """All bars from each distinct (ticker, entry_date) on, with the running peak
+    close. Rules that need the first breach alone use ``stop_exits``."""
+    pairs = entries.select("ticker", "entry_date").distinct()
+    rows = bars_since_entry(pairs, bars.where(F.col("close").isNotNull()), "ticker", "entry_date", F.col("date"), ["close", "atr"])
     w = (Window.partitionBy("ticker", "entry_date").orderBy("date")
          .rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("peak", F.max("close").over(w))
 
 
 def stop_exits(entries: DataFrame, bars: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """First day each stop is hit: fixed trailing and volatility based."""
-    rows = since_entry(entries, with_atr(bars, cfg.atr_period))
-    fixed = F.col("close") < F.col("peak") * (1 - cfg.trailing_stop)
-    aged = F.datediff("date", "entry_date") >= cfg.stop_grace_days
-    chandelier = aged & (F.col("close") < F.col("peak") - cfg.atr_multiple * F.col("atr"))
-    return rows.groupBy("ticker", "entry_date").agg(
-        F.min(F.when(fixed, F.col("date"))).alias("trailing_date"),
-        F.min(F.when(chandelier, F.col("date"))).alias("atr_date"),
-        F.max("peak").alias("peak_close"),
-        F.max("date").alias("last_bar"))
+    """First day each stop is hit: fixed trailing and volatility based, up to
+    ``until`` where entries have that column and it is not NULL."""
+    pairs = entries.select("ticker", "entry_date", *[c for c in entries.columns if c == "until"]).distinct()
+    return stop_days(pairs, with_atr(bars, cfg.atr_period), cfg)
 
 
 def first_bar_after(probe: DataFrame, bars: DataFrame, ts: str, out: str) -> DataFrame:
