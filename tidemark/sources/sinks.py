@@ -1,13 +1,14 @@
-"""Writers. Result tables go out partitioned; state is written to a new
-version directory each time, so a reader never sees a half-written snapshot."""
+"""Writers. Result tables go out partitioned; state is written as versions that
+a commit file makes visible, so a reader never sees a half-written snapshot."""
 
 from __future__ import annotations
 
 import atexit
-import re
+import json
 import shutil
 import tempfile
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,17 +83,50 @@ def write_sim_stats(stats: DataFrame, path: str) -> None:
     stats.select("sim", "final_value", "cagr", "max_drawdown", "sharpe", "win_rate").write.mode("overwrite").parquet(path)
 
 
-def write_state(state: DataFrame, root: str, version: int) -> str:
-    path = f"{root}/version={version}"
-    state.write.mode("overwrite").parquet(path)
-    return path
+COMMIT = "version long, folder string, time timestamp"
 
 
-def read_state(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """One version, the newest by default; only that version's files are opened."""
-    if version is None:
-        version = max(int(m[1]) for path, _, _ in children(spark, root) if (m := re.search(r"/version=(\d+)/", path)))
-    return spark.read.parquet(f"{root}/version={version}")
+def write_state(state: DataFrame, root: str, version: int) -> str:
+    """A new version of a snapshot. The files go to a folder of their own, and
+    the version exists once its commit file, written last by one rename, names
+    that folder; a version that is written again replaces itself that way."""
+    spark = state.sparkSession
+    folder = f"version={version}/{uuid.uuid4().hex}"
+    state.write.parquet(f"{root}/{folder}")
+    now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f") + "Z"
+    put_text(spark, f"{root}/commits/{version:012d}.json", json.dumps({"version": version, "folder": folder, "time": now}))
+    return f"{root}/{folder}"
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole or not at all."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at, draft = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = hadoop.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(draft, at, overwrite)
+
+
+def state_versions(spark: SparkSession, root: str) -> list:
+    """(version, folder, time) of the committed versions, oldest first; one small file each."""
+    files = [p for p, _, _ in children(spark, f"{root}/commits") if p.endswith(".json")]
+    return sorted(spark.read.schema(COMMIT).json(files).collect()) if files else []
+
+
+def read_state(spark: SparkSession, root: str, version: int | None = None, as_of: datetime | None = None) -> DataFrame:
+    """One committed version: the newest, the one asked for, or the newest that was
+    committed by ``as_of`` (an aware time). Only that version's files are opened."""
+    found = [v for v in state_versions(spark, root) if version is None or v.version == version]
+    if as_of is not None:
+        found = [v for v in found if v.time.astimezone(timezone.utc) <= as_of]
+    if not found:
+        raise FileNotFoundError(f"no committed version in {root}")
+    return spark.read.parquet(f"{root}/{found[-1].folder}")
 
 
 def append_scan(scan: DataFrame, path: str) -> None:
