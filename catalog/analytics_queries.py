@@ -10,7 +10,8 @@ from tidemark.operators.compound import compound_stats
 from tidemark.operators.ranks import histogram
 from tidemark.plans import pipelines as plans
 from tidemark.sources import sinks
-from tidemark.streaming import streams
+from tidemark.sources.sinks import stage
+from tidemark.streaming import scan, streams
 
 
 # ---- equity curves --------------------------------------------------------
@@ -226,13 +227,21 @@ def _(w):
     return out
 
 
-@query("st2_stream_scan", "ticker! date ps:6 zscore:6 all_pass", """SELECT *, as_of AS date, quality_pass AND entry_pass AS all_pass FROM latest""")
+@query("st2_stream_scan", "ticker! date ps:6 ps_threshold:6 zscore:6 high_52w:6 ema_50:6 momentum_rank:6 quality_pass entry_pass all_pass",
+       """SELECT *, as_of AS date, quality_pass AND entry_pass AS all_pass FROM daily""")
 def _(w):
-    src = sinks.new_path(w.spark, "new-bars")
-    last = plans.latest_days(w.inputs)
-    last.repartition(2, "ticker").write.parquet(src)
-    new = w.spark.readStream.schema(last.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    return streams.stream_scan(new, lambda probe: plans.all_filters(w.inputs, probe).drop("ps_hist"))
+    # History up to the last six days is the first delivery; the days follow in three more of two days each.
+    inp, src, root = w.inputs, sinks.new_path(w.spark, "events"), sinks.new_path(w.spark, "scan")
+    days = sorted(r.date for r in inp.days.orderBy(F.desc("date")).limit(6).collect())
+    events = stage(scan.scan_events(inp.bars, inp.states.frame, inp.periods, inp.company), "events")
+    ends = [days[0], *days[2::2], None]
+    for k, end in enumerate(ends):
+        new = F.lit(True) if end is None else F.col("date") < F.lit(end)
+        new = new if k == 0 else new & (F.col("date") >= F.lit(ends[k - 1]))
+        events.where(new).write.mode("append").parquet(src)
+        stream = w.spark.readStream.schema(events.schema).parquet(src)
+        out = scan.incremental_scan(stream, inp.states.frame, inp.universe, inp.company, inp.market, since=days[0], root=root)
+    return out
 
 
 @query("st3_bars_from_ticks", "key! date open:4 high:4 low:4 close:4 volume!", """SELECT user_id AS key, CAST(ts AS DATE) AS date, arg_min(value, {'t': ts, 'v': value}) AS open,

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.base import query
-from catalog.sql import ema
+from catalog.sql import ema, scan_day
 from tidemark.functions.columns import effective_tax, parse_money, quarter_end, quarter_label, total_debt
 from tidemark.operators import asof, prices, ranking, snapshots
 from tidemark.operators.asof import Stream
 from tidemark.operators.ranks import pct_rank_avg
 from tidemark.plans import pipelines as plans
 from tidemark.sources import files, sinks
+from tidemark.sources.sinks import stage
 
 OHLCV = "open:6 high:6 low:6 close:6 volume:2"
 
@@ -33,21 +37,22 @@ def _(w):
 @query("s3_record_statements", "ticker! freq statement period_end item value:6", """SELECT ticker, freq, 'income' AS statement, period_end, u.item,
   u.value FROM stmt, LATERAL (VALUES ('Total Revenue', revenue), ('Gross Profit', gross), ('Operating Income', ebit),
   ('Net Income', net), ('Tax Rate For Calcs', CASE WHEN abs(ebit) > 1e-6 THEN greatest(0, least(net / ebit, 0.6::DOUBLE)) ELSE 0.21 END))
-  AS u(item, value) WHERE freq = 'quarterly'""")
+  AS u(item, value)""")
 def _(w):
-    q = w.panel.statements_wide().where("freq = 'quarterly'")
+    q = w.panel.statements_wide()
     # Two records per period: the outdated first one must lose.
-    rec = q.select("ticker", F.posexplode(F.array(F.lit(2.0), F.lit(1.0))).alias("pos", "k"), "period_end",
+    rec = q.select("ticker", "freq", F.posexplode(F.array(F.lit(2.0), F.lit(1.0))).alias("pos", "k"), "period_end",
                    "Total Revenue", "Gross Profit", "Operating Income", "Net Income")
-    js = rec.select("ticker", "pos", F.to_json(F.struct(
+    js = rec.select("ticker", "freq", "pos", F.to_json(F.struct(
         F.date_format("period_end", "yyyy-MM-dd").alias("date"), (F.col("Total Revenue") * F.col("k")).alias("revenue"),
         (F.col("Gross Profit") * F.col("k")).alias("grossProfit"), (F.col("Operating Income") * F.col("k")).alias("operatingIncome"),
         (F.col("Net Income") * F.col("k")).alias("netIncome"), F.col("Net Income").alias("incomeTaxExpense"),
         F.col("Operating Income").alias("incomeBeforeTax"))).alias("j"))
     schema = ("date string, revenue double, grossProfit double, operatingIncome double, netIncome double, "
               "incomeTaxExpense double, incomeBeforeTax double")
-    rows = js.select("ticker", "pos", F.from_json("j", schema).alias("r")).select("ticker", "pos", "r.*")
-    return files.records_to_long(rows, "income", "quarterly")
+    rows = js.select("ticker", "freq", "pos", F.from_json("j", schema).alias("r")).select("ticker", "freq", "pos", "r.*")
+    both = [files.records_to_long(rows.where(F.col("freq") == f).drop("freq"), "income", f) for f in ("quarterly", "annual")]
+    return both[0].unionByName(both[1])
 
 
 @query("s4_compact_statements", "ticker! freq statement period_end item value:6", """SELECT ticker, freq, 'balance' AS statement, period_end,
@@ -64,25 +69,33 @@ def _(w):
     return files.compact_to_long(resp, "balance", {"Total Assets": "Total Assets"})
 
 
-@query("s5_wide_statements", "ticker! freq statement period_end item value:6", """SELECT t.ticker, 'quarterly' AS freq, 'income' AS statement,
-  p.period_end, 'Total Revenue' AS item, s.revenue AS value FROM (SELECT DISTINCT ticker FROM stmt) t
-  CROSS JOIN (SELECT DISTINCT period_end FROM stmt WHERE freq = 'quarterly') p
-  LEFT JOIN stmt s ON s.ticker = t.ticker AND s.period_end = p.period_end AND s.freq = 'quarterly'""")
-def _(w):
-    q = w.panel.statements_wide().where("freq = 'quarterly'")
-    # One column per quarter end that occurs: as many as quarters in the calendar.
-    ends = [str(r.period_end) for r in q.select("period_end").distinct().orderBy("period_end").collect()]
-    wide = (q.withColumn("item", F.lit("Total Revenue")).groupBy("ticker", "item")
-            .pivot("period_end", ends).agg(F.first("Total Revenue")))
-    return files.wide_to_long(wide, ["ticker"], "income", "quarterly")
-
-
-@query("s6_provider_precedence", "ticker! provider period_end revenue:6", """SELECT ticker,
+@query("s5_wide_statements", "ticker! freq statement period_end item value:6", """SELECT t.ticker, p.freq, u.statement, p.period_end, u.item, u.value
+  FROM (SELECT DISTINCT ticker, freq FROM stmt) t JOIN (SELECT DISTINCT freq, period_end FROM stmt) p ON t.freq = p.freq
+  LEFT JOIN stmt s ON s.ticker = t.ticker AND s.period_end = p.period_end AND s.freq = p.freq,
+  LATERAL (VALUES ('income', 'Total Revenue', revenue), ('income', 'Gross Profit', gross), ('income', 'Operating Income', ebit), ('income', 'Net Income', net),
+    ('cashflow', 'Operating Cash Flow', ocf), ('cashflow', 'Capital Expenditure', capex), ('balance', 'Total Debt', debt),
+    ('balance', 'Stockholders Equity', equity), ('balance', 'Total Assets', assets), ('balance', 'Current Liabilities', curl),
+    ('balance', 'Cash And Cash Equivalents', cash)) AS u(statement, item, value)""")
+def _(w):
+    long = stage(w.inputs.fundamentals.where("item <> 'Tax Rate For Calcs'"), "fundamentals")
+    # One column per period end that occurs: as many as quarters in the calendar.
+    ends = {f: [] for f in ("quarterly", "annual")}
+    for r in long.select("freq", "period_end").distinct().orderBy("period_end").collect():
+        ends[r.freq].append(str(r.period_end))
+    out = []
+    for freq, days in ends.items():
+        for kind in ("income", "balance", "cashflow"):
+            rows = long.where((F.col("freq") == freq) & (F.col("statement") == kind))
+            wide = rows.groupBy("ticker", "item").pivot("period_end", days).agg(F.first("value"))
+            out.append(files.wide_to_long(wide, ["ticker"], kind, freq))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("s6_provider_precedence", "ticker! freq provider period_end revenue:6", """SELECT ticker, freq,
   CASE WHEN s_acctbal > 5000 THEN 'A' WHEN s_acctbal > 0 THEN 'B' ELSE 'C' END AS provider, period_end, revenue
-  FROM stmt JOIN supplier ON s_suppkey = ticker WHERE freq = 'annual'""")
+  FROM stmt JOIN supplier ON s_suppkey = ticker""")
 def _(w):
-    s = w.panel.statements_wide().where("freq = 'annual'").select(
-        "ticker", "period_end", F.col("Total Revenue").alias("revenue"))
+    s = w.panel.statements_wide().select("ticker", "freq", "period_end", F.col("Total Revenue").alias("revenue"))
     bal = w.panel.table("supplier").select(F.col("s_suppkey").alias("ticker"), "s_acctbal")
     a, b = (s.join(bal.where(F.col("s_acctbal") > x), "ticker", "left_semi") for x in (5000, 0))
     return ranking.prefer([f.withColumn("provider", F.lit(n)) for f, n in ((a, "A"), (b, "B"), (s, "C"))], "ticker")
@@ -137,11 +150,11 @@ def _(w):
     return w.spark.read.parquet(path)
 
 
-@query("s13_state_versions", "ticker! score!", """SELECT ticker, max(score) AS score FROM scores WHERE date = DATE '2024-01-12' GROUP BY 1""")
+@query("s13_state_versions", "ticker! score!", f"""SELECT ticker, max(score) AS score FROM scores WHERE date = {scan_day(1)} GROUP BY 1""")
 def _(w):
     root = sinks.new_path(w.spark, "state")
-    for v, day in ((1, "2024-01-11"), (2, "2024-01-12")):
-        sinks.write_state(w.panel.scores().where(F.col("date") == day).select("ticker", "score"), root, v)
+    for v, scan in enumerate(reversed(last_scans(w)), 1):
+        sinks.write_state(scan, root, v)
     return sinks.read_state(w.spark, root)
 
 
@@ -266,12 +279,10 @@ def _(w):
 
 @query("u7_reindex_ffill", "scenario date value:6", """SELECT t.scenario, b.date, s.value FROM (SELECT 'even' AS scenario UNION ALL SELECT 'odd') t
   CROSS JOIN bench b ASOF LEFT JOIN (SELECT CASE WHEN flag = 'A' THEN 'even' ELSE 'odd' END AS scenario, date, max(close) AS value
-    FROM bars WHERE ticker IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000) GROUP BY 1, 2) s
+    FROM bars GROUP BY 1, 2) s
   ON s.scenario = t.scenario AND b.date >= s.date""")
 def _(w):
-    few = w.panel.table("supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("ticker"))
-    s = (w.bars.join(few, "ticker", "left_semi")
-         .groupBy(F.when(F.col("flag") == "A", "even").otherwise("odd").alias("scenario"), "date")
+    s = (w.bars.groupBy(F.when(F.col("flag") == "A", "even").otherwise("odd").alias("scenario"), "date")
          .agg(F.max("close").alias("value")))
     return asof.align_to_calendar(s, w.inputs.days, "scenario", "value")
 
@@ -350,6 +361,17 @@ def _(w):
     return asof.asof_backward(month_probe(w), "ticker", "on_day", [Stream(w.inputs.features, "date", ["close", "ret_6m"])])
 
 
+@query("j1_asof_ticks", "event_id! event_type ts then_id! then_value:6", """SELECT e.event_id, e.event_type, e.ts, p.event_id AS then_id, p.value AS then_value
+  FROM events e ASOF LEFT JOIN events p ON e.event_type = p.event_type AND e.ts - INTERVAL 1 HOUR >= p.ts""")
+def _(w):
+    # Each tick against its kind an hour before. A kind is a fifth of all ticks, at every size: keys without a bound.
+    e = stage(w.panel.table("events").select("event_id", "event_type", "ts", "value"), "ticks")
+    probe = e.select("event_id", "event_type", "ts", (F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("then"))
+    series = e.select("event_type", F.col("ts").alias("at"), F.struct(F.col("event_id").alias("id"), "value").alias("tick"))
+    seen = asof.asof_segmented(probe, "event_type", "then", [Stream(series, "at", ["tick"])])
+    return seen.select("event_id", "event_type", "ts", F.col("tick.id").alias("then_id"), F.col("tick.value").alias("then_value"))
+
+
 @query("j2_asof_row", "ticker! on_day ema_50:6 zscore:6 ret_12_1:6", f"""SELECT p.ticker, p.on_day, f.ema_50, f.zscore, f.ret_12_1 FROM ({MONTHS}) p
   ASOF LEFT JOIN featrow f ON p.ticker = f.ticker AND p.on_day >= f.date""")
 def _(w):
@@ -362,13 +384,12 @@ def _(w):
     return asof.asof_forward(month_probe(w), w.bars, "ticker", "on_day", "open")
 
 
-@query("j4_available_periods", "ticker! as_of period_end revenue:6", """SELECT p.ticker, p.as_of, s.period_end, s.revenue
-  FROM probe_q p JOIN stmt s ON p.ticker = s.ticker AND s.period_end + 45 <= p.as_of AND s.period_end + 45 >= p.as_of - 365
-  WHERE s.freq = 'quarterly'""")
+@query("j4_available_periods", "ticker! as_of freq period_end revenue:6", """SELECT p.ticker, p.as_of, s.freq, s.period_end, s.revenue
+  FROM probe_q p JOIN stmt s ON p.ticker = s.ticker AND s.period_end + 45 <= p.as_of AND s.period_end + 45 >= p.as_of - 365""")
 def _(w):
     grid = plans.ticker_dates(plans.eligible(w.inputs), w.quarters, "eval_date").select("ticker", F.col("eval_date").alias("as_of"))
-    q = w.inputs.periods.where("freq = 'quarterly' AND statement = 'income'").select("ticker", "period_end", "revenue")
-    return asof.available_periods(grid, q, "ticker", "as_of", "period_end", 45, 365)
+    p = w.inputs.periods.where("statement = 'income'").select("ticker", "freq", "period_end", "revenue")
+    return asof.available_periods(grid, p, "ticker", "as_of", "period_end", 45, 365)
 
 
 @query("j5_bars_since_entry", "ticker! entry_date bars! high_close:6 volume:2", """SELECT e.ticker, e.entry_date, count(*) AS bars,
@@ -408,18 +429,19 @@ def _(w):
             .unionByName(b.join(wl, "ticker", "left_anti").withColumn("side", F.lit("held out"))))
 
 
-def _two_days(w):
+def last_scans(w, n: int = 2) -> list[DataFrame]:
+    """The last ``n`` scans of the data, newest first."""
     s = w.panel.scores()
-    return [s.where(F.col("date") == d).select("ticker", "score") for d in ("2024-01-16", "2024-01-15")]
-
-
-TWO_DAYS = """(SELECT ticker, score FROM scores WHERE date = DATE '2024-01-16') c FULL JOIN
-  (SELECT ticker, score AS prev_score FROM scores WHERE date = DATE '2024-01-15') p USING (ticker)"""
+    days = [r.date for r in s.select("date").distinct().orderBy(F.desc("date")).limit(n).collect()]
+    days += [None] * (n - len(days))
+    return [s.where(F.col("date") == F.lit(d)).select("ticker", "score") for d in days]
 
 
-@query("j10_snapshot_join", "ticker! score! prev_score!", f"SELECT ticker, c.score, p.prev_score FROM {TWO_DAYS}")
+@query("j10_snapshot_join", "ticker! score! prev_score!", f"""SELECT ticker, c.score, p.prev_score FROM
+  (SELECT ticker, score FROM scores WHERE date = {scan_day(1)}) c FULL JOIN
+  (SELECT ticker, score AS prev_score FROM scores WHERE date = {scan_day(2)}) p USING (ticker)""")
 def _(w):
-    return snapshots.snapshot_join(*_two_days(w))
+    return snapshots.snapshot_join(*last_scans(w))
 
 
 @query("j14_mark_to_market", "ticker! shares:2 entry_price:4 price:4 cost:2 value:2 pnl:2 pnl_pct:4 stop_price:4",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import query
-from catalog.sql import CTE
+from catalog.sql import CTE, scan_day
 from tidemark.operators import exits, filters, metrics, prices, ranking, snapshots, statements
 from tidemark.plans import pipelines as plans
 
@@ -357,24 +357,24 @@ def _(w):
     return w.signals.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q17_change_detection", "ticker! change score! prev_score!", """SELECT * FROM (SELECT ticker, c.score, p.prev_score,
+@query("q17_change_detection", "ticker! change score! prev_score!", f"""SELECT * FROM (SELECT ticker, c.score, p.prev_score,
   CASE WHEN c.score >= 11 AND p.prev_score IS NULL THEN 'NEW' WHEN c.score >= 11 AND c.score <> p.prev_score THEN 'CHANGED'
     WHEN p.prev_score IS NOT NULL AND (c.score IS NULL OR c.score < 11) THEN 'REMOVED' END AS change
-  FROM (SELECT ticker, score FROM scores WHERE date = DATE '2024-01-16') c FULL JOIN
-  (SELECT ticker, score AS prev_score FROM scores WHERE date = DATE '2024-01-15' AND score >= 11) p USING (ticker)) WHERE change IS NOT NULL""")
+  FROM (SELECT ticker, score FROM scores WHERE date = {scan_day(1)}) c FULL JOIN
+  (SELECT ticker, score AS prev_score FROM scores WHERE date = {scan_day(2)} AND score >= 11) p USING (ticker)) WHERE change IS NOT NULL""")
 def _(w):
-    s = w.panel.scores()
-    now, before = (s.where(F.col("date") == d).select("ticker", "score") for d in ("2024-01-16", "2024-01-15"))
+    from catalog.panel_queries import last_scans
+    now, before = last_scans(w)
     return snapshots.detect_changes(now, snapshots.next_state(before))
 
 
-@query("q18_board", "ticker! price:4 off_high:4 vs_ema50:4 quick_f8 quick_f9 quick_f12 score! label tier!", """SELECT *,
+@query("q18_board", "ticker! price:4 off_high:4 vs_ema50:4 quick_f8 quick_f9 quick_f12 score! label tier!", f"""SELECT *,
   CASE WHEN coalesce(score, 0) >= 11 THEN 0 WHEN coalesce(score, 0) >= 9 THEN 1 ELSE 2 END AS tier,
   CASE WHEN score IS NULL THEN 'Scan needed' WHEN score >= 12 THEN 'Signal' WHEN score >= 11 THEN 'Near Signal' WHEN score >= 9 THEN 'Watch' ELSE 'Wait' END AS label
-  FROM quick q LEFT JOIN (SELECT ticker, score FROM scores WHERE date = DATE '2024-01-16') s USING (ticker)""")
+  FROM quick q LEFT JOIN (SELECT ticker, score FROM scores WHERE date = {scan_day(1)}) s USING (ticker)""")
 def _(w):
-    s = w.panel.scores().where(F.col("date") == "2024-01-16")
-    b = plans.board(prices.live_snapshot(w.bars), s, last_fear(w))
+    from catalog.panel_queries import last_scans
+    b = plans.board(prices.live_snapshot(w.bars), last_scans(w, 1)[0], last_fear(w))
     return b.withColumn("tier", ranking.board_order()[0])
 
 

@@ -290,6 +290,13 @@ CTE["hist_l"] = hist_cte("met_l")
 CTE["filt_l"] = filters_cte("met_l", "hist_l")
 CTE["latest"] = timing_cte("filt_l")
 
+CTE["probe_n"] = """SELECT ticker, date AS as_of FROM bars WHERE ticker IN (SELECT ticker FROM eligible)
+  AND date IN (SELECT date FROM bench ORDER BY date DESC LIMIT 6)"""
+CTE["met_n"] = metrics_cte("probe_n")
+CTE["hist_n"] = hist_cte("met_n")
+CTE["filt_n"] = filters_cte("met_n", "hist_n")
+CTE["daily"] = timing_cte("filt_n")
+
 _CHECKS = [
     ("F1a", "F1", "g1 > 0.15", "g1", 0.15), ("F1b", "F1", "g2 > 0.15", "g2", 0.15),
     ("F2a", "F2", "gm0 > 0.40", "gm0", 0.40), ("F2b", "F2", "gm0 >= gm1 - 0.05::DOUBLE", "gm0 - gm1", -0.05),
@@ -434,6 +441,11 @@ CTE["snap"] = f"""SELECT ticker, max(date) AS date, arg_max(close, date) AS pric
   WINDOW t AS (PARTITION BY ticker ORDER BY date)) GROUP BY 1"""
 
 
+def scan_day(back: int) -> str:
+    """The last scan day of the data (1), the one before (2), and so on."""
+    return f"(SELECT DISTINCT date FROM scores ORDER BY date DESC LIMIT 1 OFFSET {back - 1})"
+
+
 def with_ctes(body: str) -> str:
     """Prefixes the CTEs a query needs, in definition order."""
     need: set[str] = set()
