@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import statements
 from tidemark.plans import pipelines as plans
 from tidemark.sources.panel import Panel
-from tidemark.sources.sinks import children, stage
+from tidemark.sources.sinks import children, stage, store
 
 
 class Workspace:
@@ -36,12 +36,12 @@ class Workspace:
 
     @cached_property
     def bars(self) -> DataFrame:
-        return stage(self.panel.bars(), "bars")
+        return store(self.panel.bars(), "bars")
 
     @cached_property
     def inputs(self) -> plans.Inputs:
         p = self.panel
-        return plans.Inputs(self.bars, p.fundamentals(), p.universe(), p.company(),
+        return plans.Inputs(self.bars, store(p.fundamentals(), "fundamentals", order="period_end"), p.universe(), p.company(),
                             stage(p.benchmark(), "benchmark"), p.vix())
 
     @cached_property

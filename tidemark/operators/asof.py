@@ -39,14 +39,24 @@ class Stream:
         return rows.withColumn(self.name, F.struct(*self.cols)), [self.name]
 
 
+def _named(keys: list[str]) -> list[Column]:
+    """The keys under names of their own: a union keeps the partitioning of bucketed
+    inputs only where its columns are new on every side, free of table qualifiers."""
+    return [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+
+
+def _names(keys: list[str]) -> list[str]:
+    return [f"_key{i}" for i in range(len(keys))]
+
+
 def _stacked(probe: DataFrame, keys: list[str], ts: str, streams: list[Stream]) -> tuple[DataFrame, list[str]]:
     """Probes (side 1) and series (side 0) in one frame, and the columns to carry."""
-    tagged = probe.select(*keys, F.col(ts).alias("_ts"), F.lit(1).alias("_side"),
+    tagged = probe.select(*_named(keys), F.col(ts).alias("_ts"), F.lit(1).alias("_side"),
                           F.struct(*probe.columns).alias("_probe"))
     carried: list[str] = []
     for s in streams:
         frame, cols = s.packed()
-        part = frame.select(*keys, F.col(s.ts).alias("_ts"), F.lit(0).alias("_side"), *cols)
+        part = frame.select(*_named(keys), F.col(s.ts).alias("_ts"), F.lit(0).alias("_side"), *cols)
         tagged = tagged.unionByName(part, allowMissingColumns=True)
         carried += cols
     return tagged, carried
@@ -56,7 +66,7 @@ def asof_backward(probe: DataFrame, key: str | list[str], ts: str, streams: list
     """Adds to each probe row the latest stream values at or before ``ts``."""
     keys = [key] if isinstance(key, str) else key
     tagged, carried = _stacked(probe, keys, ts, streams)
-    w = (Window.partitionBy(*keys).orderBy("_ts", "_side")
+    w = (Window.partitionBy(*_names(keys)).orderBy("_ts", "_side")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (tagged.select("_side", "_probe", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in carried])
             .where(F.col("_side") == 1).select("_probe.*", *carried))
@@ -105,14 +115,15 @@ def asof_segmented(probe: DataFrame, key: str | list[str], ts: str, streams: lis
     Rows without a time have no block and find nothing.
     """
     keys = [key] if isinstance(key, str) else key
+    names = _names(keys)
     tagged, carried = _stacked(probe, keys, ts, streams)
     block = time_blocks(tagged, "_ts", blocks)
     rows = tagged.withColumn("_block", block(time_axis(tagged, "_ts")))
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_ts"))).alias(c) for c in carried]
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.where(F.col("_block").isNotNull()).groupBy(*keys, "_block").agg(*last)
-    starts = ends.select(*keys, "_block", F.lit(-1).alias("_side"), *[F.last(c, ignorenulls=True).over(earlier).alias(c) for c in carried])
-    w = (Window.partitionBy(*keys, "_block").orderBy(F.col("_ts").asc_nulls_first(), "_side")
+    earlier = Window.partitionBy(*names).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.where(F.col("_block").isNotNull()).groupBy(*names, "_block").agg(*last)
+    starts = ends.select(*names, "_block", F.lit(-1).alias("_side"), *[F.last(c, ignorenulls=True).over(earlier).alias(c) for c in carried])
+    w = (Window.partitionBy(*names, "_block").orderBy(F.col("_ts").asc_nulls_first(), "_side")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     seen = rows.unionByName(starts, allowMissingColumns=True).select(
         "_side", "_probe", *[F.when(F.col("_block").isNotNull(), F.last(c, ignorenulls=True).over(w)).alias(c) for c in carried])
@@ -130,11 +141,11 @@ def asof_forward(probe: DataFrame, series: DataFrame, key: str | list[str], ts:
                  series_ts: str = "date", strict: bool = True) -> DataFrame:
     """First value after ``ts`` (at or after it when ``strict`` is false)."""
     keys = [key] if isinstance(key, str) else key
-    tagged = probe.select(*keys, F.col(ts).alias("_ts"), F.lit(0 if not strict else 1).alias("_side"),
+    tagged = probe.select(*_named(keys), F.col(ts).alias("_ts"), F.lit(0 if not strict else 1).alias("_side"),
                           F.lit(True).alias("_keep"), F.struct(*probe.columns).alias("_probe"))
-    part = series.select(*keys, F.col(series_ts).alias("_ts"), F.lit(0 if strict else 1).alias("_side"),
+    part = series.select(*_named(keys), F.col(series_ts).alias("_ts"), F.lit(0 if strict else 1).alias("_side"),
                          F.lit(False).alias("_keep"), col)
-    w = (Window.partitionBy(*keys).orderBy("_ts", "_side")
+    w = (Window.partitionBy(*_names(keys)).orderBy("_ts", "_side")
          .rowsBetween(1, Window.unboundedFollowing))
     return (tagged.unionByName(part, allowMissingColumns=True)
             .select("_keep", "_probe", F.first(col, ignorenulls=True).over(w).alias(col))

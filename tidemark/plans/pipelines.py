@@ -15,7 +15,7 @@ from tidemark.config import DEFAULT, Settings
 from tidemark.functions.columns import growth
 from tidemark.operators import exits, filters, metrics, prices, ranking, statements
 from tidemark.operators.asof import Stream, asof_backward, asof_forward
-from tidemark.sources.sinks import stage
+from tidemark.sources.sinks import stage, store
 
 
 @dataclass
@@ -32,17 +32,21 @@ class Inputs:
     cfg: Settings = DEFAULT
     stage: Callable[[DataFrame, str], DataFrame] = stage
 
+    def by_ticker(self, df: DataFrame, name: str, order: str = "date") -> DataFrame:
+        """Stages a table that plans read by ticker, in buckets of it."""
+        return store(df, name, "ticker", order) if self.stage is stage else self.stage(df, name)
+
     @cached_property
     def features(self) -> DataFrame:
-        return self.stage(prices.price_features(self.bars, self.cfg), "features")
+        return self.by_ticker(prices.price_features(self.bars, self.cfg), "features")
 
     @cached_property
     def periods(self) -> DataFrame:
-        return self.stage(statements.period_table(self.fundamentals), "periods")
+        return self.by_ticker(statements.period_table(self.fundamentals), "periods", "period_end")
 
     @cached_property
     def states(self) -> Stream:
-        frame = self.stage(statements.statement_states(self.periods, self.cfg), "states")
+        frame = self.by_ticker(statements.statement_states(self.periods, self.cfg), "states", "published")
         return Stream(frame, "published", statements.STATE_COLS)
 
     @cached_property
@@ -51,7 +55,7 @@ class Inputs:
 
     @cached_property
     def ps_histories(self) -> DataFrame:
-        return self.stage(statements.ps_histories(self.ps_points, self.cfg), "ps-histories")
+        return self.by_ticker(statements.ps_histories(self.ps_points, self.cfg), "ps-histories", "published")
 
     @cached_property
     def days(self) -> DataFrame:
@@ -64,7 +68,7 @@ class Inputs:
 
     @cached_property
     def momentum(self) -> DataFrame:
-        return self.stage(prices.sector_momentum(self.features, self.universe), "momentum")
+        return self.by_ticker(prices.sector_momentum(self.features, self.universe), "momentum")
 
     def variant(self, **changes) -> "Inputs":
         return replace(self, cfg=replace(self.cfg, **changes))
