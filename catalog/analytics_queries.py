@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import query
-from tidemark.operators import bootstrap, curves, ranking, trades, walkforward
+from tidemark.operators import bootstrap, curves, ranking, snapshots, trades, walkforward
 from tidemark.operators.compound import compound_stats
 from tidemark.operators.ranks import histogram
 from tidemark.plans import pipelines as plans
@@ -166,9 +166,13 @@ query("q14_assessment", "years! return_label alpha_label cagr_label win_label sh
 
 # ---- bootstrap ------------------------------------------------------------
 
+def returns(w):
+    known = w.resolved_trades.where(F.col("return_dec").isNotNull())
+    return bootstrap.numbered(known, ["entry_date", "ticker", "tier"]).select("idx", "return_dec")
+
+
 def sims(w):
-    returns = bootstrap.numbered(w.resolved_trades.where(F.col("return_dec").isNotNull()), ["entry_date", "ticker", "tier"])
-    return bootstrap.simulate(returns.select("idx", "return_dec"), 1000)
+    return bootstrap.simulate(stage(returns(w), "returns"))
 
 
 query("q15_bootstrap", "sim! final_value:0 cagr:6 max_drawdown:6 sharpe:5 win_rate:6", "SELECT * FROM simstats")(sims)
@@ -188,12 +192,21 @@ query("a15_probabilities", "p_profit:6 p_beat_benchmark:6 p_over_10:6 p_over_5:6
   avg(CAST(cagr > 0.13 AS DOUBLE)) AS p_beat_benchmark, avg(CAST(cagr > 0.10 AS DOUBLE)) AS p_over_10, avg(CAST(cagr > 0.05 AS DOUBLE)) AS p_over_5,
   avg(CAST(final_value < 1000000 AS DOUBLE)) AS p_loss, avg(CAST(max_drawdown < -0.30 AS DOUBLE)) AS p_deep_drawdown FROM simstats""")(
     lambda w: bootstrap.outcome_probabilities(w.sim_stats))
-query("w12_representative_paths", "point target:0 sim! final_value:0", """SELECT point, target, arg_min(sim, {'g': abs(final_value - target), 's': sim}) AS sim,
-  arg_min(final_value, {'g': abs(final_value - target), 's': sim}) AS final_value FROM simstats, (SELECT 'p5' AS point, quantile_cont(final_value, 0.05) AS target FROM simstats
+query("w12_representative_paths", "point target:0 sim! final_value:0", """SELECT point, target, arg_min(sim, {'g': round(abs(final_value - target) / abs(target), 9), 's': sim}) AS sim,
+  arg_min(final_value, {'g': round(abs(final_value - target) / abs(target), 9), 's': sim}) AS final_value FROM simstats, (SELECT 'p5' AS point, quantile_cont(final_value, 0.05) AS target FROM simstats
     UNION ALL SELECT 'p25', quantile_cont(final_value, 0.25) FROM simstats UNION ALL SELECT 'p50', quantile_cont(final_value, 0.5) FROM simstats
     UNION ALL SELECT 'p75', quantile_cont(final_value, 0.75) FROM simstats UNION ALL SELECT 'p95', quantile_cont(final_value, 0.95) FROM simstats) GROUP BY 1, 2""")(
     lambda w: bootstrap.representative_paths(w.sim_stats))
 query("w13_sample_paths", "sim!", "SELECT sim FROM simstats ORDER BY md5(sim || '-42'), sim LIMIT 3")(lambda w: ranking.sample_keys(w.sim_stats, "sim", 3))
+PATH = """SELECT c.{0}, s.sim, s.draw, s.e * 1000000.0::DOUBLE AS equity, s.e / greatest(max(s.e) OVER (PARTITION BY c.{0}, s.sim ORDER BY s.draw), 1) - 1 AS drawdown
+  FROM ({1}) c JOIN (SELECT *, product(1 + 0.1::DOUBLE * return_dec) OVER (PARTITION BY sim ORDER BY draw ROWS UNBOUNDED PRECEDING) AS e FROM sims) s ON s.sim = c.sim"""
+POINTS = """SELECT point, arg_min(sim, {'g': round(abs(final_value - target) / abs(target), 9), 's': sim}) AS sim FROM simstats, (SELECT 'p5' AS point, quantile_cont(final_value, 0.05) AS target FROM simstats
+    UNION ALL SELECT 'p25', quantile_cont(final_value, 0.25) FROM simstats UNION ALL SELECT 'p50', quantile_cont(final_value, 0.5) FROM simstats
+    UNION ALL SELECT 'p75', quantile_cont(final_value, 0.75) FROM simstats UNION ALL SELECT 'p95', quantile_cont(final_value, 0.95) FROM simstats) GROUP BY 1"""
+query("w12_drawn_paths", "point sim! draw! equity:2 drawdown:6", PATH.format("point", POINTS))(
+    lambda w: bootstrap.drawn_paths(stage(returns(w), "returns"), stage(bootstrap.representative_paths(w.sim_stats).select("point", "sim"), "chosen")))
+query("w13_drawn_paths", "kind sim! draw! equity:2 drawdown:6", PATH.format("kind", "SELECT 'sample' AS kind, sim FROM simstats ORDER BY md5(sim || '-42'), sim LIMIT 3"))(
+    lambda w: bootstrap.drawn_paths(stage(returns(w), "returns"), stage(ranking.sample_keys(w.sim_stats, "sim", 3).select(F.lit("sample").alias("kind"), "sim"), "chosen")))
 query("a16_histogram", "tier bin! n!", """SELECT tier, CAST(least(floor((return_pct - lo) / (hi - lo) * 80), 79) AS BIGINT) AS bin, count(*) AS n
   FROM done JOIN (SELECT tier, min(return_pct) AS lo, max(return_pct) AS hi FROM done GROUP BY 1) USING (tier) GROUP BY 1, 2""")(
     lambda w: histogram(w.trades.where(F.col("return_pct").isNotNull()), ["tier"], "return_pct", 80))
@@ -208,12 +221,15 @@ query("w4_growth_by_tier", "tier growth:6 max_drawdown:6", """SELECT tier, arg_m
 
 # ---- streams --------------------------------------------------------------
 
-@query("st1_stream_alerts", "ticker! date change score! prev_score!", """WITH days AS (SELECT date, lead(date) OVER (ORDER BY date) AS due FROM (SELECT DISTINCT date FROM scores)),
+ALERTS = """WITH days AS (SELECT date, lead(date) OVER (ORDER BY date) AS due FROM (SELECT DISTINCT date FROM scores)),
   s AS (SELECT ticker, date, due, max(score) AS score, CASE WHEN max(score) >= 11 THEN max(score) ELSE 0 END AS lvl FROM scores JOIN days USING (date) GROUP BY 1, 2, 3)
   SELECT coalesce(n.ticker, p.ticker) AS ticker, coalesce(n.date, p.due) AS date,
     CASE WHEN n.lvl > 0 AND coalesce(p.lvl, 0) = 0 THEN 'NEW' WHEN n.lvl > 0 AND n.lvl <> p.lvl THEN 'CHANGED' WHEN coalesce(n.lvl, 0) = 0 AND p.lvl > 0 THEN 'REMOVED' END AS change,
     n.score, coalesce(p.lvl, 0) AS prev_score
-  FROM s n FULL JOIN (SELECT * FROM s WHERE due IS NOT NULL) p ON n.ticker = p.ticker AND n.date = p.due WHERE change IS NOT NULL""")
+  FROM s n FULL JOIN (SELECT * FROM s WHERE due IS NOT NULL) p ON n.ticker = p.ticker AND n.date = p.due WHERE change IS NOT NULL"""
+
+
+@query("st1_stream_alerts", "ticker! date change score! prev_score!", ALERTS)
 def _(w):
     # Three deliveries of whole scan days, oldest first, however many days there are; each is drained as
     # one batch by a run of its own that goes on from the state of the one before.
@@ -227,6 +243,17 @@ def _(w):
     return out
 
 
+@query("q17_change_feed", "ticker! date change score! prev_score!", ALERTS)
+def _(w):
+    # Every scan day of the data, appended to the history in two deliveries.
+    path, s = sinks.new_path(w.spark, "scans"), w.panel.scores().withColumnRenamed("date", "scan_date")
+    low, high = s.agg(F.min("scan_date"), F.max("scan_date")).first()
+    late = F.datediff("scan_date", F.lit(low)) * 2 > F.datediff(F.lit(high), F.lit(low))
+    for some in (s.where(~late), s.where(late)):
+        snapshots.write_scans(some, path, 8)
+    return snapshots.change_feed(w.spark, path)
+
+
 @query("st2_stream_scan", "ticker! date ps:6 ps_threshold:6 zscore:6 high_52w:6 ema_50:6 momentum_rank:6 quality_pass entry_pass all_pass",
        """SELECT *, as_of AS date, quality_pass AND entry_pass AS all_pass FROM daily""")
 def _(w):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT
-from tidemark.operators import asof, breach
+from tidemark.operators import asof, breach, snapshots
 from tidemark.operators.asof import Stream
 from tidemark.sources import sinks
 
@@ -142,3 +142,38 @@ def test_an_unfinished_version_is_not_read(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         sinks.read_state(spark, root, as_of=between)
     assert sinks.read_state(spark, root, as_of=dt.datetime.now(dt.timezone.utc)).first().score == 20
+
+
+def test_change_feed_reads_changed_parts_alone(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    scans, level = {}, {f"t{k}": 5 for k in range(300)}
+    for d in range(1, 7):
+        for t in rng.choice(sorted(level), 4 if d != 4 else 0, replace=False):
+            level[t] = int(rng.integers(5, 14))
+        scans[D(2024, 1, d)] = {t: v for t, v in level.items() if not (d == 5 and t == "t1")}
+    level["t1"] = 13
+    rows = [(t, d, v) for d, some in scans.items() for t, v in some.items()]
+    path = str(tmp_path / "scans")
+    frame = spark.createDataFrame(rows, "ticker string, scan_date date, score long")
+    for early in (F.col("scan_date") <= "2024-01-03", F.col("scan_date") > "2024-01-03"):
+        snapshots.write_scans(frame.where(early), path, 32)
+    want, before = set(), {}
+    for d, some in scans.items():
+        now = {t: v for t, v in some.items() if v >= 11}
+        want |= {(t, d, "NEW", v, 0) for t, v in now.items() if t not in before}
+        want |= {(t, d, "CHANGED", v, before[t]) for t, v in now.items() if t in before and before[t] != v}
+        want |= {(t, d, "REMOVED", some.get(t), v) for t, v in before.items() if t not in now}
+        before = now
+    assert {tuple(r) for r in snapshots.change_feed(spark, path).collect()} == want and want
+    parts = {(r.day, r.part) for r in snapshots.changed_parts(spark.read.parquet(f"{path}/digests")).collect()}
+    assert not any(d == D(2024, 1, 4) for d, _ in parts) and len(parts) < 6 * 12
+    # Parts that are equal to those of the day before and of the day after are never opened.
+    after = {(d - dt.timedelta(days=1), p) for d, p in parts}
+    for folder in (tmp_path / "scans" / "rows").glob("slot=*"):
+        day, part = folder.name.split("=")[1].split("_")
+        key = (D.fromisoformat(day), int(part))
+        if key not in parts | after:
+            for f in folder.glob("*"):
+                f.write_bytes(b"unreadable")
+    schema = spark.read.schema("ticker string, score long, slot string")
+    assert {tuple(r) for r in snapshots.change_feed(spark, path, rows=schema.parquet(f"{path}/rows")).collect()} == want

@@ -106,6 +106,30 @@ def test_bootstrap_is_reproducible_and_exact(spark, log):
         assert a.win_rate[sim] == pytest.approx((x > 0).mean())
 
 
+def test_folded_and_joined_blocks_agree(spark, log, monkeypatch):
+    n = bootstrap.numbered(log[1], ["entry_date", "ticker"]).select("idx", "return_dec").cache()
+    monkeypatch.setattr(bootstrap, "CHUNK_DRAWS", 64)  # several blocks a simulation
+    folded = bootstrap.simulate(n, 5).orderBy("sim").toPandas()
+    monkeypatch.setattr(bootstrap, "BROADCAST_TRADES", 10)
+    pd.testing.assert_frame_equal(folded, bootstrap.simulate(n, 5).orderBy("sim").toPandas(), rtol=1e-9)
+    assert bootstrap.simulate(n.limit(0), 5).count() == 0
+
+
+def test_chosen_paths_are_drawn_again_alone(spark, log):
+    pdf, df = log
+    n = bootstrap.numbered(df, ["entry_date", "ticker"]).select("idx", "return_dec").cache()
+    by_idx = {r.idx: r.return_dec for r in n.collect()}
+    stats = {r.sim: r for r in bootstrap.simulate(n, 9).collect()}
+    chosen = spark.createDataFrame([("a", 7), ("b", 2), ("c", 7)], "point string, sim long")
+    got = bootstrap.drawn_paths(n, chosen).toPandas()
+    assert len(got) == 3 * len(pdf)
+    for point, sim in (("a", 7), ("b", 2), ("c", 7)):
+        own = got[got.point == point].sort_values("draw")
+        x = np.array([by_idx[int(hashlib.md5(f"{sim}-{d}-42".encode()).hexdigest()[:8], 16) % len(pdf)] for d in range(len(pdf))])
+        np.testing.assert_allclose(own.equity, 1e6 * np.cumprod(1 + 0.1 * x), rtol=1e-9)
+        assert own.equity.iloc[-1] == pytest.approx(stats[sim].final_value) and own.drawdown.min() == pytest.approx(stats[sim].max_drawdown)
+
+
 def test_rescaled_logs(spark):
     pct = spark.createDataFrame([(5.0,), (-3.0,)], "return_pct double")
     frac = spark.createDataFrame([(0.05,), (-0.03,)], "return_pct double")

@@ -1,18 +1,19 @@
 """Bootstrap of trade returns.
 
-Every draw is a row made on the executors: its trade number comes from an md5
-of (simulation, draw, seed), so results do not depend on parallelism. Draws
-meet the numbered trades by an equi-join, and each simulation is compounded in
-chunks of draws; neither a path nor the trade list passes through the driver.
+The trade number of every draw comes from an md5 of (simulation, draw, seed), made on
+the executors, so results do not depend on parallelism. Blocks of draws are folded to
+summaries over the trade list as an array; with a list too long for that, draws are
+rows that meet the trades by an equi-join. Neither a path nor the trade list passes
+through the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Settings
-from tidemark.operators.compound import chunk_summaries, combine_chunks, merged_moments, moments, pooled
+from tidemark.operators.compound import chunk_summaries, combine_chunks, compound_curve, moments, pooled
 from tidemark.operators.ranks import histogram, nearest_to_percentile, percentiles
 
 CHUNK_DRAWS = 4096
@@ -34,25 +35,35 @@ def numbered(trades: DataFrame, keys: list[str]) -> DataFrame:
             .drop("_b", "_h", "_n", "_before", "_rn"))
 
 
-def draws(returns: DataFrame, sims: int, seed: int = 42) -> DataFrame:
-    """``(sim, draw, return_dec)``: as many draws with replacement per
-    simulation as there are rows in ``returns`` (idx, return_dec)."""
-    spark = returns.sparkSession
-    n = returns.count()
-    # Two explodes: sims to blocks, blocks to draws. The block rows are few but
-    # grow a thousandfold, so their partitions are fixed by number: adaptive
-    # execution would coalesce them into one task.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sims * n // TASK_DRAWS))
-    blocks = (spark.range(sims).withColumnRenamed("id", "sim").withColumn("_n", F.lit(n).cast("bigint"))
-              .select("sim", "_n", F.explode(F.sequence(
-                  F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / CHUNK_DRAWS).cast("bigint"))).alias("block"))
-              .where(F.col("_n") > 0).repartition(parts, "sim", "block"))
+def _number(sim: Column, draw: Column, seed: int, n: Column) -> Column:
+    """Trade number of a draw. Never NULL: otherwise Spark hashes every draw a second time in a null filter."""
+    text = F.concat_ws("-", sim.cast("string"), draw.cast("string"), F.lit(str(seed)))
+    return F.coalesce(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % n, F.lit(0))
+
+
+def _blocks(sims: DataFrame, n: int) -> DataFrame:
+    """``(sim, block, _n, _low, _high)``: stretches of ``CHUNK_DRAWS`` draws, spread over tasks."""
+    spark = sims.sparkSession
+    # The block rows are few but grow a thousandfold, so their partitions are fixed by
+    # number: adaptive execution would coalesce them into one task.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sims.count() * n // TASK_DRAWS))
     low = F.col("block") * CHUNK_DRAWS
-    rows = blocks.select("sim", "block", "_n", F.explode(F.sequence(
-        low, F.least(low + CHUNK_DRAWS, F.col("_n")) - 1)).alias("draw"))
-    text = F.concat_ws("-", F.col("sim").cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))
-    # Never NULL: otherwise Spark hashes every draw a second time in a null filter.
-    idx = F.coalesce(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.col("_n"), F.lit(0))
+    return (sims.withColumn("_n", F.lit(n).cast("bigint")).where(F.col("_n") > 0)
+            .select("sim", "_n", F.explode(F.sequence(
+                F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / CHUNK_DRAWS).cast("bigint"))).alias("block"))
+            .repartition(parts, "sim", "block")
+            .select("sim", "block", "_n", low.alias("_low"), (F.least(low + CHUNK_DRAWS, F.col("_n")) - 1).alias("_high")))
+
+
+def draws(returns: DataFrame, sims: DataFrame | int, seed: int = 42) -> DataFrame:
+    """``(sim, block, draw, return_dec)``: as many draws with replacement per
+    simulation (a number of them, or a frame of ``sim``) as there are rows in
+    ``returns`` (idx, return_dec)."""
+    if isinstance(sims, int):
+        sims = returns.sparkSession.range(sims).withColumnRenamed("id", "sim")
+    n = returns.count()
+    rows = _blocks(sims.select("sim"), n).select("sim", "block", "_n", F.explode(F.sequence("_low", "_high")).alias("draw"))
+    idx = _number(F.col("sim"), F.col("draw"), seed, F.col("_n"))
     # Draws come from two explodes, whose size Spark cannot foresee: left alone
     # it would broadcast them. A short list goes to the draws; with a long one
     # both sides are shuffled by the (uniform) number.
@@ -60,15 +71,44 @@ def draws(returns: DataFrame, sims: int, seed: int = 42) -> DataFrame:
     return rows.select("sim", "block", "draw", idx.alias("idx")).join(listed, "idx")
 
 
+def _folded_blocks(returns: DataFrame, sims: DataFrame, n: int, seed: int, size: float) -> DataFrame:
+    """Summary of each block of draws by one fold over its numbers: no row per draw, no join, no sort. The
+    trade list (``BROADCAST_TRADES`` at most) travels as one array."""
+    listed = returns.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "return_dec"))), lambda x: x["return_dec"])).scalar()
+    rows = _blocks(sims, n).withColumn("_list", listed)
+    taken = F.transform(F.sequence("_low", "_high"), lambda d: F.get("_list", _number(F.col("sim"), d, seed, F.col("_n")).cast("int")))
+    zero, inf = F.lit(0.0), F.lit(float("inf"))
+    start = F.struct(F.lit(1.0).alias("p"), (-inf).alias("hi"), inf.alias("lo"), inf.alias("worst"), zero.alias("sum"), zero.alias("sq"),
+                     inf.alias("min"), (-inf).alias("max"), F.lit(0).cast("bigint").alias("won"))
+
+    def step(s: Column, r: Column) -> Column:
+        p, x = s["p"] * (1 + size * r), r * size
+        hi = F.greatest(s["hi"], p)
+        return F.struct(p.alias("p"), hi.alias("hi"), F.least(s["lo"], p).alias("lo"), F.least(s["worst"], p / hi).alias("worst"),
+                        (s["sum"] + x).alias("sum"), (s["sq"] + x * x).alias("sq"), F.least(s["min"], x).alias("min"),
+                        F.greatest(s["max"], x).alias("max"), (s["won"] + (r > 0).cast("bigint")).alias("won"))
+
+    f = rows.select("sim", "block", "_low", "_high", F.aggregate(taken, start, step).alias("f"))
+    return f.select("sim", "block", F.col("f.p").alias("_prod"), F.col("f.hi").alias("_hi"), F.col("f.lo").alias("_lo"), F.col("f.worst").alias("_worst"),
+                    (F.col("_high") - F.col("_low") + 1).alias("r_n"), F.col("f.sum").alias("r_sum"), F.col("f.sq").alias("r_sq"),
+                    F.col("f.min").alias("r_min"), F.col("f.max").alias("r_max"), F.col("f.won").alias("won"))
+
+
+def _joined_blocks(returns: DataFrame, sims: DataFrame, seed: int, size: float) -> DataFrame:
+    """The same for trade lists of any length, from a row per draw."""
+    r = F.col("return_dec")
+    rows = chunk_summaries(draws(returns, sims, seed), ["sim"], ["block"], ["draw"], 1 + size * r, *moments(r * size, "r"), F.count_if(r > 0).alias("won"))
+    return rows.withColumns({"r_sum": F.col("r_n") * F.col("r_mean"), "r_sq": F.col("r_n") * (F.col("r_var") + F.col("r_mean") * F.col("r_mean"))})
+
+
 def simulate(returns: DataFrame, sims: int | None = None, years: float = 5.0, seed: int = 42,
              cfg: Settings = DEFAULT) -> DataFrame:
     """Final value, CAGR, drawdown, Sharpe ratio and win rate per simulation."""
-    d = draws(returns, cfg.simulations if sims is None else sims, seed)
-    r, size = F.col("return_dec"), cfg.position_size
-    # One pass over the draws: path and moments per block, then per simulation.
-    blocks = chunk_summaries(d, ["sim"], ["block"], ["draw"], 1 + size * r, *moments(r * size, "r"),
-                             F.count_if(r > 0).alias("won"))
-    path = combine_chunks(blocks, ["sim"], ["block"], *merged_moments("r"), F.sum("won").alias("_won"))
+    size, n = cfg.position_size, returns.count()
+    numbers = returns.sparkSession.range(cfg.simulations if sims is None else sims).withColumnRenamed("id", "sim")
+    blocks = _folded_blocks(returns, numbers, n, seed, size) if n <= BROADCAST_TRADES else _joined_blocks(returns, numbers, seed, size)
+    path = combine_chunks(blocks, ["sim"], ["block"], F.sum("r_n").alias("r_n"), F.sum("r_sum").alias("r_sum"), F.sum("r_sq").alias("r_sq"),
+                          F.min("r_min").alias("r_min"), F.max("r_max").alias("r_max"), F.sum("won").alias("_won"))
     mean, sd = pooled("r")
     path = (path.withColumn("_mean", mean).withColumn("_sd", sd).withColumn("_n", F.col("r_n"))
             .withColumn("win_rate", F.col("_won") / F.col("r_n")))
@@ -79,6 +119,14 @@ def simulate(returns: DataFrame, sims: int | None = None, years: float = 5.0, se
         sharpe.alias("sharpe"), "win_rate")
 
 
+def drawn_paths(returns: DataFrame, chosen: DataFrame, seed: int = 42, cfg: Settings = DEFAULT) -> DataFrame:
+    """Equity and drawdown after every draw of the chosen simulations (a frame with ``sim``), which are drawn
+    again from their seeds, alone: nothing of the other paths is kept or computed."""
+    rows = draws(returns, chosen.select("sim").distinct(), seed)
+    curve = compound_curve(rows, ["sim"], ["block"], ["draw"], F.col("return_dec"), cfg.position_size, cfg.capital)
+    return chosen.join(curve.select("sim", "draw", "equity", "drawdown"), "sim")
+
+
 OUTCOMES = ["final_value", "cagr", "max_drawdown", "sharpe"]
 POINTS = {"p5": 0.05, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95}
 

@@ -80,14 +80,18 @@ def percentiles(df: DataFrame, by: list[str], value: str, points: dict[str, floa
 
 
 def nearest_to_percentile(df: DataFrame, key: str, value: str, points: dict[str, float]) -> DataFrame:
-    """For each percentile, the key whose value lies closest (smallest key on ties)."""
+    """For each percentile, the key whose value lies closest (smallest key on ties).
+
+    Distances that agree to a billionth of the target are a tie: a percentile halfway
+    between two values is equally far from both, but for the rounding of its last digit.
+    """
     marks = percentiles(df, [], value, points)
     marks = marks.select(F.explode(F.array(*[
         F.struct(F.lit(name).alias("point"), F.col(name).alias("target")) for name in points
     ])).alias("m")).select("m.*")
     # One row per requested point: the size is fixed by the caller's dict.
     pairs = df.select(key, value, F.explode(F.array(*[F.lit(n) for n in points])).alias("point"))
-    gap = F.struct(F.abs(F.col(value) - F.col("target")), F.col(key))
+    gap = F.struct(F.round(F.abs(F.col(value) - F.col("target")) / F.greatest(F.abs("target"), F.lit(1e-300)), 9), F.col(key))
     return (pairs.join(F.broadcast(marks), "point").groupBy("point")
             .agg(F.min_by(F.struct(key, value), gap).alias("best"), F.first("target").alias("target"))
             .select("point", "target", f"best.{key}", f"best.{value}"))
