@@ -7,16 +7,15 @@ the node, with 0 edits or 1. Level by level, the states are joined with the edge
 * an *edge* is the common prefix of all words that share a node and their next character (the least and the greatest of
   them show it), so a stretch without a branch is one edge and a long word does not cost a level per character. Edges of
   a level are grouped from the states of that level with 0 edits, which are the words themselves, and are read once;
-* a state follows the edge of its next character if the rest of the word begins with the edge's text (an equi-join on
-  node and character);
+* a state follows the edge of its next character if the rest of the word begins with the edge's text;
 * a state with 0 edits also takes the node's other edges, with one character replaced or inserted there;
 * a state with 1 edit that has used up its word at the end of another word is a pair of near words. Deletions are
   insertions seen from the other word.
 
 An edit lies in the later half of a word or in the later half of the reversed word, so states branch only from the
-middle on, where nodes have few edges: the walk is close to linear in the vocabulary. A node has at most one edge per
-letter of the rule, so no join multiplies a group by itself. States and edges of each level are written to the shared
-folder. The number of levels is that of branching prefixes on the deepest path, which grows with the logarithm of a
+middle on, where nodes have few edges: the walk is close to linear in the vocabulary. The join is on the node, which has
+at most one edge per letter of the rule, so it multiplies no group by itself. Each level is one job, whose states and
+pairs are written to the shared folder. The number of levels is that of branching prefixes on the deepest path, which grows with the logarithm of a
 natural vocabulary.
 
 Defined results: a null text has no words; a null id counts as empty before the colon; repeated rows count again;
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, stage, utf8
+from tidemark.llm.common import bounded, stage, stage_path, utf8
 
 #: Letters of a word (after A-Z became a-z); shortest word and least count.
 LETTERS = re.compile("[a-zÀ-ÿ]+")
@@ -114,41 +113,42 @@ def _edges(states: DataFrame) -> DataFrame:
 
 
 def _moves(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """The states after one edge each."""
+    """The states after one edge each, without those that can come to nothing; ``kind`` parts pairs from states to go on."""
     word, size, at, depth = F.col("word"), F.col("size"), F.col("position"), F.col("depth")
+    turned = edges.withColumnRenamed("first", "turn")
+    met = states.join(turned, ["way", "node"])
     taken = depth - F.length("node")
     label = lambda skip: _part(F.col("child"), F.length("node") + skip, taken - skip)
-    kept = ["way", "word", "size", "half"]
-    along = states.join(edges, ["way", "node", "first"]).where((F.col("edits") == 0) | (_part(word, at, taken) == label(0)))
-    along = along.select(*kept, (at + taken).alias("position"), F.col("child").alias("node"), "edits", "ends", "more")
-    other = edges.withColumnRenamed("first", "turn")
-    branch = states.where((F.col("edits") == 0) & (at >= F.col("half"))).join(other, ["way", "node"]).where(F.col("turn") != F.col("first"))
+    exact, own = F.col("edits") == 0, F.col("turn") == F.col("first")
     can = lambda longer: (F.col("shortest") <= size + longer) & (F.col("longest") >= size + longer)
-    replaced = F.when((F.col("first") != "") & can(0) & (_part(word, at + 1, taken - 1) == label(1)), at + taken)
-    inserted = F.when(can(1) & (_part(word, at, taken - 1) == label(1)), at + taken - 1)
-    branch = branch.select(*kept, F.explode(F.array_compact(F.array(replaced, inserted))).alias("position"),
-                           F.col("child").alias("node"), F.lit(1).alias("edits"), "ends", "more")
-    return along.unionByName(branch)
+    edit = exact & ~own & (at >= F.col("half"))
+    along = F.when(own & (exact | (_part(word, at, taken) == label(0))), F.struct((at + taken).alias("position"), F.col("edits")))
+    replaced = F.when(edit & (F.col("first") != "") & can(0) & (_part(word, at + 1, taken - 1) == label(1)), F.struct((at + taken).alias("position"), F.lit(1).alias("edits")))
+    inserted = F.when(edit & can(1) & (_part(word, at, taken - 1) == label(1)), F.struct((at + taken - 1).alias("position"), F.lit(1).alias("edits")))
+    moved = met.where(own | edit).select("way", "word", "size", "half", F.col("child").alias("node"), "ends", "more",
+                                         F.explode(F.array_compact(F.array(along, replaced, inserted))).alias("to"))
+    whole, edited = F.col("to.position") == size, F.col("to.edits") == 1
+    kind = F.when(edited & whole, F.when(F.col("ends"), "pair")).when(F.col("more"), "state")
+    return moved.select("way", "word", "size", "half", "node", "to.position", "to.edits", kind.alias("kind")).where(F.col("kind").isNotNull())
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """All ordered pairs ``word``, ``near`` of words of ``words`` that differ by one inserted, deleted or replaced character."""
-    size = F.length("word")
+    spark, size = words.sparkSession, F.length("word")
     start = lambda way, half: words.select(F.lit(way).alias("way"), (F.reverse("word") if way else F.col("word")).alias("word"), size.alias("size"), half.cast("int").alias("half"))
     states = start(0, F.floor(size / 2)).unionByName(start(1, size - F.floor(size / 2)))
     # The first edges all have _ROOT characters: the root's children are the groups of words that begin alike.
-    states = states.withColumns({"position": F.lit(_ROOT), "node": F.substring("word", 1, _ROOT), "edits": F.lit(0)})
-    pairs, level = [], 0
+    states = states.withColumns({"node": F.substring("word", 1, _ROOT), "position": F.lit(_ROOT), "edits": F.lit(0)})
+    schema, pairs = states.schema.add("kind", "string"), []
     while True:
         states = states.withColumn("first", _part(F.col("word"), F.col("position"), F.lit(1)))
-        edges = stage(_edges(states), f"edges-{level}")
-        moved = stage(_moves(states, edges), f"states-{level}")
-        whole = F.col("position") == F.col("size")
-        pairs.append(moved.where((F.col("edits") == 1) & whole & F.col("ends")).select("way", "word", F.col("node").alias("near")))
-        states = moved.where(F.col("more") & ((F.col("edits") == 0) | ~whole)).drop("ends", "more")
+        path = stage_path(spark, "states")
+        _moves(states, _edges(states)).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+        moved = spark.read.schema(schema).parquet(path)
+        pairs.append(moved.where("kind = 'pair'").select("way", "word", F.col("node").alias("near")))
+        states = moved.where("kind = 'state'").drop("kind")
         if states.isEmpty():
             break
-        level += 1
     found = reduce(DataFrame.unionByName, pairs)
     forward = lambda c: F.when(F.col("way") == 1, F.reverse(c)).otherwise(F.col(c))
     found = found.select(forward("word").alias("word"), forward("near").alias("near"))
