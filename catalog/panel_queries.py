@@ -55,6 +55,29 @@ def _(w):
     return both[0].unionByName(both[1])
 
 
+@query("s3_rejects", "ticker! level reason n!", """SELECT NULL AS ticker, 'line' AS level, 'no JSON' AS reason, count(*) AS n
+  FROM (SELECT DISTINCT ticker, freq FROM stmt JOIN supplier ON s_suppkey = ticker WHERE s_acctbal < 0) HAVING count(*) > 0
+  UNION ALL SELECT ticker, 'record', 'no date', 2 * count(*) FROM good WHERE net < 0 GROUP BY 1
+  UNION ALL SELECT ticker, 'record', 'superseded', count(*) FROM good WHERE net >= 0 GROUP BY 1
+  UNION ALL SELECT ticker, 'record', 'used', count(*) FROM good WHERE net >= 0 GROUP BY 1
+  UNION ALL SELECT ticker, 'item', 'no number: revenue', count(*) FROM good WHERE net >= 0 AND gross < revenue * 0.4::DOUBLE GROUP BY 1""")
+def _(w):
+    # Responses as a provider may send them: lines cut short, records without a day, amounts that are no numbers, outdated records first.
+    s = w.panel.statements_wide().select("ticker", "freq", "period_end", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "Total Revenue", "Gross Profit", "Net Income")
+    record = F.to_json(F.struct(
+        F.when(F.col("Net Income") < 0, "n/a").otherwise(F.date_format("period_end", "yyyy-MM-dd")).alias("date"), F.col("Net Income").alias("netIncome"),
+        F.when(F.col("Gross Profit") < F.col("Total Revenue") * 0.4, "n/m").otherwise(F.col("Total Revenue").cast("string")).alias("revenue")))
+    # A ticker has a few dozen periods: one response per ticker and frequency, as delivered.
+    sent = s.groupBy("ticker", "freq").agg(F.array_sort(F.collect_list(F.struct("period_end", "k", record.alias("r")))).alias("rs"))
+    line = F.concat(F.lit('{"ticker": "'), F.col("ticker").cast("string"), F.lit('", "records": ['), F.array_join(F.transform("rs", lambda x: x["r"]), ", "), F.lit("]}"))
+    short = w.panel.table("supplier").select(F.col("s_suppkey").alias("ticker"), (F.col("s_acctbal") < 0).alias("short"))
+    lines = sent.join(short, "ticker").select("freq", F.when(F.col("short"), F.substring(line, F.lit(1), F.length(line) - 9)).otherwise(line).alias("value"))
+    both = [files.checked_records(lines.where(F.col("freq") == f).select("value")) for f in ("quarterly", "annual")]  # as in a file of each
+    checked = both[0].unionByName(both[1])
+    used = checked.where((F.col("level") == "record") & F.col("reason").isNull()).select("level", "ticker", F.lit("used").alias("reason"))
+    return files.rejects(checked).select("level", "ticker", "reason").unionByName(used).groupBy("ticker", "level", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s4_compact_statements", "ticker! freq statement period_end item value:6", """SELECT ticker, freq, 'balance' AS statement, period_end,
   u.item, u.value FROM stmt, LATERAL (VALUES ('Total Assets', assets), ('Total Debt', debt + curl)) AS u(item, value)""")
 def _(w):

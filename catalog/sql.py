@@ -87,6 +87,9 @@ CTE["stmt"] = """SELECT ticker, freq, period_end, rev AS revenue, gp AS gross, g
   JOIN supplier ON s_suppkey = ticker"""
 
 
+CTE["good"] = "SELECT stmt.* FROM stmt JOIN supplier ON s_suppkey = ticker WHERE s_acctbal >= 0"
+
+
 def _run(back: int, cap: int) -> str:
     run = "0"
     for i in reversed(range(cap)):

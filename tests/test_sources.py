@@ -85,6 +85,21 @@ def test_trade_log_round_trip(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).where("mode = 'm1'").count() == 2
 
 
+def test_records_in_are_records_out_and_rejects(spark):
+    lines = ['{"ticker": "A", "records": [{"date": "2024-03-31", "revenue": 1}, {"date": "2024-03-31 00:00", "revenue": 2.5, "netIncome": "x"}, '
+             '{"date": "soon", "revenue": 3}, {"revenue": 4}, 7, null, {"date": "2024-06-30", "revenue": null, "grossProfit": "8"}]}',
+             '{"ticker": "B", "records": [{"date": "2024-03-31", "rev', "", "[1, 2]", '{"records": []}', '{"ticker": "C", "records": {}}', '{"ticker": "D", "records": []}', '"text"']
+    checked = files.checked_records(spark.createDataFrame([(x,) for x in lines], "value string")).cache()
+    assert checked.where("level = 'line'").count() == 7 and checked.where("level = 'record'").count() == 7
+    got = sorted((r.level, r.ticker or "", -1 if r.pos is None else r.pos, r.reason) for r in files.rejects(checked).collect())
+    assert got == sorted([("record", "A", 0, "superseded"), ("record", "A", 2, "no date"), ("record", "A", 3, "no date"), ("record", "A", 4, "no object"),
+                          ("record", "A", 5, "no object"), ("item", "A", 1, "no number: netIncome"), ("line", "", -1, "no JSON"), ("line", "", -1, "no JSON"),
+                          ("line", "", -1, "no ticker"), ("line", "", -1, "no ticker"), ("line", "", -1, "no ticker"), ("line", "C", -1, "no records"), ("line", "D", -1, "no records")])
+    used = {(str(r.period_end), r.item): r.value for r in files.used_records(checked, "income", "quarterly").where("value IS NOT NULL").collect()}
+    assert used.pop(("2024-03-31", "Total Revenue")) == 2.5 and used.pop(("2024-06-30", "Gross Profit")) == 8.0
+    assert {i for _, i in used} <= {"Tax Rate For Calcs"}
+
+
 def test_state_versions_and_history(spark, tmp_path):
     root = str(tmp_path / "state")
     for v in (1, 2):

@@ -77,13 +77,60 @@ def records_to_long(records: DataFrame, statement: str, freq: str,
         "ticker", F.lit(freq).alias("freq"), F.lit(statement).alias("statement"), "period_end", "item", "value")
 
 
+RECORD_FIELDS = [*RECORD_ITEMS, "incomeTaxExpense", "incomeBeforeTax"]
+
+
+def checked_records(lines: DataFrame) -> DataFrame:
+    """Every record of JSON lines ``{ticker, records: [...]}`` (column ``value``), good or not.
+
+    Payloads are parsed as VARIANT, so nothing that does not fit a schema vanishes: ``level`` tells what a row
+    stands for (line, record), ``reason`` why it is not used (NULL if it is), ``payload`` is its text, ``bad``
+    lists fields of a used record whose value is no number (they count as unknown). Lines in = rejected lines
+    + lines with records; records in = used + rejected records.
+    """
+    line = lines.select("value", F.try_parse_json("value").alias("v"))
+    line = line.select("value", "v", F.try_variant_get("v", "$.ticker", "string").alias("ticker"),
+                       F.try_variant_get("v", "$.records", "array<variant>").alias("records"))
+    why = (F.when(F.col("v").isNull(), "no JSON").when(F.col("ticker").isNull() | (F.col("ticker") == ""), "no ticker")
+           .when(F.col("records").isNull(), "no records").when(F.size("records") == 0, "no records"))
+    line = line.withColumn("reason", why)
+    none = {"pos": "int", "date": "string", "period_end": "date", "bad": "array<string>", **{f: "double" for f in RECORD_FIELDS}}
+    lost = line.where(F.col("reason").isNotNull()).select(
+        F.lit("line").alias("level"), "ticker", "reason", F.col("value").alias("payload"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    rec = line.where(F.col("reason").isNull()).select("ticker", F.posexplode("records").alias("pos", "r"))
+
+    def field(name: str, kind: str) -> Column:
+        return F.try_variant_get("r", f"$.{name}", kind)
+
+    is_object = F.schema_of_variant("r").startswith("OBJECT")
+    given = lambda f: field(f, "variant").isNotNull() & ~F.is_variant_null(field(f, "variant"))
+    unread = [F.when(field(f, "double").isNull() & given(f), F.lit(f)) for f in RECORD_FIELDS]
+    rec = rec.select("ticker", "pos", F.to_json("r").alias("payload"), is_object.alias("_object"), field("date", "string").alias("date"),
+                     F.array_compact(F.array(*unread)).alias("bad"), *[field(f, "double").alias(f) for f in RECORD_FIELDS])
+    rec = rec.withColumn("period_end", F.substring("date", 1, 10).try_cast("date"))
+    rec = rec.withColumn("reason", F.when(~F.coalesce("_object", F.lit(False)), "no object").when(F.col("period_end").isNull(), "no date"))
+    # Later records of a period replace earlier ones; a ticker has a few dozen records.
+    newest = F.max(F.when(F.col("reason").isNull(), F.col("pos"))).over(Window.partitionBy("ticker", "period_end"))
+    rec = rec.withColumn("reason", F.coalesce("reason", F.when(F.col("pos") < newest, "superseded")))
+    return lost.unionByName(rec.withColumn("level", F.lit("record")).drop("_object"))
+
+
+def rejects(checked: DataFrame) -> DataFrame:
+    """``(level, ticker, pos, reason, payload)`` of what is not used: lines, records and single items."""
+    whole = checked.where(F.col("reason").isNotNull()).select("level", "ticker", "pos", "reason", "payload")
+    items = checked.where(F.col("reason").isNull()).select("ticker", "pos", F.explode("bad").alias("field"), "payload")
+    return whole.unionByName(items.select(F.lit("item").alias("level"), "ticker", "pos", F.concat(F.lit("no number: "), "field").alias("reason"), "payload"))
+
+
+def used_records(checked: DataFrame, statement: str, freq: str) -> DataFrame:
+    """Long items of the records in use."""
+    return records_to_long(checked.where((F.col("level") == "record") & F.col("reason").isNull()), statement, freq)
+
+
 def read_records(spark: SparkSession, path: str, statement: str, freq: str) -> DataFrame:
-    """JSON files, one array of records per ticker: ``{ticker, records: [...]}``."""
-    names = [*RECORD_ITEMS, "incomeTaxExpense", "incomeBeforeTax"]
-    fields = "date: string, " + ", ".join(f"{n}: double" for n in names)
-    raw = spark.read.schema(f"ticker string, records array<struct<{fields}>>").json(path)
-    rows = raw.select("ticker", F.posexplode("records").alias("pos", "r")).select("ticker", "pos", "r.*")
-    return records_to_long(rows, statement, freq)
+    """JSON files, one array of records per ticker and line: ``{ticker, records: [...]}``. ``rejects`` of
+    ``checked_records`` over the same lines tells what was not used."""
+    return used_records(checked_records(spark.read.text(path)), statement, freq)
 
 
 def compact_to_long(responses: DataFrame, statement: str, items: dict[str, str]) -> DataFrame:
