@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,27 @@ def test_alerts_go_on_after_a_restart_and_take_any_ticker(spark, tmp_path):
     assert again == {("C", 4, "REMOVED"), ("D", 4, "NEW")}
 
 
+def test_alerts_equal_a_walk_over_scans_and_state_holds_alerted_tickers(spark, tmp_path):
+    rng, schema, root, source = random.Random(3), "ticker string, date date, score long", str(tmp_path / "root"), str(tmp_path / "in")
+    days = [D(2024, 1, 1) + dt.timedelta(days=k + k // 3) for k in range(9)]
+    scans = {d: {f"t{k}": rng.choice([None, 5, 10, 11, 12, 13]) for k in range(25) if rng.random() < 0.7} for d in days}
+    scans[days[4]] = {"t1": 3}  # a scan without any alert
+    want, before = set(), {}
+    for d, some in scans.items():
+        now = {t: v for t, v in some.items() if v is not None and v >= 11}
+        want |= {(t, d, "NEW", v, 0) for t, v in now.items() if t not in before}
+        want |= {(t, d, "CHANGED", v, before[t]) for t, v in now.items() if t in before and before[t] != v}
+        want |= {(t, d, "REMOVED", some.get(t), v) for t, v in before.items() if t not in now}
+        before = now
+    for some in (days[:1], days[1:4], days[4:5], days[5:6], days[6:]):  # runs of their own, of one scan or several
+        rows = [(t, d, v) for d in some for t, v in scans[d].items()]
+        spark.createDataFrame(rows + rows[:2], schema).write.mode("append").parquet(source)
+        out = streams.stream_alerts(spark.readStream.schema(schema).parquet(source), root=root)
+    assert {tuple(r) for r in out.select("ticker", "date", "change", "score", "prev_score").collect()} == want and out.count() == len(want)
+    kept = spark.read.format("statestore").load(f"{root}/checkpoint")
+    assert {r.key[0] for r in kept.select("key").collect()} == set(before)
+
+
 def test_a_table_streams_from_a_file_and_from_a_folder(spark, tmp_path):
     rows = [(k, dt.datetime(2024, 1, 1 + k % 5), 1.0) for k in range(50)]
     df = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, value double")

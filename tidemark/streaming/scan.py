@@ -19,11 +19,10 @@ from __future__ import annotations
 import json
 import warnings
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -32,7 +31,7 @@ from tidemark.operators.prices import TS, sector_momentum
 from tidemark.operators.statements import STATE_COLS, shares_used
 from tidemark.plans.pipelines import Inputs, finish_timing, with_all_filters
 from tidemark.sources.sinks import new_path
-from tidemark.streaming.streams import run_batches
+from tidemark.streaming.streams import rocksdb, run_batches
 
 EVENTS = "date date, close double, slot string, state string, freq string, sales double, shares double"
 #: Columns of the last complete feature row, in the order of the state's array.
@@ -143,18 +142,6 @@ def scan_rows(events: DataFrame, cfg: Settings = DEFAULT, since=None) -> DataFra
         step(cfg, since), f"ticker {kind}, {OUT}", STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-@contextmanager
-def rocksdb(spark: SparkSession):
-    """State stores of streams that start inside keep their keys in RocksDB, not on the heap."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def incremental_scan(events: DataFrame, states: DataFrame, universe: DataFrame, company: DataFrame, market: DataFrame,
                      cfg: Settings = DEFAULT, since=None, root: str | None = None) -> DataFrame:
     """Drains the new events; all scan rows so far. ``root`` keeps checkpoint, state and rows between deliveries.

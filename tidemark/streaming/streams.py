@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.config import DEFAULT, Settings
 from tidemark.operators.snapshots import change_kind
@@ -55,57 +59,87 @@ def run_batches(stream: DataFrame, name: str, step: Callable[[DataFrame, int, st
     return root
 
 
-def alert_step(cfg: Settings = DEFAULT) -> Callable[[DataFrame, int, str], None]:
-    """Change detection per micro-batch of scans ``(ticker, date, score)``.
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """State stores of streams that start inside keep their keys in RocksDB, not on the heap."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+MOVES = "day date, score bigint, prev_day date, prev_level bigint"
+
+
+def alert_moves(updates: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """``(ticker, day, score, prev_day, prev_level)``: each scan row next to what its ticker's last scan row left
+    alerted, from keyed state; and a row without ``day`` for an alerted ticker that later scans lack.
 
-    All rows of a date are one complete scan, and arrive in one batch. Within
-    a batch consecutive scans are compared in one plan, the first one against
-    the stored state: a ticker that was alerted and is absent from the next
-    scan is REMOVED on that day, with a NULL score. The state holds alerted
-    tickers only and alternates between two folders.
+    A ticker has state only while it is alerted, its level and day, and only tickers of the batch touch theirs. The
+    watermark is the end of a scan: once a later day has been seen, the timer of a ticker that was not in it runs out.
     """
+    kind = updates.schema["ticker"].dataType.simpleString()
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names = ["ticker", "day", "score", "prev_day", "prev_level"]
+        prev_day, level = state.get if state.exists else (None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], None, None, prev_day, level)], columns=names)
+            return
+        scores = pd.concat(parts).groupby("date").score.max()
+        out = []
+        for day, score in scores.sort_index().items():
+            known = score == score and score is not None
+            out.append((key[0], day, int(score) if known else None, prev_day if level else None, level))
+            prev_day, level = day, int(score) if known and score >= cfg.alert_score else 0
+        if level:
+            state.update((prev_day, level))
+            state.setTimeoutTimestamp(int(datetime(prev_day.year, prev_day.month, prev_day.day, tzinfo=timezone.utc).timestamp() * 1000) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=names).astype({"score": "Int64"})
+
+    rows = updates.withColumn("_at", F.timestamp_seconds(F.unix_date("date").cast("bigint") * 86_400)).withWatermark("_at", "0 seconds")
+    return rows.groupBy("ticker").applyInPandasWithState(update, f"ticker {kind}, {MOVES}", "day date, level long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def alert_step(cfg: Settings = DEFAULT) -> Callable[[DataFrame, int, str], None]:
+    """Alerts of the moves of a batch. The only table kept beside the keyed state is the calendar of scan days: what
+    was alerted on a day counts against the next scan alone, so a ticker that the next scan lacks is REMOVED on that
+    day, with a NULL score, and NEW when it comes back."""
     def step(batch: DataFrame, batch_id: int, root: str) -> None:
         spark = batch.sparkSession
-        rows = batch.groupBy("ticker", "date").agg(F.max("score").cast("bigint").alias("score"))
-        rows = rows.withColumn("level", F.when(F.col("score") >= cfg.alert_score, F.col("score")).otherwise(F.lit(0)))
-        schema = rows.select("ticker", F.col("level").alias("alerted")).schema
-        # Batch ids are consecutive; batch N leaves its state in folder N mod 2.
-        before = (spark.read.schema(schema).parquet(f"{root}/state/{(batch_id - 1) % 2}") if batch_id > 0
-                  else spark.createDataFrame([], schema))
-        # Scan days are few: their order travels as an array.
-        days = rows.agg(F.array_sort(F.collect_set("date")).alias("d")).first().d or []
-        after = F.map_from_arrays(F.array(*map(F.lit, days[:-1])), F.array(*map(F.lit, days[1:]))) if len(days) > 1 else None
-        following = (lambda d: F.try_element_at(after, d)) if after is not None else (lambda d: F.lit(None).cast("date"))
-        w = Window.partitionBy("ticker").orderBy("date")
-        seen = (rows.withColumn("prev", F.lag("level").over(w)).withColumn("prev_date", F.lag("date").over(w))
-                .withColumn("next_date", F.lead("date").over(w)).withColumn("due", following(F.col("date"))))
-        stored = before.where("alerted > 0")
-        first = F.lit(days[0]).cast("date") if days else F.lit(None).cast("date")
-        # What was alerted one scan before: 0 after a gap, the state on the first day.
-        known = (seen.join(stored, "ticker", "left")
-                 .withColumn("prev", F.when(F.col("date") == first, F.coalesce("alerted", F.lit(0)))
-                             .when(following(F.col("prev_date")) == F.col("date"), F.col("prev")).otherwise(F.lit(0))))
-        kind = change_kind(F.col("score"), F.when(F.col("prev") > 0, F.col("prev")), cfg.alert_score)
-        changed = known.withColumn("change", kind).where(F.col("change").isNotNull()).select(
-            "ticker", "date", "change", "score", F.col("prev").alias("prev_score"))
-        absent = [seen.where((F.col("level") > 0) & F.col("due").isNotNull() & ~F.col("due").eqNullSafe(F.col("next_date")))
-                  .select("ticker", F.col("due").alias("date"), F.col("level").alias("prev_score"))]
-        if days:
-            absent.append(stored.join(rows.where(F.col("date") == first), "ticker", "left_anti")
-                          .select("ticker", first.alias("date"), F.col("alerted").alias("prev_score")))
-        for gone in absent:
-            changed = changed.union(gone.select("ticker", "date", F.lit("REMOVED"), F.lit(None).cast("bigint"), "prev_score"))
-        changed.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
-        last = rows.where((F.col("date") == F.lit(days[-1])) & (F.col("level") > 0)) if days else rows
-        now = last.select("ticker", F.col("level").alias("alerted")) if days else stored
-        now.write.mode("overwrite").parquet(f"{root}/state/{batch_id % 2}")
+        batch.write.mode("overwrite").parquet(f"{root}/moves/batch={batch_id}")
+        moves = spark.read.schema(batch.schema).parquet(f"{root}/moves/batch={batch_id}")
+        moves.select("day").where(F.col("day").isNotNull()).distinct().write.mode("overwrite").parquet(f"{root}/days/batch={batch_id}")
+        days = spark.read.schema("day date").parquet(f"{root}/days").distinct()
+        w = Window.orderBy("day")  # one row per scan day
+        following = days.select(F.col("day").alias("prev_day"), F.lead("day").over(w).alias("due"))
+        seen = moves.join(following, "prev_day", "left")
+        met = F.coalesce(F.col("due") == F.col("day"), F.lit(False))
+        before = F.when(met, F.col("prev_level")).otherwise(F.lit(0).cast("bigint"))
+        kind = change_kind(F.col("score"), F.when(before > 0, before), cfg.alert_score)
+        changed = seen.where(F.col("day").isNotNull()).select("ticker", F.col("day").alias("date"), kind.alias("change"), "score", before.alias("prev_score"))
+        gone = seen.where((F.col("prev_level") > 0) & ~met & F.col("due").isNotNull()).select(
+            "ticker", F.col("due").alias("date"), F.lit("REMOVED").alias("change"), F.lit(None).cast("bigint").alias("score"), F.col("prev_level").alias("prev_score"))
+        changed.where(F.col("change").isNotNull()).unionByName(gone).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
     return step
 
 
 def stream_alerts(updates: DataFrame, cfg: Settings = DEFAULT, root: str | None = None) -> DataFrame:
-    """All alerts so far. ``root`` keeps checkpoint, state and alerts between runs."""
-    root = run_batches(updates, "alerts", alert_step(cfg), root)
-    return updates.sparkSession.read.parquet(f"{root}/out").drop("batch")
+    """All alerts so far of scans ``(ticker, date, score)``. ``root`` keeps checkpoint, state and alerts between runs.
+
+    All rows of a date are one complete scan and arrive in one batch; scans arrive in order of their days.
+    """
+    spark = updates.sparkSession
+    root = root or new_path(spark, "alerts")
+    with rocksdb(spark):
+        run_batches(alert_moves(updates, cfg), "alerts", alert_step(cfg), root)
+    return spark.read.parquet(f"{root}/out").drop("batch")
 
 
 def stream_scan(bars: DataFrame, scan: Callable[[DataFrame], DataFrame]) -> DataFrame:
