@@ -407,6 +407,15 @@ def _(w):
     return asof.asof_forward(month_probe(w), w.bars, "ticker", "on_day", "open")
 
 
+@query("j3_asof_ticks", "event_id! event_type ts next_id! next_value:6", """SELECT e.event_id, e.event_type, e.ts, n.event_id AS next_id, n.value AS next_value
+  FROM events e ASOF LEFT JOIN events n ON e.event_type = n.event_type AND e.ts < n.ts""")
+def _(w):
+    e = stage(w.panel.table("events").select("event_id", "event_type", "ts", "value"), "ticks")
+    series = e.select("event_type", F.col("ts").alias("at"), F.struct(F.col("event_id").alias("id"), "value").alias("tick"))
+    seen = asof.asof_segmented(e.select("event_id", "event_type", "ts"), "event_type", "ts", [Stream(series, "at", ["tick"])], forward=True)
+    return seen.select("event_id", "event_type", "ts", F.col("tick.id").alias("next_id"), F.col("tick.value").alias("next_value"))
+
+
 @query("j4_available_periods", "ticker! as_of freq period_end revenue:6", """SELECT p.ticker, p.as_of, s.freq, s.period_end, s.revenue
   FROM probe_q p JOIN stmt s ON p.ticker = s.ticker AND s.period_end + 45 <= p.as_of AND s.period_end + 45 >= p.as_of - 365""")
 def _(w):

@@ -88,6 +88,9 @@ def test_segmented_asof_equals_the_plain_one_and_splits_a_hot_key(spark):
         got = asof.asof_segmented(probe, "key", "at", streams, blocks)
         assert order(got.where("at IS NOT NULL")) == plain
         assert got.where("at IS NULL").select("id", "a", "b", "both").collect() == [(-1, None, None, None)]
+        for strict in (True, False):
+            plain_forward = order(asof.asof_forward(known, frame, "key", "at", "b", series_ts="t", strict=strict))
+            assert order(asof.asof_segmented(known, "key", "at", [Stream(frame, "t", ["b"])], blocks, forward=True, strict=strict)) == plain_forward
     block = asof.time_blocks(frame, "t", 50)
     sizes = frame.where("key = 'hot'").groupBy(block(F.col("t").cast("double")).alias("b")).count().collect()
     assert len(sizes) > 40 and max(r["count"] for r in sizes) < 200

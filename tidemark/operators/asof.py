@@ -105,26 +105,31 @@ def time_blocks(rows: DataFrame, ts: str, blocks: int) -> Callable[[Column], Col
     return lambda x: F.get(F.lit(table), cell(x))
 
 
-def asof_segmented(probe: DataFrame, key: str | list[str], ts: str, streams: list[Stream], blocks: int = 200) -> DataFrame:
+def asof_segmented(probe: DataFrame, key: str | list[str], ts: str, streams: list[Stream], blocks: int = 200,
+                   forward: bool = False, strict: bool = True) -> DataFrame:
     """``asof_backward`` for keys of any size: a key's rows are split into blocks of time.
 
     A window runs per (key, block). What a block starts with comes from the blocks before it: their last
     values, one row per (key, block) from a map-side aggregation, are carried along a window of at most
     ``blocks`` rows per key, and join the block as a row that precedes it. A key with a third of all rows is
     thus spread over a third of ``blocks`` tasks' rows each. Inputs are read three times: pass staged tables.
-    Rows without a time have no block and find nothing.
+    Rows without a time have no block and find nothing. ``forward`` looks the other way, for the first values
+    after ``ts`` (at or after it when ``strict`` is false).
     """
     keys = [key] if isinstance(key, str) else key
     names = _names(keys)
     tagged, carried = _stacked(probe, keys, ts, streams)
     block = time_blocks(tagged, "_ts", blocks)
     rows = tagged.withColumn("_block", block(time_axis(tagged, "_ts")))
-    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_ts"))).alias(c) for c in carried]
-    earlier = Window.partitionBy(*names).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.where(F.col("_block").isNotNull()).groupBy(*names, "_block").agg(*last)
-    starts = ends.select(*names, "_block", F.lit(-1).alias("_side"), *[F.last(c, ignorenulls=True).over(earlier).alias(c) for c in carried])
-    w = (Window.partitionBy(*names, "_block").orderBy(F.col("_ts").asc_nulls_first(), "_side")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    nearest = F.min_by if forward else F.max_by
+    ends = rows.where(F.col("_block").isNotNull()).groupBy(*names, "_block").agg(
+        *[nearest(c, F.when(F.col(c).isNotNull(), F.col("_ts"))).alias(c) for c in carried])
+    passed = Window.partitionBy(*names).orderBy(F.col("_block").desc() if forward else F.col("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(*names, "_block", F.lit(-1).alias("_side"), *[F.last(c, ignorenulls=True).over(passed).alias(c) for c in carried])
+    time = F.col("_ts").desc_nulls_first() if forward else F.col("_ts").asc_nulls_first()
+    # Of one time, series come before probes unless a probe must not see them.
+    side = F.when(F.col("_side") < 0, -1).otherwise(1 - F.col("_side")) if forward and strict else F.col("_side")
+    w = Window.partitionBy(*names, "_block").orderBy(time, side).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = rows.unionByName(starts, allowMissingColumns=True).select(
         "_side", "_probe", *[F.when(F.col("_block").isNotNull(), F.last(c, ignorenulls=True).over(w)).alias(c) for c in carried])
     return seen.where(F.col("_side") == 1).select("_probe.*", *carried)
