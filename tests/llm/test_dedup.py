@@ -137,6 +137,22 @@ def test_near_odd_rows(odd_docs):
     assert {r.doc_id for r in kept.collect()} == {1, 3, 4, 5, 7, 8, 10, None} and kept.count() == 8
 
 
+def test_near_repeated_rows_are_compared_once(docs_of, monkeypatch):
+    sizes, stage = {}, bagminhash.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(bagminhash, "stage", counted)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(1, " ".join(base))] * 300 + [(2, " ".join([*base[:-1], "other"]))] * 300 + [(None, " ".join([*base, "more"]))] * 50
+    got = bagminhash.classes(docs_of(rows)).select("doc_id", "class_id", "class_size").distinct().collect()
+    assert sorted(got, key=str) == sorted([(1, 1, 650), (2, 1, 650), (None, 1, 650)], key=str)
+    assert sizes["texts"] == [3] and max(n for name, own in sizes.items() if name != "signatures" for n in own) <= 36 * 3
+
+
 def test_near_empty_table(docs_of):
     assert bagminhash.classes(docs_of([])).count() == 0
 

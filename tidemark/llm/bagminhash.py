@@ -292,7 +292,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     # one text per entity that met another: by id and digest, so that repeated ids with other texts don't match
     texts = rows.select(F.col("id").alias("first_id"), "key", "text").join(sketches.select("first_id", "key", "eid"), ["first_id", "key"])
     nulls = rows.where(F.col("id").isNull()).join(sketches.where(F.col("first_id").isNull()).select("key", "eid"), "key")
-    texts = stage(texts.select("eid", "text").union(nulls.select("eid", "text")), "texts")
+    # A row may be there many times: its text counts once, or a pair of such rows would be compared once per pair of copies.
+    texts = stage(texts.select("eid", "text").union(nulls.select("eid", "text")).dropDuplicates(["eid"]), "texts")
 
     # first round: every entity with the smallest one of each of its buckets
     links = _verified(met.where("eid <> least").select(F.col("eid").alias("a"), F.col("least").alias("b")).distinct(), sketches, texts)
