@@ -172,10 +172,12 @@ def returns(w):
 
 
 def sims(w):
-    return bootstrap.simulate(stage(returns(w), "returns"))
+    return bootstrap.simulate(stage(returns(w), "returns"), 1000)
 
 
 query("q15_bootstrap", "sim! final_value:0 cagr:6 max_drawdown:6 sharpe:5 win_rate:6", "SELECT * FROM simstats")(sims)
+query("q15_bootstrap_full", "sim! final_value:0 cagr:6 max_drawdown:6 sharpe:5 win_rate:6", "SELECT * FROM simstats_full")(
+    lambda w: bootstrap.simulate(stage(returns(w), "returns")))
 
 
 @query("s12_sim_stats_write", "sim! final_value:0 max_drawdown:6", "SELECT * FROM simstats")

@@ -416,7 +416,7 @@ CTE["idx"] = """SELECT return_dec, row_number() OVER (ORDER BY year(entry_date)
   count(*) OVER () AS n FROM rtrades"""
 CTE["sims"] = """SELECT sim, draw, return_dec FROM (
   SELECT s.sim, d.draw, CAST('0x' || substr(md5(s.sim || '-' || d.draw || '-42'), 1, 8) AS BIGINT) % d.n AS idx
-  FROM (SELECT unnest(range(10000)) AS sim) s, (SELECT idx AS draw, n FROM idx) d) JOIN idx USING (idx)"""
+  FROM (SELECT unnest(range(1000)) AS sim) s, (SELECT idx AS draw, n FROM idx) d) JOIN idx USING (idx)"""
 CTE["simstats"] = """SELECT sim, growth * 1000000.0::DOUBLE AS final_value, pow(growth, 0.2::DOUBLE) - 1 AS cagr, max_dd AS max_drawdown,
   CASE WHEN sd > 0 THEN mu / sd * sqrt(n / 5.0::DOUBLE) ELSE 0 END AS sharpe, win_rate FROM (
   SELECT sim, count(*) AS n, avg(CAST(return_dec > 0 AS DOUBLE)) AS win_rate, avg(return_dec * 0.1::DOUBLE) AS mu,
@@ -425,6 +425,10 @@ CTE["simstats"] = """SELECT sim, growth * 1000000.0::DOUBLE AS final_value, pow(
     SELECT *, product(1 + 0.1::DOUBLE * return_dec) OVER (PARTITION BY sim ORDER BY draw ROWS UNBOUNDED PRECEDING) AS e FROM sims))
   GROUP BY 1)"""
 
+# The full number of simulations.
+CTE["sims_full"] = CTE["sims"].replace("range(1000)", "range(10000)")
+CTE["simstats_full"] = CTE["simstats"].replace("FROM sims)", "FROM sims_full)")
+
 # ---- curves, snapshots ----------------------------------------------------
 CTE["basketc"] = """SELECT date, avg(close) AS close FROM bars GROUP BY 1"""
 CTE["curve"] = """SELECT 'benchmark' AS scenario, date, close / first_value(close) OVER (ORDER BY date) * 1000000 AS value FROM bench

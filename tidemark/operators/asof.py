@@ -150,10 +150,12 @@ def asof_forward(probe: DataFrame, series: DataFrame, key: str | list[str], ts:
                           F.lit(True).alias("_keep"), F.struct(*probe.columns).alias("_probe"))
     part = series.select(*_named(keys), F.col(series_ts).alias("_ts"), F.lit(0 if strict else 1).alias("_side"),
                          F.lit(False).alias("_keep"), col)
-    w = (Window.partitionBy(*_names(keys)).orderBy("_ts", "_side")
-         .rowsBetween(1, Window.unboundedFollowing))
+    # Backwards in time the frame grows, which Spark updates row by row; a frame that
+    # shrinks towards the end it would aggregate anew for each row.
+    w = (Window.partitionBy(*_names(keys)).orderBy(F.col("_ts").desc(), F.col("_side").desc())
+         .rowsBetween(Window.unboundedPreceding, -1))
     return (tagged.unionByName(part, allowMissingColumns=True)
-            .select("_keep", "_probe", F.first(col, ignorenulls=True).over(w).alias(col))
+            .select("_keep", "_probe", F.last(col, ignorenulls=True).over(w).alias(col))
             .where("_keep").select("_probe.*", col))
 
 

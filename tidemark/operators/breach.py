@@ -88,13 +88,15 @@ def stop_days(pairs: DataFrame, bars: DataFrame, cfg: Settings = DEFAULT) -> Dat
     """``trailing_date``, ``atr_date``, ``peak_close`` and ``last_bar`` of each (ticker, entry_date[, until]) of ``pairs``.
 
     ``bars`` carry ``atr``. Entries without a bar on or after their day (and up to ``until``) have no row.
+    The blocked bars are stored by ticker once, as three steps read them.
     """
     from tidemark.operators.asof import asof_forward
+    from tidemark.sources.sinks import store
 
     keys = ["ticker", "entry_date"]
     if "until" not in pairs.columns:
         pairs = pairs.withColumn("until", F.lit(None).cast("date"))
-    rows = blocked(bars, cfg)
+    rows = store(blocked(bars, cfg), "blocks", placed=True)
     own = rows.withColumn("own", F.struct("block", "peak_on"))
     placed = asof_forward(pairs, own, "ticker", "entry_date", "own", strict=False).where(F.col("own").isNotNull())
     found = placed.join(summaries(rows, cfg), "ticker").withColumn("found", _opened(cfg))

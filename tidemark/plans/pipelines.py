@@ -32,13 +32,13 @@ class Inputs:
     cfg: Settings = DEFAULT
     stage: Callable[[DataFrame, str], DataFrame] = stage
 
-    def by_ticker(self, df: DataFrame, name: str, order: str = "date") -> DataFrame:
+    def by_ticker(self, df: DataFrame, name: str, order: str = "date", placed: bool = False) -> DataFrame:
         """Stages a table that plans read by ticker, in buckets of it."""
-        return store(df, name, "ticker", order) if self.stage is stage else self.stage(df, name)
+        return store(df, name, "ticker", order, placed) if self.stage is stage else self.stage(df, name)
 
     @cached_property
     def features(self) -> DataFrame:
-        return self.by_ticker(prices.price_features(self.bars, self.cfg), "features")
+        return self.by_ticker(prices.price_features(self.bars, self.cfg), "features", placed=True)
 
     @cached_property
     def periods(self) -> DataFrame:

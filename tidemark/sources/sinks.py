@@ -60,18 +60,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def store(df: DataFrame, name: str, key: str = "ticker", order: str = "date") -> DataFrame:
+def store(df: DataFrame, name: str, key: str = "ticker", order: str = "date", placed: bool = False) -> DataFrame:
     """Writes a table that many plans read by ``key`` in buckets of that key, sorted.
 
     Windows, groupings and as-of passes by the key then start from the scan, without
     a shuffle of the stored side; there are as many buckets as shuffle partitions, so
     that fresh results meet them as they come. One task writes one bucket: one file
     each. The files lie in the shared folder; the catalog only holds the bucketing.
+    ``placed`` says that all rows of a key are in one task already, as after a window
+    by it, and spares the shuffle.
     """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     label = f"tidemark_{re.sub('[^a-z]', '_', name)}_{uuid.uuid4().hex}"
-    (df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(*dict.fromkeys((key, order)))
+    rows = df if placed else df.repartition(buckets, key)
+    (rows.write.format("parquet").bucketBy(buckets, key).sortBy(*dict.fromkeys((key, order)))
      .option("path", new_path(spark, f"store-{name}")).saveAsTable(label))
     return spark.table(label)
 
