@@ -115,6 +115,28 @@ def test_folded_and_joined_blocks_agree(spark, log, monkeypatch):
     assert bootstrap.simulate(n.limit(0), 5).count() == 0
 
 
+def test_hashes_of_a_block_are_those_of_its_texts():
+    for sim, low, high, seed in ((0, 0, 1100, 42), (987, 99_990, 100_010, 42), (9_999, 5_600_000, 5_600_100, 7), (10**18, 15_999_990, 16_000_000, 42)):
+        want = [int(hashlib.md5(f"{sim}-{d}-{seed}".encode()).hexdigest()[:8], 16) for d in range(low, high + 1)]
+        assert bootstrap._hashes(seed)(sim, low, high).tolist() == want
+
+
+def test_lists_too_long_to_broadcast_are_folded_without_a_row_per_draw(spark, monkeypatch):
+    n = spark.range(3000).selectExpr("id AS idx", "(id % 700 - 340) / 1000 AS return_dec").cache()
+    monkeypatch.setattr(bootstrap, "CHUNK_DRAWS", 512)
+    monkeypatch.setattr(bootstrap, "BROADCAST_TRADES", 10)
+    monkeypatch.setattr(bootstrap, "LISTED_TRADES", 10)
+    joined = bootstrap.simulate(n, 4).orderBy("sim").toPandas()
+    monkeypatch.setattr(bootstrap, "LISTED_TRADES", 3000)
+    monkeypatch.setattr(bootstrap, "PIECE_TRADES", 700)
+    monkeypatch.setattr(bootstrap, "TASK_DRAWS", 4000)  # several groups
+
+    def no_rows(*a):
+        raise AssertionError("a row per draw")
+    monkeypatch.setattr(bootstrap, "draws", no_rows)
+    pd.testing.assert_frame_equal(joined, bootstrap.simulate(n, 4).orderBy("sim").toPandas(), rtol=1e-9)
+
+
 def test_chosen_paths_are_drawn_again_alone(spark, log):
     pdf, df = log
     n = bootstrap.numbered(df, ["entry_date", "ticker"]).select("idx", "return_dec").cache()

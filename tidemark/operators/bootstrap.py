@@ -2,13 +2,16 @@
 
 The trade number of every draw comes from an md5 of (simulation, draw, seed), made on
 the executors, so results do not depend on parallelism. Blocks of draws are folded to
-summaries over the trade list as an array; with a list too long for that, draws are
-rows that meet the trades by an equi-join. Neither a path nor the trade list passes
-through the driver.
+summaries, by groups of blocks that each meet the trade list, a copy of it per group;
+with a list too long for a task, draws are rows that meet the trades by an equi-join.
+Neither a path nor the trade list passes through the driver.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +19,11 @@ from tidemark.config import DEFAULT, Settings
 from tidemark.operators.compound import chunk_summaries, combine_chunks, compound_curve, moments, pooled
 from tidemark.operators.ranks import histogram, nearest_to_percentile, percentiles
 
-CHUNK_DRAWS = 4096
-#: Draws per task, about; longest trade list that is broadcast (its size is counted first).
+CHUNK_DRAWS = 16_384
+#: Draws per task, about; longest trade list that is broadcast to draws (its size is counted first).
 TASK_DRAWS, BROADCAST_TRADES = 2_000_000, 100_000
+#: Longest trade list that a task holds (128 MB), trades per piece in which it travels, most copies of it.
+LISTED_TRADES, PIECE_TRADES, MOST_GROUPS = 16_000_000, 65_536, 96
 
 
 def numbered(trades: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,27 +76,109 @@ def draws(returns: DataFrame, sims: DataFrame | int, seed: int = 42) -> DataFram
     return rows.select("sim", "block", "draw", idx.alias("idx")).join(listed, "idx")
 
 
+def _hashes(seed: int) -> Callable:
+    """Function of (sim, first draw, last draw): the first 32 bits of md5("sim-draw-seed") of all these draws at
+    once, a numpy operation per step of MD5. Texts have one block of 55 bytes at most: 64-bit numbers and a seed of
+    14 digits. Like everything a task calls here it is sent by value; executors need no copy of this package."""
+    start = 0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476
+    add = [int(abs(math.sin(k + 1)) * 2 ** 32) for k in range(64)]
+    turn = (7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)
+    place = [(k, 5 * k + 1, 3 * k + 5, 7 * k)[k // 16] % 16 for k in range(64)]
+
+    def digest(words: list, n: int):
+        import numpy as np
+
+        a, b, c, d = (np.full(n, x, np.uint32) for x in start)
+        f, g = np.empty(n, np.uint32), np.empty(n, np.uint32)
+        for k in range(64):
+            if k < 16:
+                np.bitwise_xor(c, d, out=f)
+                f &= b
+                f ^= d
+            elif k < 32:
+                np.bitwise_xor(b, c, out=f)
+                f &= d
+                f ^= c
+            elif k < 48:
+                np.bitwise_xor(b, c, out=f)
+                f ^= d
+            else:
+                np.invert(d, out=f)
+                f |= b
+                f ^= c
+            a += f
+            a += words[place[k]]
+            a += np.uint32(add[k])
+            left = turn[k // 16][k % 4]
+            np.left_shift(a, np.uint32(left), out=g)
+            a >>= np.uint32(32 - left)
+            a |= g
+            a += b
+            a, d, c, b = d, c, b, a
+        return (a + np.uint32(start[0])).byteswap()
+
+    def hashes(sim: int, low: int, high: int):
+        import numpy as np
+
+        out = []
+        while low <= high:  # one stretch per number of digits: the draws' texts differ in their digits alone
+            digits = len(str(low))
+            last = min(high, 10 ** digits - 1)
+            head, tail = f"{sim}-".encode(), f"-{seed}".encode() + b"\x80"
+            length = len(head) + digits + len(tail) - 1
+            block = (head + bytes(digits) + tail).ljust(56, b"\0") + (8 * length).to_bytes(8, "little")
+            words = [np.uint32(int.from_bytes(block[k:k + 4], "little")) for k in range(0, 64, 4)]
+            rest = np.arange(low, last + 1, dtype=np.uint32)
+            for at in reversed(range(len(head), len(head) + digits)):
+                more = rest // np.uint32(10)
+                words[at // 4] = words[at // 4] + ((rest - more * np.uint32(10) + np.uint32(48)) << np.uint32(8 * (at % 4)))
+                rest = more
+            out.append(digest(words, last + 1 - low))
+            low = last + 1
+        return np.concatenate(out)
+
+    return hashes
+
+
+FOLDED = "sim long, block long, _prod double, _hi double, _lo double, _worst double, r_n long, r_sum double, r_sq double, r_min double, r_max double, won long"
+
+
+def _fold(size: float, seed: int) -> Callable:
+    """Function of (a group's blocks, the trade list in pieces): a summary per block. NaN counts as the largest
+    number, as in Spark's own extremes."""
+    hashes, names, kinds = _hashes(seed), *zip(*(c.split() for c in FOLDED.split(", ")))
+
+    def fold(blocks, pieces):
+        import numpy as np
+        import pyarrow as pa
+
+        ordered = pieces.sort_by("piece").column("rs").combine_chunks()
+        returns = ordered.flatten().to_numpy(zero_copy_only=False)
+        out = []
+        for sim, block, low, high in zip(*(blocks.column(c).to_pylist() for c in ("sim", "block", "_low", "_high"))):
+            r = returns[hashes(sim, low, high) % np.uint32(len(returns))]
+            x = r * size
+            p = np.cumprod(1 + x)
+            hi = np.maximum.accumulate(p)
+            out.append((sim, block, p[-1], hi[-1], np.fmin.reduce(p), np.fmin.reduce(p / hi), len(r), x.sum(), (x * x).sum(),
+                        np.fmin.reduce(x), x.max(), int(np.count_nonzero((r > 0) | np.isnan(r)))))
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * len(names), (pa.int64() if k == "long" else pa.float64() for k in kinds))], names=list(names))
+
+    return fold
+
+
 def _folded_blocks(returns: DataFrame, sims: DataFrame, n: int, seed: int, size: float) -> DataFrame:
-    """Summary of each block of draws by one fold over its numbers: no row per draw, no join, no sort. The
-    trade list (``BROADCAST_TRADES`` at most) travels as one array."""
-    listed = returns.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "return_dec"))), lambda x: x["return_dec"])).scalar()
-    rows = _blocks(sims, n).withColumn("_list", listed)
-    taken = F.transform(F.sequence("_low", "_high"), lambda d: F.get("_list", _number(F.col("sim"), d, seed, F.col("_n")).cast("int")))
-    zero, inf = F.lit(0.0), F.lit(float("inf"))
-    start = F.struct(F.lit(1.0).alias("p"), (-inf).alias("hi"), inf.alias("lo"), inf.alias("worst"), zero.alias("sum"), zero.alias("sq"),
-                     inf.alias("min"), (-inf).alias("max"), F.lit(0).cast("bigint").alias("won"))
-
-    def step(s: Column, r: Column) -> Column:
-        p, x = s["p"] * (1 + size * r), r * size
-        hi = F.greatest(s["hi"], p)
-        return F.struct(p.alias("p"), hi.alias("hi"), F.least(s["lo"], p).alias("lo"), F.least(s["worst"], p / hi).alias("worst"),
-                        (s["sum"] + x).alias("sum"), (s["sq"] + x * x).alias("sq"), F.least(s["min"], x).alias("min"),
-                        F.greatest(s["max"], x).alias("max"), (s["won"] + (r > 0).cast("bigint")).alias("won"))
-
-    f = rows.select("sim", "block", "_low", "_high", F.aggregate(taken, start, step).alias("f"))
-    return f.select("sim", "block", F.col("f.p").alias("_prod"), F.col("f.hi").alias("_hi"), F.col("f.lo").alias("_lo"), F.col("f.worst").alias("_worst"),
-                    (F.col("_high") - F.col("_low") + 1).alias("r_n"), F.col("f.sum").alias("r_sum"), F.col("f.sq").alias("r_sq"),
-                    F.col("f.min").alias("r_min"), F.col("f.max").alias("r_max"), F.col("f.won").alias("won"))
+    """Summary of each block of draws by one fold over its numbers: no row per draw, no join, no sort. Blocks are
+    spread over groups; the trade list (``LISTED_TRADES`` at most) goes to each of them in pieces, so what is shuffled
+    grows with the list and not with the draws."""
+    rows = _blocks(sims, n)
+    groups = min(MOST_GROUPS, max(1, -(-sims.count() * n // TASK_DRAWS)))
+    piece = (returns.groupBy(F.floor(F.col("idx") / PIECE_TRADES).cast("long").alias("piece"))
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "return_dec"))), lambda x: x["return_dec"]).alias("rs")))
+    # As many partitions as groups, by number: adaptive execution would coalesce the few block rows into one task.
+    copies = piece.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(groups, "g")
+    placed = rows.withColumn("g", F.pmod(F.xxhash64("sim", "block"), F.lit(groups)).cast("int")).repartition(groups, "g")
+    return placed.select("g", "sim", "block", "_low", "_high").groupBy("g").cogroup(copies.groupBy("g")).applyInArrow(_fold(size, seed), FOLDED)
 
 
 def _joined_blocks(returns: DataFrame, sims: DataFrame, seed: int, size: float) -> DataFrame:
@@ -106,7 +193,7 @@ def simulate(returns: DataFrame, sims: int | None = None, years: float = 5.0, se
     """Final value, CAGR, drawdown, Sharpe ratio and win rate per simulation."""
     size, n = cfg.position_size, returns.count()
     numbers = returns.sparkSession.range(cfg.simulations if sims is None else sims).withColumnRenamed("id", "sim")
-    blocks = _folded_blocks(returns, numbers, n, seed, size) if n <= BROADCAST_TRADES else _joined_blocks(returns, numbers, seed, size)
+    blocks = _folded_blocks(returns, numbers, n, seed, size) if n <= LISTED_TRADES else _joined_blocks(returns, numbers, seed, size)
     path = combine_chunks(blocks, ["sim"], ["block"], F.sum("r_n").alias("r_n"), F.sum("r_sum").alias("r_sum"), F.sum("r_sq").alias("r_sq"),
                           F.min("r_min").alias("r_min"), F.max("r_max").alias("r_max"), F.sum("won").alias("_won"))
     mean, sd = pooled("r")
