@@ -67,7 +67,8 @@ class Workspace:
 
     @cached_property
     def trades(self) -> DataFrame:
-        return stage(self.panel.trades(), "trades")
+        """Made anew from the stored bars by each use: one window on their scan costs less than a table of its own."""
+        return self.panel.trades(self.bars)
 
     @cached_property
     def entries(self) -> DataFrame:

@@ -34,15 +34,16 @@ class Panel:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     def bars(self) -> DataFrame:
-        """Daily OHLCV per supplier. Grouping combines map-side, so a supplier
-        with a third of all lines reaches the reducer as one row per day."""
-        li = self.table("lineitem").select(
-            F.col("l_suppkey").alias("ticker"), F.col("l_shipdate").cast("date").alias("date"),
-            unit_price().alias("px"), F.struct(*SEQ).alias("seq"),
-            F.col("l_quantity").alias("qty"), "l_returnflag", "l_linestatus")
+        """Daily OHLCV per supplier. Lines travel raw, spread by supplier and day, so a supplier with a third
+        of all lines is on all reducers. Combining first would save nothing, as suppliers have about one line a
+        day, and would sort all lines (ties are told by structs) in a few large map tasks, which spill."""
+        raw = self.table("lineitem").select(
+            F.col("l_suppkey").alias("ticker"), F.col("l_shipdate").cast("date").alias("date"), *SEQ,
+            "l_quantity", "l_returnflag", "l_linestatus").repartition("ticker", "date")
+        li = raw.withColumns({"px": unit_price(), "seq": F.struct(*SEQ)})
         return li.groupBy("ticker", "date").agg(
             F.min_by("px", "seq").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
-            F.max_by("px", "seq").alias("close"), F.sum("qty").alias("volume"),
+            F.max_by("px", "seq").alias("close"), F.sum("l_quantity").alias("volume"),
             F.max("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
 
     def benchmark(self) -> DataFrame:
@@ -114,11 +115,12 @@ class Panel:
         from tidemark.operators.statements import to_long
         return to_long(self.statements_wide())
 
-    def trades(self) -> DataFrame:
-        """Entry and exit on consecutive bars of a supplier, moves damped to one tenth."""
+    def trades(self, bars: DataFrame | None = None) -> DataFrame:
+        """Entry and exit on consecutive bars of a supplier, moves damped to one tenth. With bars stored by
+        ticker this is a window on the scan, without a shuffle."""
         w = Window.partitionBy("ticker").orderBy("date")
         nxt, x = F.lead("close").over(w), F.col("close")
-        b = self.bars().select(
+        b = (self.bars() if bars is None else bars).select(
             "ticker", F.when(F.col("flag") == "R", "crash").otherwise("qvm").alias("tier"),
             F.col("date").alias("entry_date"), x.alias("entry_price"),
             F.lead("date").over(w).alias("exit_date"), ((nxt - x) / (nxt + x) * 0.1).alias("r"),
