@@ -2,7 +2,7 @@
 
 All features are window columns over one hash partitioning by ticker, so a
 whole feature set costs a single shuffle. The panel has one row per ticker and
-day (sources aggregate to that grain with map-side combine), which bounds each
+day (sources aggregate to that grain), which bounds each
 window partition by the number of calendar days.
 """
 

@@ -19,6 +19,8 @@ from __future__ import annotations
 import json
 import warnings
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -82,6 +84,10 @@ def _features(before: np.ndarray, new: np.ndarray, cfg: Settings) -> dict[str, n
             "ret_12_1": share(lag(cfg.month_rows), lag(year)) - 1, "ret_6m": share(new, lag(cfg.half_year_rows)) - 1}
 
 
+def _known(x) -> bool:
+    return x is not None and x == x
+
+
 def _none(x: float) -> float | None:
     return None if x is None or x != x else float(x)
 
@@ -101,8 +107,11 @@ def step(cfg: Settings, since):
         new, out = bars.close.to_numpy(float), []
         fast, slow = 2.0 / 51, 2.0 / 201
         last = closes[-1] if closes else None
-        for date, some in events.groupby("date", sort=True):
-            k = at.get(date)
+        # Plain values, taken out once: pandas would spend most of the time on selecting the few rows of each day.
+        dated = events[events.date.notna()]
+        rows = zip(*(dated[c].tolist() for c in ("date", "slot", "state", "freq", "sales", "shares")))
+        for date, some in groupby(rows, key=itemgetter(0)):
+            some, k = list(some), at.get(date)
             if k is not None:  # the day's close is known before its publications
                 x = float(new[k])
                 ema50, ema200 = (x, x) if n == 0 else (fast * x + (1 - fast) * ema50, slow * x + (1 - slow) * ema200)
@@ -111,13 +120,14 @@ def step(cfg: Settings, since):
                 if all(f[c] == f[c] for c in ("high", "zscore", "ret_12_1", "ret_6m")):
                     row = [x, f["high"], f["zscore"], ema50, f["ret_12_1"], f["mean"], f["sd"]]
                 ret6 = ret6 if f["ret_6m"] != f["ret_6m"] else f["ret_6m"]
-            for e in some[some.slot.notna()].itertuples():
-                slots[STATE_COLS.index(e.slot)] = e.state
-            for e in some[some.sales.notna()].itertuples():
-                if last is not None and e.shares == e.shares:
+            for _, slot, filed, _, _, _ in some:
+                if _known(slot):
+                    slots[STATE_COLS.index(slot)] = filed
+            for _, _, _, freq, sales, shares in some:
+                if _known(sales) and last is not None and _known(shares):
                     p_days.append((date - pd.Timestamp("1970-01-01").date()).days)
-                    p_freqs.append(e.freq)
-                    points.append(last * e.shares / e.sales)
+                    p_freqs.append(freq)
+                    points.append(last * shares / sales)
             if k is not None and n >= cfg.min_history and (since is None or date >= since):
                 begin = (date - pd.Timestamp("1970-01-01").date()).days - cfg.ps_history_days
                 seen = {f"ps_{q[0]}": [{"d": str(pd.Timestamp(d, unit="D").date()), "v": v} for d, g, v in zip(p_days, p_freqs, points) if g == q and d >= begin]
