@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import pickle
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -88,6 +91,25 @@ def test_ids_are_those_of_tiktoken_and_decode(docs_of, odd_docs, monkeypatch):
     assert bpe.report(docs_of([]), ranks).count() == 0
 
 
+def test_dictionary_is_small_in_a_worker():
+    ranks, n = bpe.Ranks.__new__(bpe.Ranks), 100_000
+    ranks.pattern, ranks.ranks = public_tokenizers.PATTERN, {bytes([k]): k for k in range(256)}
+    words = [f" word{k}é" for k in range(n)]
+    packed = pickle.dumps(bpe.Assembler(ranks, pa.array([bpe.latin(w.encode()) for w in words]), pa.array([np.array([k, k + 1], "<u4").tobytes() for k in range(n)], pa.binary())))
+    tracemalloc.start()
+    try:
+        found = pickle.loads(packed).places([[words[7], "new", words[n - 1], "new", "x" * 70], [], ["other", words[7]]])
+        assert tracemalloc.get_traced_memory()[1] < 80 * n  # Python objects for words and ids take about three times that
+    finally:
+        tracemalloc.stop()
+    own = bpe._PLACE
+    assert [np.frombuffer(x, "<u4").tolist() for x in found[0]] == [[7, 8, own, n - 1, n, own, *[120] * 70], [], [own, 7, 8]]
+    assert found[1] == [["new"], [], ["other"]]
+    pieces = bpe.Pieces(ranks)
+    ids = pieces.filled([np.array(x, "<u4").tobytes() for x in ([97, own + 1, 98, own, own + 1], [], [own])], [[[99], [100, 101]], [], [[102, 103, 104]]])
+    assert [x.tolist() for x in ids] == [[97, 100, 101, 98, 99, 100, 101], [], [102, 103, 104]] and pieces.decode(ids) == [b"adebcde", b"", b"fgh"]
+
+
 def test_long_words_merge_like_folded_ones(spark):
     ranks = public_ranks()
     words = ["th", "a", "ouwhreble", "xyzzyxyzzyaaa", "éèéèéè", "<<<>>>"]

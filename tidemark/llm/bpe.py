@@ -20,12 +20,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import json
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ _NONE, _PLACE = 1 << 24, 1 << 31
 _LONG_BITS = LONG.bit_length() - 1
 #: Distinct words that a task counts before it passes the counts on.
 _COUNTERS = 300_000
+#: Bytes of texts or ids in a batch and of those put together at once; ids that are decoded at once.
+_BATCH, _PART, _AT_ONCE = 1_000_000, 250_000, 1 << 14
 
 
 class Ranks:
@@ -50,14 +54,6 @@ class Ranks:
         self.pattern = pattern
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.pieces = {r: p for p, r in self.ranks.items()}
-
-    def __getstate__(self):
-        return {"pattern": self.pattern, "ranks": self.ranks}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.pieces = {r: p for p, r in self.ranks.items()}
 
     def literals(self) -> tuple[Column, Column, Column]:
         """The rank map as constants: ids of the 256 bytes, and a hash table of the pairs of pieces that make a piece.
@@ -190,47 +186,133 @@ def frequent(counts: DataFrame, most: int = DICTIONARY) -> DataFrame:
     return counts.where(F.lit(False) if least is None else F.col("n") >= least)
 
 
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places ``start, start + 1, ...`` of each run of a length, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each string of an Arrow array starts and, at last, ends, and the bytes of all."""
+    if not len(column):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    _, ends, data = column.buffers()
+    return np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64), np.frombuffer(data or b"", np.uint8)
+
+
 class Assembler:
-    """Puts documents' ids together from the dictionary; words that are not in it leave a marked place."""
+    """Puts documents' ids together from the dictionary; words that are not in it leave a marked place.
+
+    The dictionary is flat arrays, sorted by a 64-bit hash of the word: some 40 bytes a word in every worker instead of
+    Python objects of five times that. Bytes are compared too; of words with one hash, one is in it and the others are
+    folded beside their documents.
+    """
 
     def __init__(self, ranks: Ranks, words: pa.Array, ids: pa.Array) -> None:
-        self.ranks, self._packed, self._known = ranks, (words, ids), None
-
-    def __getstate__(self):
-        return {"ranks": self.ranks, "_packed": self._packed, "_known": None}
-
-    @property
-    def dictionary(self) -> dict[str, bytes]:
-        if self._known is None:
-            words, ids = self._packed
-            self._known = {w.encode("latin-1").decode(): x for w, x in zip(words.to_pylist(), ids.to_pylist())}
-        return self._known
-
-    def places(self, words: list[str]) -> tuple[bytes, list[str]]:
-        """Little-endian ids in word order, and the words that the ids from ``_PLACE`` on stand for."""
-        known, own, parts, n = self.dictionary, {}, [], 0
-        for w in words:
-            x = known.get(w)
+        self.ranks = ranks
+        self.factors = np.random.default_rng(50).integers(0, 1 << 63, LONG, np.uint64) * np.uint64(2) + np.uint64(1)
+        at, data = _strings(words)
+        text = data[at[0] : at[-1]].tobytes().decode()  # in the form of ``latin``
+        raw, sizes = np.frombuffer(text.encode("latin-1"), np.uint8), pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        self.hashes, order = np.unique(self._hashes(starts, sizes, raw), return_index=True)
+        self.sizes, self.starts = sizes[order].astype(np.int32), (np.cumsum(sizes[order]) - sizes[order]).astype(np.int32)
+        self.words = raw[_spread(starts[order], sizes[order])]
+        at, data = _strings(ids)
+        n_ids = np.diff(at)[order] // 4
+        self.n_ids, self.first_id = n_ids.astype(np.int32), (np.cumsum(n_ids) - n_ids).astype(np.int32)
+        self.ids = np.append(np.frombuffer(data[at[0] : at[-1]].tobytes(), "<u4")[_spread((at[:-1][order] - at[0]) // 4, n_ids)], np.uint32(0))
+
+    def _hashes(self, starts: np.ndarray, sizes: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """Of the first ``LONG`` bytes of each word; no word is empty."""
+        if not len(sizes):
+            return np.zeros(0, np.uint64)
+        sizes = np.minimum(sizes, LONG)
+        first = np.cumsum(sizes) - sizes
+        terms = (raw[_spread(starts, sizes)].astype(np.uint64) + np.uint64(1)) * self.factors[_spread(np.zeros_like(sizes), sizes)]
+        return np.add.reduceat(terms, first)
+
+    def known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """First place in ``ids`` and number of ids of each word; no ids if it is not in the dictionary."""
+        at, raw = _strings(words)
+        starts, sizes = at[:-1], np.diff(at)
+        first, n = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        if len(sizes) and len(self.hashes):
+            h = self._hashes(starts, sizes, raw)
+            slot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = np.flatnonzero((self.hashes[slot] == h) & (self.sizes[slot] == sizes))
+            if len(hit):
+                slot, sizes = slot[hit], sizes[hit]
+                differ = raw[_spread(starts[hit], sizes)] != self.words[_spread(self.starts[slot].astype(np.int64), sizes)]
+                same = ~np.logical_or.reduceat(differ, np.cumsum(sizes) - sizes)
+                first[hit[same]], n[hit[same]] = self.first_id[slot[same]], self.n_ids[slot[same]]
+        return first, n
+
+    def places(self, documents: list[list[str]]) -> tuple[list[bytes], list[list[str]]]:
+        """For documents as lists of words: little-endian ids in word order, and the words that the ids from ``_PLACE`` on stand for."""
+        counts, rare = np.array([len(d) for d in documents], np.int64), [[] for _ in documents]
+        coded = pa.array(itertools.chain.from_iterable(documents), pa.string()).dictionary_encode()
+        code, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        first, n = (x[code] for x in self.known(distinct))
+        missing, added, sizes, own, at = np.flatnonzero(n == 0), [], [], {}, -1
+        for k, doc in zip(missing.tolist(), np.searchsorted(np.cumsum(counts), missing, side="right").tolist()):
+            if doc != at:
+                own, at = {}, doc  # places are numbered within a document
+            w = distinct[code[k]].as_py()
+            x = own.get(w)
             if x is None:
-                x = own.get(w)
-                if x is None:
-                    raw = w.encode()
-                    x = merge_long(raw, self.ranks.ranks) if len(raw) > LONG else [_PLACE + n]
-                    n += len(raw) <= LONG
-                    own[w] = x
-                x = np.array(x, "<u4").tobytes()
-            parts.append(x)
-        return b"".join(parts), [latin(w.encode()) for w, x in own.items() if x[0] >= _PLACE]
-
-    def filled(self, ids: bytes, own: list[list[int]]) -> np.ndarray:
-        got, parts, end = np.frombuffer(ids, "<u4"), [], 0
-        for k in np.flatnonzero(got >= _PLACE):
-            parts += [got[end:k], np.array(own[got[k] - _PLACE], "<u4")]
-            end = k + 1
-        return np.concatenate([*parts, got[end:]]) if parts else got
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.ranks.pieces.__getitem__, ids.tolist()))
+                raw = w.encode()
+                if len(raw) > LONG:
+                    x = merge_long(raw, self.ranks.ranks)
+                else:
+                    x = [_PLACE + len(rare[doc])]
+                    rare[doc].append(latin(raw))
+                own[w] = x
+            added += x
+            sizes.append(len(x))
+        n[missing] = sizes
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = self.ids.take(_spread(first, n), mode="clip")
+        ids[_spread(ends[missing], n[missing])] = added
+        ends, ids = ends[np.concatenate(([0], np.cumsum(counts)))].tolist(), ids.astype("<u4", copy=False)
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])], rare
+
+
+class Pieces:
+    """Puts the ids of documents' own words where they belong and decodes ids: the pieces' bytes as one flat array."""
+
+    def __init__(self, ranks: Ranks) -> None:
+        piece = [b""] * (max(ranks.ranks.values(), default=-1) + 1)
+        for p, r in ranks.ranks.items():
+            piece[r] = p
+        self.bytes, self.sizes = np.frombuffer(b"".join(piece), np.uint8), np.array([len(x) for x in piece], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def filled(self, places: list[bytes], own: list[list[list[int]]]) -> list[np.ndarray]:
+        """Ids of documents, those of their own words put where they belong."""
+        got, counts = np.frombuffer(b"".join(places), "<u4"), np.array([len(x) // 4 for x in places], np.int64)
+        marks, n, ids = np.flatnonzero(got >= _PLACE), np.ones(len(got), np.int64), got
+        if len(marks):
+            lists = list(itertools.chain.from_iterable(own))
+            sizes = np.array([len(x) for x in lists], np.int64)
+            before = np.cumsum([0, *(len(x) for x in own)])
+            which = np.repeat(before[:-1], counts)[marks] + (got[marks] - np.uint32(_PLACE))
+            n[marks] = sizes[which]
+            start = np.cumsum(n) - n
+            ids = np.repeat(got, n)
+            ids[_spread(start[marks], n[marks])] = np.array(list(itertools.chain.from_iterable(lists)), "<u4")[_spread((np.cumsum(sizes) - sizes)[which], n[marks])]
+        ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
+
+    def decode(self, documents: list[np.ndarray]) -> list[bytes]:
+        ids = np.concatenate(documents) if documents else np.zeros(0, "<u4")
+        sizes, parts = self.sizes[ids], []
+        for k in range(0, len(ids), _AT_ONCE):
+            some = slice(k, k + _AT_ONCE)
+            parts.append(self.bytes[_spread(self.starts[ids[some]], sizes[some])].tobytes())
+        data, ends = b"".join(parts), np.concatenate(([0], np.cumsum(sizes)))
+        ends = ends[np.cumsum([0, *(len(x) for x in documents)])].tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def encode(docs: DataFrame, text: str, ranks: Ranks, keep: list[str] | None = None) -> DataFrame:
@@ -244,19 +326,27 @@ def encode(docs: DataFrame, text: str, ranks: Ranks, keep: list[str] | None = No
     ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int32) * 4
     packed = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
     sent, pattern = spark.sparkContext.broadcast(Assembler(ranks, words, packed)), ranks.pattern
+    pieces = spark.sparkContext.broadcast(Pieces(ranks))  # apart, as other workers fill than cut
 
     def cut(batch):
-        find = regex.compile(pattern).findall
-        got = [sent.value.places(find(t)) if t else (b"", []) for t in batch.column("text").to_pylist()]
-        return {"places": [g[0] for g in got], "rare": [g[1] for g in got]}
+        find, places, rare = regex.compile(pattern).findall, [], []
+        for part in bounded(batch, ["text"], _PART):
+            got = sent.value.places([find(t) if t else [] for t in part.column("text").to_pylist()])
+            places += got[0]
+            rare += got[1]
+        return {"places": places, "rare": rare}
 
     def fill(batch):
-        ids = [sent.value.filled(*x) for x in zip(batch.column("places").to_pylist(), batch.column("rare_ids").to_pylist())]
-        return {"ids": [x.tobytes() for x in ids], "decoded": [sent.value.decode(x) for x in ids]}
-
-    first = annotate(docs, {"text": F.col(text)}, cut, "places binary, rare array<string>", keep)
+        ids, decoded = [], []
+        for part in bounded(batch, ["places", "rare_ids"], _PART):
+            got = pieces.value.filled(part.column("places").to_pylist(), part.column("rare_ids").to_pylist())
+            ids += [x.tobytes() for x in got]
+            decoded += pieces.value.decode(got)
+        return {"ids": ids, "decoded": decoded}
+
+    first = annotate(docs, {"text": F.col(text)}, cut, "places binary, rare array<string>", keep, _BATCH)
     folded = first.select("row", "places", F.transform("rare", lambda w: encoded(w, literals)).alias("rare_ids"))
-    got = annotate(folded, {"places": F.col("places"), "rare_ids": F.col("rare_ids")}, fill, "ids binary, decoded binary")
+    got = annotate(folded, {"places": F.col("places"), "rare_ids": F.col("rare_ids")}, fill, "ids binary, decoded binary", most=_BATCH)
     return got.select(F.col("row.row").alias("row"), "ids", "decoded")
 
 

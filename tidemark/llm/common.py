@@ -80,12 +80,12 @@ def digest128(text: Column) -> Column:
 
 
 def annotate(docs: DataFrame, inputs: dict[str, Column], fn: Callable[[pa.RecordBatch], dict[str, Iterable]],
-             outputs: str, keep: list[str] | None = None) -> DataFrame:
+             outputs: str, keep: list[str] | None = None, most: int = 8_000_000) -> DataFrame:
     """Rows of ``docs`` as one struct ``row`` next to the columns that ``fn`` computes from ``inputs``.
 
     The row travels untouched inside the struct, so columns of any name or type survive and cannot
     clash with the outputs. ``outputs`` is a DDL list; ``fn`` gets batches that hold the inputs alone.
-    ``keep`` limits the row to some columns.
+    ``keep`` limits the row to some columns; ``most`` is how many bytes of inputs ``fn`` gets at once, about.
     """
     names = list(inputs)
     narrow = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), *[c.alias(f"in_{k}") for k, c in inputs.items()])
@@ -98,7 +98,7 @@ def annotate(docs: DataFrame, inputs: dict[str, Column], fn: Callable[[pa.Record
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = None
         for b in batches:
-            for part in bounded(b, [f"in_{k}" for k in names]):
+            for part in bounded(b, [f"in_{k}" for k in names], most):
                 given = pa.RecordBatch.from_arrays([part.column(f"in_{k}") for k in names], names=names)
                 out = fn(given)
                 types = types or arrow_types(added)

@@ -36,6 +36,8 @@ LIFT, CHANCE = 2.0, 0.01
 SIMILAR = 0.8
 THRESHOLD = 0.7
 _CACHE = 50_000
+#: Bytes of texts in a batch, whose words are Python objects.
+_BATCH = 1_000_000
 
 
 class NeighbourIndex:
@@ -194,9 +196,9 @@ def _without_copies(examples: DataFrame) -> DataFrame:
     return examples.join(F.broadcast(examples.sparkSession.createDataFrame(new, "at bigint")), "at", "left_semi")
 
 
-def _terms(docs: DataFrame, keep=None) -> DataFrame:
-    """``row`` and its distinct words with counts (of ``keep``, a broadcast set, if given); without ``keep`` also
-    shingles and near-copy keys."""
+def _terms(docs: DataFrame, keep=None, row: list[str] | None = None) -> DataFrame:
+    """``row`` (all columns, or those given) and its distinct words with counts (of ``keep``, a broadcast set, if given);
+    without ``keep`` also shingles and near-copy keys."""
 
     def fn(batch):
         out, keys, grams = [], [], []
@@ -208,7 +210,7 @@ def _terms(docs: DataFrame, keep=None) -> DataFrame:
             grams.append(None if g is None else g.tobytes())
         return {"terms": out, "keys": keys, "grams": grams}
 
-    return annotate(docs, {"text": F.col("text")}, fn, "terms array<struct<w:string,c:int>>, keys array<bigint>, grams binary")
+    return annotate(docs, {"text": F.col("text")}, fn, "terms array<struct<w:string,c:int>>, keys array<bigint>, grams binary", row, _BATCH)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -245,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
                     (r.id, r.y, {}) for r in terms.select("id", "y").collect()]
     terms.unpersist()
     df.unpersist()
-    counts = _terms(docs.select("text"), keep).select(F.explode("terms.w").alias("w")).groupBy("w").count()
+    counts = _terms(docs.select("text", F.lit(1).alias("one")), keep, ["one"]).select(F.explode("terms.w").alias("w")).groupBy("w").count()
     frequency = {r.w: r["count"] for r in counts.collect()}
     return ToxicityModel(words, frequency, docs.count(), sorted(examples, key=lambda e: (e[0], e[1])))
 
@@ -258,7 +260,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: Column) -> DataFrame:
         got = [sent.value.score(t) for t in utf8(batch.column("text"))]
         return {"score": [g[0] for g in got], "evidence": [g[1] for g in got]}
 
-    return annotate(docs, {"text": text}, fn, "score double, evidence array<bigint>")
+    return annotate(docs, {"text": text}, fn, "score double, evidence array<bigint>", most=_BATCH)
 
 
 def learnable(labels: DataFrame) -> DataFrame:
