@@ -229,6 +229,68 @@ def test_lines_match_brute_force(docs_of):
         assert r.text == (None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone))
 
 
+def report_of(rows):
+    want = brute_lines(rows)
+    out = []
+    for i, t in rows:
+        gone, total = want.get((i, t), ([], 0))
+        out.append((i, 0 if t is None else len(t.split("\n")), len(gone), total, hashlib.sha256(",".join(map(str, gone)).encode()).hexdigest()))
+    return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+def sized_lines(rng, n):
+    """Lines of all sizes over few words, and copies with some words more, less or other."""
+    vocabulary = [f"v{k}" for k in range(150)]
+    out = []
+    for _ in range(n):
+        line = rng.sample(vocabulary, rng.randrange(1, 60))
+        out.append(line)
+        for _ in range(rng.randrange(3)):
+            other = [w for w in line if rng.random() > 0.08]
+            out.append(other + rng.sample(vocabulary, rng.randrange(0, 1 + len(line) // 6)))
+    rng.shuffle(out)
+    return [" ".join(x) for x in out]
+
+
+@pytest.mark.parametrize("hot", [0, 15, 127])
+def test_lines_joined_by_range_of_sizes_match_brute_force(docs_of, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    lines = sized_lines(random.Random(hot), 120)
+    rows = [(k if k != 9 else None, "\n".join(lines[3 * k : 3 * k + 3])) for k in range(len(lines) // 3)]
+    assert rows_of(line_dedup.report(docs_of(rows))) == report_of(rows)
+
+
+def test_lists_of_a_common_word_are_split_by_size(docs_of, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 20)
+    rows = [(k, " ".join(["common", *[f"w{j}" for j in range(k)]])) for k in range(20, 220)]  # the later words are rarer
+    texts = [(i, " ".join(t.split()[:1] + [f"{i}x{j}" for j in range(len(t.split()) - 1)])) for i, t in rows]  # all words but one occur once
+    docs = docs_of(texts + [(1000 + i, t + " more") for i, t in texts])
+    got = line_dedup.postings(line_dedup.classes(line_dedup.keyed(line_dedup.lines(docs), line_dedup.rarity(docs))))
+    assert got.groupBy("key").count().agg(F.max("count")).first()[0] < 100  # of 400 lines with the common word
+    assert rows_of(line_dedup.report(docs_of(rows))) == report_of(rows)
+
+
+def test_lines_of_a_group_travel_once(docs_of, monkeypatch):
+    kept, stage = {}, line_dedup.stage
+    monkeypatch.setattr(line_dedup, "stage", lambda df, name: kept.setdefault(name, stage(df, name)))
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join([*words, f"own{k}"])) for k in range(80)]
+    assert rows_of(line_dedup.report(docs_of(rows))) == report_of(rows)
+    assert kept["links"].count() == 80 * 79 // 2
+    assert kept["sets"].count() == 80 and kept["sets"].agg(F.sum(F.size("meet"))).first()[0] == 79  # not two sets a pair
+
+
+def test_lines_of_a_repeated_id_are_read_by_text(docs_of, monkeypatch):
+    kept, stage = {}, line_dedup.stage
+    monkeypatch.setattr(line_dedup, "stage", lambda df, name: kept.setdefault(name, stage(df, name)))
+    rng = random.Random(4)
+    rows = sorted({(i, t) for i in (None, 3) for t in sized_lines(rng, 40)}, key=str)
+    got = line_dedup.report(docs_of(rows))
+    assert sorted((r.doc_id or 0, r.n_links) for r in got.collect()) == sorted((i or 0, links) for i, _, _, links, _ in report_of(rows))
+    assert got.agg(F.sum("n_removed")).first()[0] < len(rows) // 2  # lines at one place of a repeated id: neither is the later
+    assert kept["sets"].count() == kept["wanted"].count() > 20
+
+
 def test_lines_odd_rows(odd_docs, docs_of):
     got = line_dedup.report(odd_docs)
     assert got.count() == odd_docs.count()
