@@ -18,8 +18,9 @@ Classes, not lines, are joined, so a line repeated in a third of all documents i
 between steps are written to the shared folder.
 
 Defined results: null texts have no line; lines without words are kept; lines of one to three words only
-match lines of the same words; sets of words are told apart by a 128-bit hash; repeated rows (same id and
-text) count as one document, and each gets its result; rows with a null id come last.
+match lines of the same words; words are told apart by 64-bit hashes, sets of words by a 128-bit hash; repeated rows (same id and
+text) count as one document, and each gets its result; rows with a null id come last; of lines at the same place
+of two texts with one id, neither is the earlier one.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import digest128, stage
 
+#: Sets of n and m words reach it if they share 4 / 9 of n + m or more; the numbers 4, 5 and 9 below follow from that.
 THRESHOLD = 0.8
 #: Buckets of the word counts; bits of a word's hash in its key; bits of the filter of lines that are read again.
 RARITY, HASH_BITS, WANTED = 1 << 21, 56, 7 << 21
@@ -174,7 +176,7 @@ def _among(wanted: DataFrame, at: list[str]) -> Column:
 
 
 def links(docs: DataFrame, cls: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of classes whose sets are similar (``a`` < ``b``) and whether the first line of either is the later one (neither at the same place of a repeated id)."""
+    """The pairs of classes whose sets are similar (``a`` < ``b``) and whether the first line of either is the later one."""
     wanted = _kept(cls.select("id", "first", "version").join(_meetings(pairs), "id"), "wanted")
     text = docs.select(F.col("doc_id").alias("d"), digest128(F.col("text")).alias("v"), F.split("text", "\n").alias("bodies")).select("d", "v", F.posexplode("bodies").alias("k", "body"))
     text = text.where(_among(wanted.select(F.col("first.doc").alias("d"), F.col("first.line").alias("k")), ["d", "k"]))
@@ -188,7 +190,8 @@ def links(docs: DataFrame, cls: DataFrame, pairs: DataFrame) -> DataFrame:
     differ = F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0"))) + F.bit_count(F.col("a_p1").bitwiseXOR(F.col("b_p1")))
     total = F.col("a_n") + F.col("b_n")
     similar = (F.col("a_id") < F.col("b_id")) & (differ * 9 <= total) & (F.size(F.array_intersect("a_words", "b_words")) * 9 >= total * 4)
-    return x.join(y, "meet").where(similar).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), (F.col("b_first") < F.col("a_first")).alias("a_later"), (F.col("a_first") < F.col("b_first")).alias("b_later"))
+    return x.join(y, "meet").where(similar).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"),
+                                                   (F.col("b_first") < F.col("a_first")).alias("a_later"), (F.col("a_first") < F.col("b_first")).alias("b_later"))
 
 
 def decisions(docs: DataFrame) -> DataFrame:
