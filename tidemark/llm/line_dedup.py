@@ -78,11 +78,10 @@ def rarity(docs: DataFrame) -> Column:
     every = docs.select(F.explode(_split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")))).alias("w"))
     counted = every.groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
     level = F.least(F.floor(F.log2("count") * 5) + 1, F.lit(127)).cast("int")
-    levels = bytearray(RARITY)
+    levels = np.zeros(RARITY, np.uint8)
     for batch in counted.select("b", level.alias("level")).toArrow().to_batches():  # RARITY rows at most
-        for b, n in zip(batch.column("b").to_pylist(), batch.column("level").to_pylist()):
-            levels[b] = n
-    return F.lit(bytes(levels))
+        levels[batch.column("b").to_numpy()] = batch.column("level").to_numpy()
+    return F.lit(levels.tobytes())
 
 
 def _byte(constant: Column, at: Column) -> Column:
